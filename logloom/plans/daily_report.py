@@ -60,28 +60,30 @@ def grain(rows: DataFrame, name: str) -> DataFrame:
 
 def report_tables(rows: DataFrame, min_url_code: int = ERROR_URL_CODE) -> dict[str, DataFrame]:
     """The six report tables, by cell name, from a stored rollup."""
-    hours, hosts, endpoints = (grain(rows, g) for g in ("hour", "host", "endpoint"))
-    totals = merge_rollups(hours, ["date"]).withColumn("grain", F.lit(TOTAL))
+    totals = merge_rollups(grain(rows, "hour"), ["date"]).withColumn("grain", F.lit(TOTAL))
 
-    def table(source: DataFrame, keys: list[str], **options) -> DataFrame:
-        counted = merge_rollups(source, ["date", *keys]).withColumn("grain", F.lit(KEY))
+    def table(name: str, keys: list[str], **options) -> DataFrame:
+        counted = grain(rows, name)
+        if set(keys) != set(GRAINS[name]):  # else the stored rows are the groups already
+            counted = merge_rollups(counted, ["date", *keys])
+        counted = counted.withColumn("grain", F.lit(KEY))
         both = counted.unionByName(totals, allowMissingColumns=True)
         return breakdown_of_rollup(both, keys, **options)
 
     return {
-        "process_response_code": table(hours, ["response_code"]),
-        "process_hosts_more_than_10": table(hosts, ["host"], min_count=FREQUENT_HITS),
-        "process_top_endpoints": table(endpoints, ["endpoint"]),
+        "process_response_code": table("hour", ["response_code"]),
+        "process_hosts_more_than_10": table("host", ["host"], min_count=FREQUENT_HITS),
+        "process_top_endpoints": table("endpoint", ["endpoint"]),
         "process_top_errors": table(
-            endpoints,
+            "endpoint",
             ["endpoint", "response_code"],
             last_seen_by=["endpoint"],
             min_code=min_url_code,
         ),
         "error_hosts_top": table(
-            hosts, ["host", "response_code"], last_seen_by=["host"], min_code=ERROR_CODE
+            "host", ["host", "response_code"], last_seen_by=["host"], min_code=ERROR_CODE
         ),
-        "error_hour": table(hours, ["hour", "response_code"], min_code=ERROR_CODE, k=None),
+        "error_hour": table("hour", ["hour", "response_code"], min_code=ERROR_CODE, k=None),
     }
 
 

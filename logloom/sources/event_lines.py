@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.sources.files import spread
+
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, value): one log line per event, with some malformed ones."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(
+        spark.read.parquet(f"{sf_dir}/events.parquet").select(
+            "event_id", "ts", "user_id", "event_type", "value", "props"
+        )
+    )
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     status = (

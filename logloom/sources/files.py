@@ -21,6 +21,16 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core on an input of fewer splits than the cluster has cores.
+
+    Such an input is small by that very fact; a large one passes unchanged and is
+    never shuffled. For plain scans only.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def write_logs(parsed: DataFrame, root: str, *, rebalance: bool = True) -> None:
     """Write accepted rows to the log table, replacing the days they cover.
 
