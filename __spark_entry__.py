@@ -209,8 +209,8 @@ def last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- merging and incremental runs --------------------------------------------
 
 
-def _endpoint_counts(logs: DataFrame) -> DataFrame:
-    return logs.groupBy("date", "endpoint").agg(
+def _host_counts(logs: DataFrame) -> DataFrame:
+    return logs.groupBy("date", "host").agg(
         F.count("*").alias("count"), F.max("event_time").alias("last_time")
     )
 
@@ -218,8 +218,8 @@ def _endpoint_counts(logs: DataFrame) -> DataFrame:
 def _stored_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     logs = with_hour(_logs(spark, sf_dir))
     return (
-        _endpoint_counts(logs.where(F.col("hour") < 12)),
-        _endpoint_counts(logs.where(F.col("hour") >= 12)),
+        _host_counts(logs.where(F.col("hour") < 12)),
+        _host_counts(logs.where(F.col("hour") >= 12)),
     )
 
 
@@ -229,12 +229,12 @@ def _text_time(rows: DataFrame) -> DataFrame:
 
 def report_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, new = _stored_and_new(spark, sf_dir)
-    return _text_time(merge_reports(stored, new, ["date", "endpoint"]))
+    return _text_time(merge_reports(stored, new, ["date", "host"]))
 
 
 def report_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, new = _stored_and_new(spark, sf_dir)
-    return _text_time(carry_over(stored, new, ["date", "endpoint"]))
+    return _text_time(carry_over(stored, new, ["date", "host"]))
 
 
 def incremental_days(spark: SparkSession, sf_dir: str) -> DataFrame:

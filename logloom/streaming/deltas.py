@@ -2,8 +2,9 @@
 
 Each batch overwrites its own directory `batch_id=N`, so a batch delivered twice
 counts once. Nothing is read back or merged on the driver; a report is an
-aggregation over the deltas, and old deltas are folded into one base from time
-to time.
+aggregation over the deltas. Runs of old deltas are merged into one directory
+`merged/batches=A-B` from time to time, and those again into longer runs, so that
+compaction never has to rewrite the whole history.
 """
 
 from __future__ import annotations
@@ -112,44 +113,70 @@ def report_stream(
     )
 
 
-def read_deltas(spark: SparkSession, root: str) -> DataFrame:
-    """The newest base and every later delta."""
-    bases = [int(n) for n in list_partitions(spark, f"{root}/base", r"upto=(\d+)")]
-    upto = max(bases, default=-1)
-    batches = [int(n) for n in list_partitions(spark, f"{root}/deltas", r"batch_id=(\d+)")]
-    later = [f"{root}/deltas/batch_id={n}" for n in sorted(batches) if n > upto]
-    columns = [*_KEYS, "hits", "bytes", "last_time", "batch", "batch_time", "grain"]
-    rows = spark.createDataFrame([], _SCHEMA).select(*columns)
-    if later:
-        reader = spark.read.schema(_SCHEMA).option("basePath", f"{root}/deltas")
-        rows = reader.parquet(*later).select(*columns)
-    if upto >= 0:
-        base = spark.read.schema(_SCHEMA).parquet(f"{root}/base/upto={upto}").select(*columns)
-        rows = rows.unionByName(base) if later else base
+def _stored(spark: SparkSession, root: str) -> tuple[list[tuple[int, int]], list[int]]:
+    """The longest merged runs of batches, and the batches outside of them."""
+    names = list_partitions(spark, f"{root}/merged", r"batches=(\d+-\d+)")
+    runs: list[tuple[int, int]] = []
+    for first, last in sorted(
+        (tuple(map(int, n.split("-"))) for n in names), key=lambda r: (r[0], -r[1])
+    ):
+        if not runs or first > runs[-1][1]:
+            runs.append((first, last))
+    batches = sorted(int(n) for n in list_partitions(spark, f"{root}/deltas", r"batch_id=(\d+)"))
+    return runs, [n for n in batches if not any(a <= n <= b for a, b in runs)]
+
+
+def _read(
+    spark: SparkSession, root: str, runs: list[tuple[int, int]], batches: list[int]
+) -> DataFrame:
+    rows = spark.createDataFrame([], _SCHEMA)
+    for folder, names in [
+        ("merged", [f"batches={a}-{b}" for a, b in runs]),
+        ("deltas", [f"batch_id={n}" for n in batches]),
+    ]:
+        if names:
+            reader = spark.read.schema(_SCHEMA).option("basePath", f"{root}/{folder}")
+            found = reader.parquet(*[f"{root}/{folder}/{n}" for n in names])
+            rows = rows.unionByName(found.select(*rows.columns))
     return rows
 
 
-def compact(spark: SparkSession, root: str, upto: int) -> None:
-    """Fold the base and all deltas up to batch `upto` into a new base.
+def read_deltas(spark: SparkSession, root: str) -> DataFrame:
+    """All batches so far, merged or not. Filter on `date` to report on some days."""
+    return _read(spark, root, *_stored(spark, root))
+
 
+def compact(spark: SparkSession, root: str, first: int, last: int) -> None:
+    """Merge the batches `first` to `last`; readers then use the merged directory.
+
+    Runs merged before may lie inside that range, but not across its ends.
     Merged rows belong to no batch any more; each day's newest batch is kept
-    beside them as grain `online`. Readers take the new base once it is complete;
-    older directories may then go.
+    beside them as grain `online`. The directories replaced may be deleted.
     """
-    rows = read_deltas(spark, root).where(F.col("batch").isNull() | (F.col("batch") <= upto))
+    runs, batches = _stored(spark, root)
+    if any(a < first <= b or a <= last < b for a, b in runs):
+        raise ValueError(f"a merged run crosses the ends of {first}-{last}")
+    rows = _read(
+        spark,
+        root,
+        [(a, b) for a, b in runs if first <= a and b <= last],
+        [n for n in batches if first <= n <= last],
+    )
     added = (
         merge_rollups(rows.where(F.col("grain") != "online"), [*_KEYS, "grain"])
         .withColumn("batch", F.lit(None).cast("bigint"))
         .withColumn("batch_time", F.lit(None).cast("timestamp"))
     )
     latest = _newest_batch(rows).withColumn("grain", F.lit("online"))
+    # Sorted by day, so that a report on few days skips most row groups.
     (
         added.unionByName(latest)
         .hint("rebalance", F.col("grain"))
+        .sortWithinPartitions("grain", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("grain")
-        .parquet(f"{root}/base/upto={upto}")
+        .parquet(f"{root}/merged/batches={first}-{last}")
     )
 
 

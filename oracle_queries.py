@@ -222,13 +222,13 @@ def build() -> dict[str, str]:
             "date, endpoint, response_code, count, last_time",
         ),
         "report_merge": logs(
-            "SELECT date, endpoint, count(*) AS count, max(date_time) AS last_time "
-            "FROM logs GROUP BY date, endpoint"
+            "SELECT date, host, count(*) AS count, max(date_time) AS last_time "
+            "FROM logs GROUP BY date, host"
         ),
         "report_carry_over": logs(
-            "SELECT date, endpoint, count(*) AS count, max(date_time) AS last_time FROM logs a "
+            "SELECT date, host, count(*) AS count, max(date_time) AS last_time FROM logs a "
             f"WHERE {am_pm} AND NOT EXISTS (SELECT 1 FROM logs b WHERE b.hour >= 12 "
-            "AND b.date = a.date AND b.endpoint = a.endpoint) GROUP BY date, endpoint"
+            "AND b.date = a.date AND b.host = a.host) GROUP BY date, host"
         ),
         "incremental_days": logs(
             f"SELECT date, CASE WHEN date <= '{DAY}' THEN 1 ELSE 2 END AS run, "

@@ -93,19 +93,20 @@ def test_no_deltas_yet(spark, tmp_path):
 
 
 def test_compaction_changes_no_figure(spark, tmp_path):
-    root, lines = str(tmp_path), mixed_lines(600)
-    chunks = _chunks(lines, 5)
-    for i, chunk in enumerate(chunks[:3]):
+    root, lines = str(tmp_path), mixed_lines(700)
+    chunks = _chunks(lines, 7)
+    for i, chunk in enumerate(chunks):
         deltas.write_delta(text(spark, [*chunk, "broken"]), i, root, files=1)
     before = _rows(deltas.online(deltas.read_deltas(spark, root)))
-    deltas.compact(spark, root, 2)
-    _same_as_batch(spark, root, sum(chunks[:3], []))
-    assert _rows(deltas.online(deltas.read_deltas(spark, root))) == before
-    for i, chunk in enumerate(chunks[3:], 3):
-        deltas.write_delta(text(spark, chunk), i, root, files=1)
-    deltas.compact(spark, root, 3)
-    _same_as_batch(spark, root, lines)
-    assert _rows(deltas.rejects(deltas.read_deltas(spark, root))) == ["('pattern', 3)"]
+    for first, last in [(0, 1), (2, 3), (0, 5)]:
+        deltas.compact(spark, root, first, last)
+        _same_as_batch(spark, root, lines)
+    d = deltas.read_deltas(spark, root)
+    assert _rows(deltas.online(d)) == before
+    assert _rows(deltas.rejects(d)) == ["('pattern', 7)"]
+    assert all("0-5" in f or "batch_id=6" in f for f in d.inputFiles())
+    with pytest.raises(ValueError):
+        deltas.compact(spark, root, 3, 6)
 
 
 def test_snapshot_shows_the_newest_batch_of_each_day(spark, tmp_path):
