@@ -41,6 +41,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def forget_written() -> None:
+    _written.clear()
+
+
 def _once(name: str, build: Callable[[SparkSession, str, str], None]) -> Callable[..., str]:
     def path(spark: SparkSession, sf_dir: str) -> str:
         key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -102,6 +106,15 @@ _rollup_root = _once("rollup", _write_rollup)
 _store_root = _once("store", _write_store)
 _deltas_root = _once("deltas", _write_deltas)
 
+# In the order they build on each other.
+STORED = {
+    "lines": _text_root,
+    "logs": _logs_root,
+    "rollup": _rollup_root,
+    "store": _store_root,
+    "deltas": _deltas_root,
+}
+
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_cells(spark, _store_root(spark, sf_dir))

@@ -59,29 +59,23 @@ def average_size(kpis: DataFrame) -> DataFrame:
 
 
 def response_code_share(logs: DataFrame, codes: Sequence[int] = CHART_CODES) -> DataFrame:
-    """Each charted code's share of the day, 0 where not hit, with the extremes of the day."""
-    shares = breakdown(logs, ["response_code"], k=None).select(
-        "date", "response_code", "count", "percentage"
+    """Each code's share of the day, charted codes without hits as 0, and the day's extremes."""
+    entry = "struct<response_code: int, count: bigint, percentage: double>"
+    shares = breakdown(logs, ["response_code"], k=None)
+    # At most one entry per three-digit code in a day's array.
+    days = shares.groupBy("date").agg(
+        F.collect_list(F.struct("response_code", "count", "percentage").cast(entry)).alias("hit")
     )
-    # The chart's zeros: hit or not, a code shows once a day. A day has at most
-    # one row per three-digit code here, so days are small however busy.
-    days = shares.select("date").distinct()
-    empty = days.select(
+    charted = F.array(*[F.struct(F.lit(c), F.lit(0), F.lit(0.0)).cast(entry) for c in codes])
+    seen = F.transform("hit", lambda x: x["response_code"])
+    unhit = F.filter(charted, lambda x: ~F.array_contains(seen, x["response_code"]))
+    every = days.select("date", F.concat("hit", unhit).alias("codes"))
+    shares_of_day = F.transform("codes", lambda x: x["percentage"])
+    return every.select(
         "date",
-        F.explode(F.array(*map(F.lit, codes))).alias("response_code"),
-        F.lit(0).cast("bigint").alias("count"),
-        F.lit(0.0).alias("percentage"),
-    )
-    all_codes = (
-        shares.unionByName(empty)
-        .groupBy("date", "response_code")
-        .agg(F.max("count").alias("count"), F.max("percentage").alias("percentage"))
-    )
-    day = Window.partitionBy("date")
-    return all_codes.select(
-        "*",
-        F.max("percentage").over(day).alias("biggest"),
-        F.min("percentage").over(day).alias("smallest"),
+        F.array_max(shares_of_day).alias("biggest"),
+        F.array_min(shares_of_day).alias("smallest"),
+        F.inline("codes"),
     )
 
 

@@ -23,6 +23,9 @@ def build_session(app: str = "logloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
@@ -35,11 +38,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder named by `spark.checkpoint.dir`.
 
     Intermediate tables go there so that a lost executor never takes them along.
-    Only where the setting is absent (tests, a laptop) is a local folder made.
+    Only where the setting is absent (tests, a laptop) is a local folder made; on
+    a cluster it must be set, as a machine's own folder would not outlive it.
     """
     global _local_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="logloom-")
             atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)

@@ -10,6 +10,7 @@ compaction never has to rewrite the whole history.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from logloom.sources.files import list_partitions
 # (all other keys null) and are stored as grain `reject`.
 DELTA_GRAINS = {**GRAINS, "hour": [*GRAINS["hour"], "reject_reason"]}
 _KEYS = ["date", "hour", "response_code", "host", "endpoint", "reject_reason"]
+_COLUMNS = [*_KEYS, "hits", "bytes", "last_time", "batch", "batch_time", "grain"]
 _SCHEMA = (
     "date string, hour int, response_code int, host string, endpoint string, "
     "reject_reason string, hits bigint, bytes bigint, last_time timestamp_ntz, "
@@ -129,16 +131,18 @@ def _stored(spark: SparkSession, root: str) -> tuple[list[tuple[int, int]], list
 def _read(
     spark: SparkSession, root: str, runs: list[tuple[int, int]], batches: list[int]
 ) -> DataFrame:
-    rows = spark.createDataFrame([], _SCHEMA)
+    found = []
     for folder, names in [
         ("merged", [f"batches={a}-{b}" for a, b in runs]),
         ("deltas", [f"batch_id={n}" for n in batches]),
     ]:
         if names:
             reader = spark.read.schema(_SCHEMA).option("basePath", f"{root}/{folder}")
-            found = reader.parquet(*[f"{root}/{folder}/{n}" for n in names])
-            rows = rows.unionByName(found.select(*rows.columns))
-    return rows
+            rows = reader.parquet(*[f"{root}/{folder}/{n}" for n in names])
+            found.append(rows.select(*_COLUMNS))
+    if not found:
+        return spark.createDataFrame([], _SCHEMA)
+    return reduce(DataFrame.unionByName, found)
 
 
 def read_deltas(spark: SparkSession, root: str) -> DataFrame:

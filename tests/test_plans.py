@@ -112,3 +112,9 @@ def test_a_hot_host_leaves_each_task_as_one_row(spark, logs):
     """Two aggregation steps around the shuffle: a partial one, then the final one."""
     p = plan(breakdown(logs, ["host"]))
     assert "partial_count(1)" in p
+
+
+def test_share_scans_the_logs_once(logs):
+    from logloom.plans.views import response_code_share
+
+    assert plan(response_code_share(logs)).count("FileScan") == 1
