@@ -22,7 +22,26 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 # space, so the time goes last and takes the rest of the split.
 _REWRITE_PATTERN = rf"(?s)^(?:{LINE_PATTERN[1:]}.*|.*)$"
 _REWRITE_TO = "$1\n$2\n$3\n$5\n$6\n$7\n$8\n$9\n$4"
-_HOST, _IDENT, _USER, _METHOD, _ENDPOINT, _PROTOCOL, _CODE, _SIZE, _TIME = range(9)
+
+# Expressions over `f`, the fields in the order above (0 host, 1 ident, 2 user,
+# 3 method, 4 endpoint, 5 protocol, 6 code, 7 size, 8 time).
+_MONTH_MAP = ", ".join(f"'{name}', '{i:02d}'" for i, name in enumerate(MONTHS, 1))
+_CLOCK = (
+    f"concat(substring(f[8], 8, 4), '-', try_element_at(map({_MONTH_MAP}), substring(f[8], 4, 3)),"
+    " '-', substring(f[8], 1, 2), ' ', substring(f[8], 13, 8))"
+)
+_SIZE = "CASE WHEN f[7] = '-' THEN 0L ELSE try_cast(f[7] AS BIGINT) END"
+_REASON = f"""CASE
+    WHEN line IS NULL THEN 'null'
+    WHEN f[0] = '' THEN 'pattern'
+    WHEN size IS NULL THEN 'size'
+    WHEN NOT f[8] RLIKE r'{TIME_PATTERN}' OR event_time IS NULL THEN 'time'
+END"""
+_OFFSET = "split(f[8], ' ')[1]"
+_INSTANT = (
+    f"try_cast(concat(clock, substring({_OFFSET}, 1, 3), ':', substring({_OFFSET}, 4, 2))"
+    " AS TIMESTAMP) AS instant"
+)
 
 
 def line_fields(line: Column) -> Column:
@@ -31,68 +50,38 @@ def line_fields(line: Column) -> Column:
     return F.split(rewritten, "\n", 9)
 
 
-def wall_clock(raw_time: Column) -> Column:
-    """`01/Jul/1995:00:00:01 -0400` to `1995-07-01 00:00:01`; the offset is not applied."""
-    months = F.create_map(
-        *[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"{i:02d}")]
-    )
-    return F.concat(
-        F.substring(raw_time, 8, 4),
-        F.lit("-"),
-        F.try_element_at(months, F.substring(raw_time, 4, 3)),
-        F.lit("-"),
-        F.substring(raw_time, 1, 2),
-        F.lit(" "),
-        F.substring(raw_time, 13, 8),
-    )
-
-
-def response_size(text: Column) -> Column:
-    """`-` is zero; anything else must be a whole number, or the result is null."""
-    return F.when(text == "-", F.lit(0).cast("bigint")).otherwise(text.try_cast("bigint"))
-
-
 def parse_lines(lines: DataFrame, column: str = "value", *, with_instant: bool = False) -> DataFrame:
     """Every line with its parsed fields and a `reject_reason` (null when accepted).
 
     Works on batch and streaming frames alike. `line` keeps the input text as
-    evidence for rejects. `with_instant` adds the true point in time, i.e. the
-    wall clock with the logged offset applied.
+    evidence for rejects. The logged zone offset is not applied to the clock;
+    `with_instant` adds the true point in time beside it.
     """
     # explode() of a one-element array keeps the optimizer from copying the
     # regex into each projected field and each filter above.
     fields = lines.select(
         F.col(column).alias("line"), F.explode(F.array(line_fields(F.col(column)))).alias("f")
     )
-    f = F.col("f")
-    clock = wall_clock(f[_TIME])
-    parsed = fields.select(
-        "line",
-        F.when(F.col("line").isNull(), "null")
-        .when(f[_HOST] == "", "pattern")
-        .when(response_size(f[_SIZE]).isNull(), "size")
-        .when(~f[_TIME].rlike(TIME_PATTERN) | clock.try_cast("timestamp_ntz").isNull(), "time")
-        .alias("reject_reason"),
-        F.coalesce(f[_HOST], F.lit("")).alias("host"),
-        F.coalesce(f[_IDENT], F.lit("")).alias("client_identd"),
-        F.coalesce(f[_USER], F.lit("")).alias("user_id"),
-        F.coalesce(clock, F.lit("")).alias("date_time"),
-        F.coalesce(f[_METHOD], F.lit("")).alias("method"),
-        F.coalesce(f[_ENDPOINT], F.lit("")).alias("endpoint"),
-        F.coalesce(f[_PROTOCOL], F.lit("")).alias("protocol"),
-        F.coalesce(f[_CODE].try_cast("int"), F.lit(0)).alias("response_code"),
-        F.coalesce(response_size(f[_SIZE]), F.lit(0).cast("bigint")).alias("content_size"),
-        clock.try_cast("timestamp_ntz").alias("event_time"),
-        F.coalesce(F.substring(clock, 1, 10), F.lit("")).alias("date"),
-        *([_instant(clock, f[_TIME]).alias("instant")] if with_instant else []),
+    return (
+        fields.selectExpr("line", "f", f"{_CLOCK} AS clock", f"{_SIZE} AS size")
+        .selectExpr("*", "try_cast(clock AS TIMESTAMP_NTZ) AS event_time")
+        .selectExpr(
+            "line",
+            f"{_REASON} AS reject_reason",
+            "coalesce(f[0], '') AS host",
+            "coalesce(f[1], '') AS client_identd",
+            "coalesce(f[2], '') AS user_id",
+            "coalesce(clock, '') AS date_time",
+            "coalesce(f[3], '') AS method",
+            "coalesce(f[4], '') AS endpoint",
+            "coalesce(f[5], '') AS protocol",
+            "coalesce(try_cast(f[6] AS INT), 0) AS response_code",
+            "coalesce(size, 0L) AS content_size",
+            "event_time",
+            "coalesce(substring(clock, 1, 10), '') AS date",
+            *([_INSTANT] if with_instant else []),
+        )
     )
-    return parsed
-
-
-def _instant(clock: Column, raw_time: Column) -> Column:
-    offset = F.split(raw_time, " ")[1]
-    zoned = F.concat(clock, F.substring(offset, 1, 3), F.lit(":"), F.substring(offset, 4, 2))
-    return zoned.try_cast("timestamp")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -3,49 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logloom.sources.files import spread
 
+_EVENTS = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+    "props STRING"
+)
+_LINE = """concat(
+    'host', user_id, '.example.net - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' -0400] "',
+    if(event_type IN ('purchase', 'signup'), 'POST', 'GET'), ' /', event_type, '/', k % 20,
+    if(event_id % 41 = 0, '', ' HTTP/1.0'), '" ',
+    CASE
+        WHEN event_type = 'error' THEN element_at(array('404', '403', '500', '501'), k % 4 + 1)
+        WHEN event_type = 'click' AND k % 2 = 0 THEN '304'
+        WHEN event_type = 'signup' THEN '302'
+        ELSE '200'
+    END, ' ',
+    if(event_id % 53 = 0, '-', cast(cast(floor(value * 100) AS BIGINT) AS STRING))
+)"""
+
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, value): one log line per event, with some malformed ones."""
-    events = spread(
-        spark.read.parquet(f"{sf_dir}/events.parquet").select(
-            "event_id", "ts", "user_id", "event_type", "value", "props"
-        )
-    )
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
-    status = (
-        F.when(
-            kind == "error",
-            F.element_at(F.array(*map(F.lit, ["404", "403", "500", "501"])), F.col("k") % 4 + 1),
-        )
-        .when((kind == "click") & (F.col("k") % 2 == 0), "304")
-        .when(kind == "signup", "302")
-        .otherwise("200")
-    )
-    line = F.concat(
-        F.lit("host"),
-        F.col("user_id").cast("string"),
-        F.lit(".example.net - - ["),
-        F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
-        F.lit(' -0400] "'),
-        F.when(kind.isin("purchase", "signup"), "POST").otherwise("GET"),
-        F.lit(" /"),
-        kind,
-        F.lit("/"),
-        (F.col("k") % 20).cast("string"),
-        F.when(F.col("event_id") % 41 == 0, "").otherwise(" HTTP/1.0"),
-        F.lit('" '),
-        status,
-        F.lit(" "),
-        F.when(F.col("event_id") % 53 == 0, "-").otherwise(
-            F.floor(F.col("value") * 100).cast("bigint").cast("string")
-        ),
-    )
-    malformed = F.concat(F.lit("malformed line "), F.col("event_id").cast("string"))
-    return events.withColumn("k", k).select(
-        "event_id", F.when(F.col("event_id") % 97 == 0, malformed).otherwise(line).alias("value")
+    events = spread(spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet"))
+    return events.selectExpr("*", "cast(get_json_object(props, '$.k') AS INT) AS k").selectExpr(
+        "event_id", f"if(event_id % 97 = 0, concat('malformed line ', event_id), {_LINE}) AS value"
     )
