@@ -12,7 +12,7 @@ from logloom.operators.rollup import rollup
 from logloom.operators.topk import top_k
 from logloom.schema import TOP_ROWS
 
-KEY, TOTAL = "key", "total"
+_KEY, _TOTAL = "key", "total"
 
 
 def breakdown(
@@ -32,25 +32,8 @@ def breakdown(
     all its requests and not just the counted ones. `k=None` keeps all rows and
     is meant for keys with few values (codes, hours).
     """
-    rows = rollup(logs, {KEY: keys, TOTAL: []}, period)
-    return breakdown_of_rollup(
-        rows, keys, last_seen_by=last_seen_by, min_code=min_code, min_count=min_count, k=k,
-        period=period,
-    )
-
-
-def breakdown_of_rollup(
-    rows: DataFrame,
-    keys: Sequence[str],
-    *,
-    last_seen_by: Sequence[str] | None = None,
-    min_code: int | None = None,
-    min_count: int | None = None,
-    k: int | None = TOP_ROWS,
-    period: Sequence[str] = ("date",),
-) -> DataFrame:
-    """As `breakdown`, over rows of grain `key` plus one row of grain `total` per period."""
-    is_total = F.col("grain") == TOTAL
+    rows = rollup(logs, {_KEY: keys, _TOTAL: []}, period)
+    is_total = F.col("grain") == _TOTAL
     if last_seen_by is not None and set(last_seen_by) != set(keys):
         # At most one row per response code in each window.
         seen = Window.partitionBy("grain", *period, *last_seen_by)

@@ -43,26 +43,25 @@ def scalar_cells(kpis: DataFrame, table: str, names: Sequence[str]) -> DataFrame
 def table_cells(
     rows: DataFrame,
     table: str,
-    qualifier: str,
     fields: Sequence[str],
     keys: Sequence[str],
     *,
     count_as_text: bool = True,
     unlimited: bool = False,
 ) -> DataFrame:
-    """One cell per day: the report rows as a JSON array, by count desc and key.
+    """One cell per day and `qualifier`: its rows as a JSON array, by count desc and key.
 
-    Fields are text, the count too unless `count_as_text` is off. With
-    `unlimited`, the rows of a day are spread over as many parts as its size
-    asks for; days up to PART_ROWS rows still have the single part 0.
+    Fields are text, the count too unless `count_as_text` is off; null fields are
+    left out. With `unlimited`, the rows of a day are spread over as many parts as
+    its size asks for; up to PART_ROWS rows still make the single part 0.
     """
     part = F.lit(0)
     if unlimited:
-        sizes = rows.groupBy("date").agg(
+        sizes = rows.groupBy("date", "qualifier").agg(
             F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("_parts")
         )
-        # One row per calendar day: bounded, see with_share().
-        rows = rows.join(F.broadcast(sizes), "date")
+        # A few rows per calendar day: bounded, see with_share().
+        rows = rows.join(F.broadcast(sizes), ["date", "qualifier"])
         part = F.pmod(F.xxhash64(*keys), F.col("_parts"))
     packed = F.struct(
         *[
@@ -71,11 +70,11 @@ def table_cells(
         ]
     )
     order = [(-F.col("count")).alias("_by"), *[F.col(c).alias(f"_{c}") for c in keys]]
-    arrays = rows.groupBy("date", part.alias("part")).agg(
+    arrays = rows.groupBy("date", "qualifier", part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct(*order, packed.alias("row")))).alias("rows")
     )
     value = F.to_json(F.transform("rows", lambda r: r["row"]))
-    return arrays.select(*_cells(table, F.lit(qualifier), F.col("part"), value))
+    return arrays.select(*_cells(table, F.col("qualifier"), F.col("part"), value))
 
 
 def marker_cells(days: DataFrame, table: str, qualifier: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.breakdown import KEY, TOTAL, breakdown_of_rollup
+from logloom.operators.breakdown import with_share
 from logloom.operators.kpis import kpis_of_rollup
 from logloom.operators.rollup import GRAINS, merge_rollups, rollup, with_hour
 from logloom.operators.store import (
@@ -17,6 +15,7 @@ from logloom.operators.store import (
     table_cells,
     write_cells,
 )
+from logloom.operators.topk import top_k
 from logloom.schema import (
     BATCH_SCALARS,
     BATCH_TABLE,
@@ -25,6 +24,7 @@ from logloom.schema import (
     ERROR_URL_CODE,
     FREQUENT_HITS,
     MARKER,
+    TOP_ROWS,
 )
 from logloom.sources.files import list_days, list_partitions, read_logs
 
@@ -58,54 +58,89 @@ def grain(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(F.col("grain") == name)
 
 
-def report_tables(rows: DataFrame, min_url_code: int = ERROR_URL_CODE) -> dict[str, DataFrame]:
-    """The six report tables, by cell name, from a stored rollup."""
-    totals = merge_rollups(grain(rows, "hour"), ["date"]).withColumn("grain", F.lit(TOTAL))
-
-    def table(name: str, keys: list[str], **options) -> DataFrame:
-        counted = grain(rows, name)
-        if set(keys) != set(GRAINS[name]):  # else the stored rows are the groups already
-            counted = merge_rollups(counted, ["date", *keys])
-        counted = counted.withColumn("grain", F.lit(KEY))
-        both = counted.unionByName(totals, allowMissingColumns=True)
-        return breakdown_of_rollup(both, keys, **options)
-
-    return {
-        "process_response_code": table("hour", ["response_code"]),
-        "process_hosts_more_than_10": table("host", ["host"], min_count=FREQUENT_HITS),
-        "process_top_endpoints": table("endpoint", ["endpoint"]),
-        "process_top_errors": table(
-            "endpoint",
-            ["endpoint", "response_code"],
-            last_seen_by=["endpoint"],
-            min_code=min_url_code,
-        ),
-        "error_hosts_top": table(
-            "host", ["host", "response_code"], last_seen_by=["host"], min_code=ERROR_CODE
-        ),
-        "error_hour": table("hour", ["hour", "response_code"], min_code=ERROR_CODE, k=None),
-    }
-
-
-TABLE_KEYS = {
-    "process_response_code": ["response_code"],
-    "process_hosts_more_than_10": ["host"],
-    "process_top_endpoints": ["endpoint"],
-    "process_top_errors": ["endpoint", "response_code"],
-    "error_hosts_top": ["host", "response_code"],
-    "error_hour": ["hour", "response_code"],
-}
+def _key_entries(
+    rows: DataFrame, key: str, top: str, min_count: int, by_code: str, min_code: int
+) -> DataFrame:
+    """Candidates of the two tables of a host or endpoint, from one shuffle of its grain.
+
+    `top` has one entry per key, `by_code` one per key and code; both show when
+    the key was last seen at all. A window holds one row per response code.
+    """
+    of_key = Window.partitionBy("date", key)
+    seen = grain(rows, key).select(
+        "date",
+        key,
+        "response_code",
+        "hits",
+        F.sum("hits").over(of_key).alias("key_hits"),
+        F.max("last_time").over(of_key).alias("last_time"),
+        (F.col("response_code") == F.min("response_code").over(of_key)).alias("once"),
+    )
+    entry = "struct<qualifier: string, response_code: int, count: bigint>"
+    total = F.struct(F.lit(top), F.lit(None), F.col("key_hits")).cast(entry)
+    single = F.struct(F.lit(by_code), F.col("response_code"), F.col("hits")).cast(entry)
+    entries = F.array(
+        F.when(F.col("once") & (F.col("key_hits") > min_count), total),
+        F.when(F.col("response_code") >= min_code, single),
+    )
+    return seen.select("date", key, "last_time", F.inline(F.array_compact(entries)))
+
+
+def report_rows(
+    rows: DataFrame, *, min_url_code: int = ERROR_URL_CODE, k: int = TOP_ROWS
+) -> DataFrame:
+    """The rows of all six tables of all days, told apart by `qualifier` (the cell name).
+
+    Each grain is read and shuffled once; one ranking then serves every table.
+    """
+    hours = grain(rows, "hour")
+    codes = merge_rollups(hours, ["date", "response_code"]).select(
+        "date",
+        F.lit("process_response_code").alias("qualifier"),
+        "response_code",
+        F.col("hits").alias("count"),
+        "last_time",
+    )
+    hosts = _key_entries(
+        rows, "host", "process_hosts_more_than_10", FREQUENT_HITS, "error_hosts_top", ERROR_CODE
+    )
+    endpoints = _key_entries(
+        rows, "endpoint", "process_top_endpoints", 0, "process_top_errors", min_url_code
+    )
+    candidates = codes.unionByName(hosts, allowMissingColumns=True).unionByName(
+        endpoints, allowMissingColumns=True
+    )
+    keys = ["host", "endpoint", "response_code"]
+    order = [F.col("count").desc(), *[F.col(c).asc() for c in keys]]
+    ranked = top_k(candidates, k, order, ["qualifier", "date"], spread=keys).drop("rank")
+    by_hour = hours.where(F.col("response_code") >= ERROR_CODE).select(
+        "date",
+        F.lit("error_hour").alias("qualifier"),
+        "hour",
+        "response_code",
+        F.col("hits").alias("count"),
+    )
+    everything = ranked.unionByName(by_hour, allowMissingColumns=True)
+    totals = hours.groupBy("date").agg(F.sum("hits").alias("total"))
+    return with_share(everything, totals).withColumn(
+        "last_time", F.col("last_time").cast("string")
+    )
+
+
+def report_table(report: DataFrame, name: str) -> DataFrame:
+    """One table of `report_rows`."""
+    return report.where(F.col("qualifier") == name).select("date", *BATCH_TABLES[name])
 
 
 def report_cells(rows: DataFrame) -> DataFrame:
     """Every cell of every day's report, but for the marker."""
     kpis = kpis_of_rollup(grain(rows, "hour"), grain(rows, "host"))
-    cells = [scalar_cells(kpis, BATCH_TABLE, BATCH_SCALARS)]
-    for name, table in report_tables(rows).items():
-        cells.append(
-            table_cells(table, BATCH_TABLE, name, BATCH_TABLES[name], TABLE_KEYS[name])
-        )
-    return reduce(DataFrame.unionByName, cells)
+    keys = ["hour", "host", "endpoint", "response_code"]
+    # Fields a table does not have are null in its rows and so absent from its JSON.
+    fields = [*keys, "count", "last_time", "percentage"]
+    return scalar_cells(kpis, BATCH_TABLE, BATCH_SCALARS).unionByName(
+        table_cells(report_rows(rows), BATCH_TABLE, fields, keys)
+    )
 
 
 def done_days(cells: DataFrame) -> DataFrame:

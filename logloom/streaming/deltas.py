@@ -259,23 +259,22 @@ def rejects(deltas: DataFrame) -> DataFrame:
 
 def realtime_cells(deltas: DataFrame) -> DataFrame:
     """The running report as store cells; long tables come in parts."""
-    snapshot = online(deltas)
-    cells = scalar_cells(kpis(deltas), REALTIME_TABLE, REALTIME_SCALARS).unionByName(
-        table_cells(
-            snapshot, REALTIME_TABLE, "online_users_count", ["time", "count"], ["time"],
-            count_as_text=False,
+
+    def cells(name: str, rows: DataFrame, fields: list[str], keys: list[str], unlimited: bool):
+        named = rows.withColumn("qualifier", F.lit(name))
+        return table_cells(
+            named, REALTIME_TABLE, fields, keys, count_as_text=False, unlimited=unlimited
         )
-    )
+
     tables = {
-        "response_code": (response_codes(deltas), ["response_code"]),
-        "top_endpoints": (endpoints(deltas), ["endpoint"]),
-        "bad_unique_endpoints": (bad_endpoints(deltas), ["endpoint", "response_code"]),
+        "response_code": (response_codes(deltas), ["response_code"], False),
+        "top_endpoints": (endpoints(deltas), ["endpoint"], True),
+        "bad_unique_endpoints": (bad_endpoints(deltas), ["endpoint", "response_code"], True),
     }
-    for name, (rows, keys) in tables.items():
-        cells = cells.unionByName(
-            table_cells(
-                rows, REALTIME_TABLE, name, REALTIME_TABLES[name], keys,
-                count_as_text=False, unlimited=name != "response_code",
-            )
-        )
-    return cells
+    parts = [
+        scalar_cells(kpis(deltas), REALTIME_TABLE, REALTIME_SCALARS),
+        cells("online_users_count", online(deltas), ["time", "count"], ["time"], False),
+    ]
+    for name, (rows, keys, unlimited) in tables.items():
+        parts.append(cells(name, rows, REALTIME_TABLES[name], keys, unlimited))
+    return reduce(DataFrame.unionByName, parts)

@@ -123,8 +123,9 @@ def test_table_cells_are_arrays_of_text_maps(reports):
 
 def test_cells_round_trip_to_rows(reports):
     cells = daily_report.report_cells(reports)
-    for name, table in daily_report.report_tables(reports).items():
-        fields = BATCH_TABLES[name]
+    report = daily_report.report_rows(reports)
+    for name, fields in BATCH_TABLES.items():
+        table = daily_report.report_table(report, name)
         back = views.table_rows(cells, name, fields)
         assert sorted(map(tuple, back.collect())) == sorted(
             map(tuple, table.select("date", *fields).collect())
@@ -141,10 +142,10 @@ def test_long_tables_come_in_parts(spark):
             [("1995-07-02", "/only", 5, "1995-07-02 00:00:00")],
             "date string, endpoint string, count bigint, last_time string",
         )
-    )
+    ).selectExpr("'top_endpoints' AS qualifier", "*")
     fields = ["endpoint", "count", "last_time"]
     cells = store.table_cells(
-        rows, "rt", "top_endpoints", fields, ["endpoint"], count_as_text=False, unlimited=True
+        rows, "rt", fields, ["endpoint"], count_as_text=False, unlimited=True
     )
     parts = cells.collect()
     assert {p["part"] for p in parts if p["row_key"] == "date=1995-07-02"} == {0}
@@ -183,3 +184,26 @@ def test_report_for_day_rounds_the_average(reports):
     assert shown == str(int(float(exact) + 0.5))
     assert {r["table"] for r in day.collect()} == {BATCH_TABLE}
     assert views.report_for_day(cells, "2001-01-01").count() == 0
+
+
+@pytest.mark.parametrize("min_url_code", [200, 400])
+def test_tables_of_the_rollup_equal_tables_of_the_logs(spark, reports, min_url_code):
+    """One ranking for all tables gives what each table gives straight from the logs."""
+    from logloom.operators.breakdown import breakdown
+    from logloom.operators.rollup import with_hour
+
+    logs = with_hour(parse_logs(text(spark, mixed_lines())))
+    report = daily_report.report_rows(reports, min_url_code=min_url_code)
+    for name, keys, options in [
+        ("process_response_code", ["response_code"], {}),
+        ("process_hosts_more_than_10", ["host"], {"min_count": 10}),
+        ("process_top_endpoints", ["endpoint"], {}),
+        ("process_top_errors", ["endpoint", "response_code"],
+         {"last_seen_by": ["endpoint"], "min_code": min_url_code}),
+        ("error_hosts_top", ["host", "response_code"],
+         {"last_seen_by": ["host"], "min_code": 400}),
+        ("error_hour", ["hour", "response_code"], {"min_code": 400, "k": None}),
+    ]:
+        got = daily_report.report_table(report, name)
+        want = breakdown(logs, keys, **options).select(*got.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
