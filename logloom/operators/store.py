@@ -52,17 +52,19 @@ def table_cells(
     """One cell per day and `qualifier`: its rows as a JSON array, by count desc and key.
 
     Fields are text, the count too unless `count_as_text` is off; null fields are
-    left out. With `unlimited`, the rows of a day are spread over as many parts as
-    its size asks for; up to PART_ROWS rows still make the single part 0.
+    left out, and so are rows without a count (see empty_tables()). With
+    `unlimited`, the rows of a day are spread over as many parts as its size asks
+    for; up to PART_ROWS rows still make the single part 0.
     """
+    has_row = F.col("count").isNotNull()
     part = F.lit(0)
     if unlimited:
         sizes = rows.groupBy("date", "qualifier").agg(
-            F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("_parts")
+            F.greatest(F.lit(1), F.ceil(F.count("count") / F.lit(PART_ROWS))).alias("_parts")
         )
         # A few rows per calendar day: bounded, see with_share().
         rows = rows.join(F.broadcast(sizes), ["date", "qualifier"])
-        part = F.pmod(F.xxhash64(*keys), F.col("_parts"))
+        part = F.when(has_row, F.pmod(F.xxhash64(*keys), F.col("_parts"))).otherwise(0)
     packed = F.struct(
         *[
             F.col(f) if f == "count" and not count_as_text else F.col(f).cast("string").alias(f)
@@ -71,12 +73,19 @@ def table_cells(
     )
     order = [(-F.col("count")).alias("_by"), *[F.col(c).alias(f"_{c}") for c in keys]]
     arrays = rows.groupBy("date", "qualifier", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct(*order, packed.alias("row")))).alias("rows")
+        F.array_sort(
+            F.collect_list(F.when(has_row, F.struct(*order, packed.alias("row"))))
+        ).alias("rows")
     )
     value = F.to_json(F.transform("rows", lambda r: r["row"]))
     return arrays.select(*_cells(table, F.col("qualifier"), F.col("part"), value))
 
 
+def empty_tables(days: DataFrame, qualifiers: Sequence[str]) -> DataFrame:
+    """Placeholders (date, qualifier): a table without rows still gets its cell, `[]`."""
+    return days.select("date", F.explode(F.array(*map(F.lit, qualifiers))).alias("qualifier"))
+
+
 def marker_cells(days: DataFrame, table: str, qualifier: str) -> DataFrame:
     """The cell that says a day is done."""
     return days.select("date").select(*_cells(table, F.lit(qualifier), F.lit(0), F.lit("1")))

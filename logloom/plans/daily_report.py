@@ -9,6 +9,7 @@ from logloom.operators.breakdown import with_share
 from logloom.operators.kpis import kpis_of_rollup
 from logloom.operators.rollup import GRAINS, merge_rollups, rollup, with_hour
 from logloom.operators.store import (
+    empty_tables,
     marker_cells,
     read_cells,
     scalar_cells,
@@ -138,8 +139,12 @@ def report_cells(rows: DataFrame) -> DataFrame:
     keys = ["hour", "host", "endpoint", "response_code"]
     # Fields a table does not have are null in its rows and so absent from its JSON.
     fields = [*keys, "count", "last_time", "percentage"]
+    days = grain(rows, "hour").select("date").distinct()
+    tables = report_rows(rows).unionByName(
+        empty_tables(days, list(BATCH_TABLES)), allowMissingColumns=True
+    )
     return scalar_cells(kpis, BATCH_TABLE, BATCH_SCALARS).unionByName(
-        table_cells(report_rows(rows), BATCH_TABLE, fields, keys)
+        table_cells(tables, BATCH_TABLE, fields, keys)
     )
 
 

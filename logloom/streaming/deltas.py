@@ -20,7 +20,7 @@ from logloom.functions.clf import parse_lines
 from logloom.operators.breakdown import with_share
 from logloom.operators.kpis import kpis_of_rollup
 from logloom.operators.rollup import GRAINS, merge_rollups, rollup, with_hour
-from logloom.operators.store import scalar_cells, table_cells
+from logloom.operators.store import empty_tables, scalar_cells, table_cells
 from logloom.schema import (
     ERROR_CODE,
     REALTIME_SCALARS,
@@ -260,8 +260,12 @@ def rejects(deltas: DataFrame) -> DataFrame:
 def realtime_cells(deltas: DataFrame) -> DataFrame:
     """The running report as store cells; long tables come in parts."""
 
+    days = day_totals(deltas).select("date")
+
     def cells(name: str, rows: DataFrame, fields: list[str], keys: list[str], unlimited: bool):
-        named = rows.withColumn("qualifier", F.lit(name))
+        named = rows.withColumn("qualifier", F.lit(name)).unionByName(
+            empty_tables(days, [name]), allowMissingColumns=True
+        )
         return table_cells(
             named, REALTIME_TABLE, fields, keys, count_as_text=False, unlimited=unlimited
         )

@@ -159,9 +159,10 @@ def cells_cte(table: str, scalars: list[str], tables: dict, count_as_text: bool
         for s in scalars
     ]
     parts += [
-        f"""SELECT '{table}', 'date=' || date, 'cf', '{name}', 0,
-  '[' || string_agg({_json(fields, count_as_text)}, ',' ORDER BY "count" DESC, {', '.join(keys)}) || ']'
-  FROM {sql} GROUP BY date"""
+        f"""SELECT '{table}', 'date=' || date, 'cf', '{name}', 0, coalesce(v, '[]')
+  FROM (SELECT DISTINCT date FROM logs) LEFT JOIN (SELECT date,
+  '[' || string_agg({_json(fields, count_as_text)}, ',' ORDER BY "count" DESC, {', '.join(keys)}) || ']' AS v
+  FROM {sql} GROUP BY date) USING (date)"""
         for name, (keys, fields, sql) in tables.items()
     ]
     return "cells AS (" + "\nUNION ALL\n".join(parts) + ")"

@@ -207,3 +207,19 @@ def test_tables_of_the_rollup_equal_tables_of_the_logs(spark, reports, min_url_c
         got = daily_report.report_table(report, name)
         want = breakdown(logs, keys, **options).select(*got.columns)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_table_without_rows_still_has_its_cell(spark, tmp_path):
+    from helpers import line
+
+    quiet = [line(1, "01:00:00", "h", "/", 200)]
+    daily_report.write_rollup(parse_logs(text(spark, quiet)), str(tmp_path))
+    cells = daily_report.report_cells(daily_report.read_rollup(spark, str(tmp_path)))
+    values = {r["qualifier"]: r["value"] for r in cells.collect()}
+    assert set(values) == {*BATCH_SCALARS, *BATCH_TABLES}
+    for name in ("process_hosts_more_than_10", "error_hosts_top", "error_hour"):
+        assert values[name] == "[]"
+    assert json.loads(values["process_top_errors"]) == [
+        {"endpoint": "/", "response_code": "200", "count": "1",
+         "last_time": "1995-07-01 01:00:00", "percentage": "100.0"}
+    ]

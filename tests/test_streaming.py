@@ -219,3 +219,11 @@ def test_running_average(spark, tmp_path):
     deltas.write_delta(text(spark, lines), 0, str(tmp_path))
     d = deltas.read_deltas(spark, str(tmp_path))
     assert [tuple(r) for r in views.average_size(deltas.kpis(d)).collect()] == [("1995-07-01", 2)]
+
+
+def test_realtime_tables_without_rows_have_their_cells(spark, tmp_path):
+    deltas.write_delta(text(spark, [line(1, "10:00:00", "a", "/", 200)]), 0, str(tmp_path))
+    cells = deltas.realtime_cells(deltas.read_deltas(spark, str(tmp_path))).collect()
+    values = {(c["qualifier"], c["part"]): c["value"] for c in cells}
+    assert values[("bad_unique_endpoints", 0)] == "[]"
+    assert len(values) == len(REALTIME_SCALARS) + len(REALTIME_TABLES) + 1
