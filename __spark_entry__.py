@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -434,8 +436,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return response_code_breakdown(spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators, nothing where they are not installed."""
+    if importlib.util.find_spec("logloom.llm") is None:
+        return {}, {}
+    if importlib.util.find_spec("logloom.llm.queries") is None:
+        return {}, {}
+    llm = importlib.import_module("logloom.llm.queries")
+    runs, sqls = llm.queries(), llm.oracle_sql()
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        pipeline = importlib.import_module("corpus_pipeline")
+        runs["pipeline"] = pipeline.run
+        if pipeline.ORACLE_SQL:
+            sqls["pipeline"] = pipeline.ORACLE_SQL
+    return runs, sqls
+
+
 def queries() -> dict[str, Query]:
-    return {
+    return _training_data()[0] | {
         "raw_scan": raw_scan,
         "parse_logs": parse,
         "bad_line_count": bad_line_count,
@@ -484,4 +502,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.build()
+    return oracle_queries.build() | _training_data()[1]
