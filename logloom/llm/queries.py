@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import token_counts, token_files
+from logloom.llm import fingerprint, mixing, token_counts, token_files
 from logloom.llm.text import importable, table
 from logloom.session import scratch_path
 
@@ -32,9 +32,21 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, root)
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the square root of the sources' sizes."""
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and their half-edited texts."""
+    return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_token_counts,
     op4_token_files,
+    op6_mix_sources,
+    op8_fingerprints,
 ]
 
 
@@ -51,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix_sources": mixing.REPLICATE_SQL}
