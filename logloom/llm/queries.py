@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import fingerprint, mixing, token_counts, token_files
+from logloom.llm import decontaminate, fingerprint, mixing, token_counts, token_files
 from logloom.llm.text import importable, table
 from logloom.session import scratch_path
 
@@ -25,6 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all test items."""
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token ids, and what the files say of each."""
     root = scratch_path(spark, "tokens")
@@ -44,6 +49,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = [
     op1_token_counts,
+    op2_decontamination,
     op4_token_files,
     op6_mix_sources,
     op8_fingerprints,
