@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, fingerprint, mixing, token_counts, token_files
+from logloom.llm import decontaminate, fingerprint, mixing, near_dedup, token_counts, token_files
 from logloom.llm.text import importable, table
 from logloom.session import scratch_path
 
@@ -42,6 +42,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and their half-edited texts."""
     return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ _ALL = [
     op2_decontamination,
     op4_token_files,
     op6_mix_sources,
+    op7_near_duplicates,
     op8_fingerprints,
 ]
 
