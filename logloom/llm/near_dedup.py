@@ -24,6 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.llm.text import lower_words_of, mix, shingle_set
@@ -289,6 +290,13 @@ def _links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, spark: Spark
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose document is the smallest of its component."""
-    ids = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("bigint") == ids["__dropped"], "left_anti")
+    """The rows of `docs`, all columns, whose document is the smallest of its component.
+
+    Of rows that repeat a doc_id, one stays; rows without doc_id stay.
+    """
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    named = docs.where("doc_id IS NOT NULL").withColumn("__doc", F.col("doc_id").cast("bigint"))
+    left = named.join(gone, named["__doc"] == gone["__gone"], "left_anti")
+    order = W.partitionBy("__doc").orderBy(F.desc(F.xxhash64("text")))
+    one = left.withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

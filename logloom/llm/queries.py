@@ -7,14 +7,14 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, fingerprint, mixing, near_dedup, token_counts, token_files
+from logloom.llm import decontaminate, fingerprint, mixing, near_dedup, token_counts, token_files, toxicity
 from logloom.llm.text import importable, table
 from logloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -22,7 +22,7 @@ def _tokenizer() -> str:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
-    return token_counts.section_tokens(table(spark, sf_dir, "documents"), _tokenizer())
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token ids, and what the files say of each."""
     root = scratch_path(spark, "tokens")
-    token_files.write_tokens(table(spark, sf_dir, "documents"), root, _tokenizer())
+    token_files.write_tokens(table(spark, sf_dir, "documents"), root, tokenizer_path())
     return token_files.document_digests(spark, root)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, learned from the labelled ones that are not held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the square root of the sources' sizes."""
     return mixing.replicate(table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ _ALL = [
     op1_token_counts,
     op2_decontamination,
     op4_token_files,
+    op5_toxicity,
     op6_mix_sources,
     op7_near_duplicates,
     op8_fingerprints,
