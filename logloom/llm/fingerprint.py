@@ -96,8 +96,8 @@ def _cuts(docs: DataFrame, run_bytes: int) -> list[int]:
     n = math.ceil(n_bytes / run_bytes)
     if n < 2:
         return []
-    shares = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: i / F.lit(float(n)))
-    cuts = docs.agg(F.percentile_approx("__order", shares, F.lit(max(10_000, 20 * n)))).first()[0]
+    shares = [i / n for i in range(1, n)]
+    cuts = docs.agg(F.percentile_approx("__order", shares, max(10_000, 20 * n))).first()[0]
     return sorted(set(cuts or ()), reverse=True)
 
 
