@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.session import scratch_path
+
 SEEDS = (1, 2, 3, 4)
 EXACT = 2 * len(SEEDS)
 SIGNS = 64
@@ -101,18 +103,21 @@ def _cuts(docs: DataFrame, run_bytes: int) -> list[int]:
     return sorted(set(cuts or ()), reverse=True)
 
 
-def _run(cuts: list[int]) -> Column:
-    """How many cuts lie above the row's place in the order, by bisection."""
-    if not cuts:
-        return F.when(F.col("__order") >= _LEAST, 0).otherwise(1)  # one run, but not a constant
+def _with_run(docs: DataFrame, cuts: list[int]) -> DataFrame:
+    """`docs` with __run: how many cuts lie above the row's place in the order, by bisection."""
     values = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda at, s: F.when(
-            (at + s <= len(cuts)) & (F.coalesce(F.get(values, at + s - 1), F.lit(_LEAST)) > F.col("__order")), at + s
-        ).otherwise(at),
-    )
+    out = docs.withColumn("__run", F.when(F.col("__order") >= _LEAST, 0).otherwise(1))  # 0, but no constant
+    for step in [1 << i for i in reversed(range(len(cuts).bit_length()))]:
+        at = F.col("__run") + step
+        above = (at <= len(cuts)) & (F.coalesce(F.get(values, at - 1), F.lit(_LEAST)) > F.col("__order"))
+        out = out.withColumn("__run", F.when(above, at).otherwise(F.col("__run")))
+    return out
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def with_next(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -124,7 +129,7 @@ def with_next(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
         F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias("__order"),
     )
-    runs = base.withColumn("__run", _run(_cuts(base, run_bytes)))
+    runs = _with_run(base, _cuts(base, run_bytes))
     order = W.partitionBy("__run").orderBy(F.desc("__order"), F.desc("__text"))
     rows = runs.select(
         "__run", F.row_number().over(order).alias("__place"), "doc_id", "__text",
@@ -132,11 +137,9 @@ def with_next(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     )
     # The first row of each run: its id from ids alone, then the text of that one row.
     # One row per `run_bytes` of text, of 12 bytes, so it can be broadcast at any size.
-    firsts = runs.groupBy("__run").agg(F.max("__order").alias("__order"))
-    heads = (
-        runs.select("__order", "__text").join(F.broadcast(firsts), "__order")
-        .groupBy("__run").agg(F.max("__text").alias("__head"))
-    )
+    firsts = _stored(runs.groupBy("__run").agg(F.max("__order").alias("__order")), "runs")
+    heads = base.select("__order", "__text").join(F.broadcast(firsts), "__order")
+    heads = _stored(heads.groupBy("__run").agg(F.max("__text").alias("__head")), "heads")
     in_order = W.orderBy("__run")
     following = firsts.select(
         "__run", F.coalesce(F.lead("__run").over(in_order), F.first("__run").over(in_order)).alias("__to")
