@@ -6,8 +6,9 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, fingerprint, mixing, near_dedup, token_counts, token_files, toxicity
+from logloom.llm import decontaminate, fingerprint, mixing, near_dedup, substrings, token_counts, token_files, toxicity
 from logloom.llm.text import importable, table
 from logloom.session import scratch_path
 
@@ -30,6 +31,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated passages, as digests of the kept words."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token ids, and what the files say of each."""
     root = scratch_path(spark, "tokens")
@@ -60,6 +67,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = [
     op1_token_counts,
     op2_decontamination,
+    op3_substring_dedup,
     op4_token_files,
     op5_toxicity,
     op6_mix_sources,
