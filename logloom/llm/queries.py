@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, fingerprint, mixing, near_dedup, substrings, token_counts, token_files, toxicity
+from logloom.llm import decontaminate, fingerprint, line_templates, mixing, near_dedup, substrings, token_counts, token_files, toxicity
 from logloom.llm.text import importable, table
 from logloom.session import scratch_path
 
@@ -64,6 +64,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of recurring templates."""
+    return line_templates.drop_templates(table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_token_counts,
     op2_decontamination,
@@ -73,6 +78,7 @@ _ALL = [
     op6_mix_sources,
     op7_near_duplicates,
     op8_fingerprints,
+    op9_line_dedup,
 ]
 
 
@@ -89,4 +95,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.REPLICATE_SQL}
+    return {"op6_mix_sources": mixing.REPLICATE_SQL, "op9_line_dedup": line_templates.DROP_SQL}
