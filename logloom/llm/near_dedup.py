@@ -9,11 +9,12 @@ leaving ERRORS of its slots out, so all pairs within that distance meet in a buc
 At the least likeness, 0.75, a slot differs with probability 1/4, and one of the 8
 chunks is within its error with probability 1 - 2e-5.
 
-Pairs are never enumerated within a bucket. Its smallest member is its centre, and all
-others are compared with it on full sets; that merges a group of copies of any size at
-once. Buckets that still hold several classes go on without their centre. Large ones
-are split by the chunks of a further, independent signature first, so texts that only
-share a passage part.
+Bucket members are never all paired in the output. A bucket's smallest member is its
+centre, and all others are compared with it on full sets; that merges most groups of
+copies, of any size, by as many comparisons as members. Buckets that still hold several
+classes are cut into blocks of BLOCK members, and every two blocks are compared by one
+task, which holds their sets and returns no more links than join their members (a
+forest). Pairs that a bucket of lower number has in common, too, are left to that.
 """
 
 from __future__ import annotations
@@ -35,10 +36,8 @@ SHINGLE = 5
 PERCENT = 75
 CHUNKS, CHUNK, ERRORS = 8, 4, 1
 SLOTS = CHUNKS * CHUNK
-#: Independent signatures, used one after the other on buckets that stay large.
-LEVELS = 3
-#: Buckets of more classes than this are split by the next signature.
-SMALL = 32
+#: Members of a bucket that one side of a task holds.
+BLOCK = 512
 _MASKS = list(combinations(range(CHUNK), CHUNK - ERRORS))
 KEYS = CHUNKS * len(_MASKS)
 
@@ -48,26 +47,25 @@ MAX_DISTANCE = 21
 SET_SCHEMA = "doc_id bigint, text_hash bigint, n_shingles bigint, set_hi bigint, set_lo bigint, signature array<int>"
 
 
-def _slot_factors(level: int) -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) + np.uint64(1000 * (level + 1)))
-    return seeds[:SLOTS] | np.uint64(1), seeds[SLOTS:]
+_SEEDS = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64))
+_FACTORS = list(zip(_SEEDS[:SLOTS] | np.uint64(1), _SEEDS[SLOTS:]))
 
 
-def signature(shingles: np.ndarray, level: int = 0) -> np.ndarray:
+def signature(shingles: np.ndarray) -> np.ndarray:
     """Minimum over the set of SLOTS hash functions, 32 bits each."""
     out = np.empty(SLOTS, np.uint64)
-    for i, (a, b) in enumerate(zip(*_slot_factors(level))):
+    for i, (a, b) in enumerate(_FACTORS):
         out[i] = (shingles * a + b).min()
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def chunk_keys(signature: Column, *prefix: Column) -> Column:
-    """The KEYS bucket names of a signature; `prefix` names the bucket that they split."""
+def chunk_keys(signature: Column) -> Column:
+    """The KEYS bucket names of a signature, in order of number."""
     keys = []
     for c in range(CHUNKS):
         for m, mask in enumerate(_MASKS):
             slots = [F.get(signature, c * CHUNK + i) for i in mask]
-            keys.append(F.xxhash64(*prefix, F.lit(c * len(_MASKS) + m), *slots))
+            keys.append(F.xxhash64(F.lit(c * len(_MASKS) + m), *slots))
     return F.array(*keys)
 
 
@@ -170,20 +168,6 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame:
         )
 
 
-def _split(members: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """Members (bucket, id) of large buckets, dealt to the buckets of a further signature."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [signature(shingle_set(lower_words_of(t.as_py()), SHINGLE), level) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _int_lists(own)], names=["id", "further"])
-
-    ids = members.select("id").distinct()
-    further = texts.join(ids, "id", "left_semi").mapInArrow(rows, "id bigint, further array<int>")
-    dealt = members.select("bucket", "id").join(further, "id")
-    return dealt.select(F.explode(chunk_keys(F.col("further"), F.col("bucket"))).alias("bucket"), "id").distinct()
-
-
 def _near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose signatures are near enough for a link."""
     near = pairs.distinct().join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("__a")), "a")
@@ -191,26 +175,87 @@ def _near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return near.where(distance(F.col("__a"), F.col("__b")) <= MAX_DISTANCE).select("a", "b")
 
 
-def _small_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes and near signatures within buckets of up to SMALL members."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for group in batch.column("members").to_pylist():
-                ids = np.array([m["id"] for m in group])
-                classes = np.array([m["class"] for m in group])
-                slots = np.array([m["signature"] for m in group])
-                near = (slots[:, None, :] != slots[None, :, :]).sum(axis=2) <= MAX_DISTANCE
-                i, j = np.nonzero(np.triu(near & (classes[:, None] != classes[None, :]), 1))
-                a += ids[j].tolist()
-                b += ids[i].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    grouped = members.join(signatures, "id").groupBy("bucket").agg(
-        F.sort_array(F.collect_list(F.struct("id", "class", "signature"))).alias("members")
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the first bucket that each signature of `a` shares with each of `b`, KEYS if none."""
+    out = np.full((len(a), len(b)), KEYS, np.int16)
+    for c in reversed(range(CHUNKS)):
+        same = [a[:, None, c * CHUNK + i] == b[None, :, c * CHUNK + i] for i in range(CHUNK)]
+        for m in reversed(range(len(_MASKS))):
+            out[np.logical_and.reduce([same[i] for i in _MASKS[m]])] = c * len(_MASKS) + m
+    return out
+
+
+def _forest(number: int, first: list[dict], second: list[dict]) -> list[tuple[int, int]]:
+    """Links that join the members of two blocks (or of one, given twice) of a bucket."""
+    own = first is second
+    signatures = [np.array([m["signature"] for m in block], np.int32) for block in (first, second)]
+    names, ids = {}, [[m["id"] for m in block] for block in (first, second)]
+    parent: list[int] = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for block in (first, second):
+        for m in block:
+            if m["class"] not in names:
+                names[m["class"]] = len(parent)
+                parent.append(len(parent))
+    classes = [np.array([names[m["class"]] for m in block]) for block in (first, second)]
+    todo = _first_common(*signatures) == number
+    todo &= classes[0][:, None] != classes[1][None, :]
+    near = np.zeros(todo.shape, np.int16)
+    for i in range(SLOTS):
+        near += signatures[0][:, None, i] != signatures[1][None, :, i]
+    todo &= near <= MAX_DISTANCE
+    if own:
+        todo = np.triu(todo, 1)
+    if not todo.any():
+        return []
+    sets = [shingle_set(lower_words_of(m["text"]), SHINGLE) for m in second]
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    words, places = np.unique(np.concatenate(sets), return_inverse=True)
+    links = []
+    for i in np.flatnonzero(todo.any(axis=1)):
+        mine = sets[i] if own else shingle_set(lower_words_of(first[i]["text"]), SHINGLE)
+        at = np.searchsorted(words, mine)
+        hit = np.zeros(len(words), np.int64)
+        at = at[at < len(words)]
+        at = at[np.isin(words[at], mine, assume_unique=True)]
+        hit[at] = 1
+        both = np.add.reduceat(hit[places], starts)
+        for j in np.flatnonzero(todo[i] & (100 * both >= PERCENT * (len(mine) + sizes - both))):
+            x, y = root(int(classes[0][i])), root(int(classes[1][j]))
+            if x != y:
+                parent[x] = y
+                links.append((max(ids[0][i], ids[1][j]), min(ids[0][i], ids[1][j])))
+    return links
+
+
+def _block_links(members: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between classes within buckets; members are (bucket, number, id, class, __n)."""
+    blocks = F.ceil(F.col("__n") / F.lit(BLOCK)).cast("int")
+    placed = members.withColumn("__blocks", blocks).withColumn("__block", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other")
+    placed = placed.select("bucket", "number", "id", "class", "__block", other)
+    full = placed.join(signatures, "id").join(texts, "id").select(
+        "bucket", "number", "id", "class", "signature", "text", "__block",
+        F.least("__block", "__other").alias("__low"), F.greatest("__block", "__other").alias("__high"),
     )
-    return grouped.select("members").mapInArrow(rows, "a bigint, b bigint").distinct()
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        low, high = rows[0]["__low"], rows[0]["__high"]
+        first = [r for r in rows if r["__block"] == low]
+        second = first if low == high else [r for r in rows if r["__block"] == high]
+        links = _forest(rows[0]["number"], first, second) if first and second else []
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("bucket", "__low", "__high").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -234,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("text_hash", "signature"), "doc_id").alias("__s")
     classes = one.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), first)
     classes = _stored(classes.select(*key, "id", "__s.*"), spark, "classes")
-    buckets = classes.select("id", F.explode(chunk_keys(F.col("signature"))).alias("bucket"))
+    buckets = classes.select("id", F.posexplode(chunk_keys(F.col("signature"))).alias("number", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select("bucket")
     found = _links(_stored(buckets.join(shared, "bucket"), spark, "buckets"), classes, docs, spark)
     counts = found.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
@@ -260,33 +305,20 @@ def _links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, spark: Spark
     candidates = classes.select("id", "text_hash").join(buckets.select("id").distinct(), "id")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = _stored(texts.join(candidates, ["id", "text_hash"]).select("id", "text"), spark, "candidates")
-    found = spark.createDataFrame([], "a bigint, b bigint")
-    level = 0
-    while True:
-        # Every member against its bucket's centre.
-        centred = buckets.join(buckets.groupBy("bucket").agg(F.min("id").alias("b")), "bucket").where("id <> b")
-        pairs = _near_pairs(centred.select(F.col("id").alias("a"), "b"), signatures)
-        found = found.unionByName(_stored(linked(pairs, texts).distinct(), spark, "links"))
-        labels = components(found, spark)
-        # What the buckets still hold without their centres, if it is of several classes.
-        rest = centred.select("bucket", "id").join(labels, "id", "left")
-        rest = rest.select("bucket", "id", F.coalesce("component", "id").alias("class"))
-        still = rest.groupBy("bucket").agg(
-            (F.min("class") != F.max("class")).alias("__several"), F.count("*").alias("__n")
-        ).where("__several").select("bucket", "__n")
-        rest = _stored(rest.join(still, "bucket"), spark, "rest")
-        small = _small_pairs(rest.where(F.col("__n") <= SMALL).drop("__n"), signatures)
-        found = found.unionByName(_stored(linked(small, texts).distinct(), spark, "links"))
-        large = rest.where(F.col("__n") > SMALL).select("bucket", "id")
-        if large.isEmpty():
-            return found.distinct()
-        level += 1
-        if level < LEVELS:
-            large = _split(large, texts, level)
-            several = large.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select("bucket")
-            large = large.join(several, "bucket")
-        # Beyond the last signature, the buckets go on without the centres they had.
-        buckets = _stored(large, spark, "buckets")
+    # Every member against its bucket's centre.
+    centres = buckets.groupBy("bucket").agg(F.min("id").alias("b"))
+    centred = buckets.join(centres, "bucket").where("id <> b")
+    pairs = _near_pairs(centred.select(F.col("id").alias("a"), "b"), signatures)
+    found = _stored(linked(pairs, texts).distinct(), spark, "links")
+    labels = components(found, spark)
+    # What the buckets hold besides their centres, if it is of several classes.
+    rest = centred.select("bucket", "number", "id").join(labels, "id", "left")
+    rest = _stored(rest.select("bucket", "number", "id", F.coalesce("component", "id").alias("class")), spark, "rest")
+    still = rest.groupBy("bucket").agg(
+        (F.min("class") != F.max("class")).alias("__several"), F.count("*").alias("__n")
+    ).where("__several").select("bucket", "__n")
+    more = _block_links(rest.join(still, "bucket"), signatures, texts)
+    return found.unionByName(_stored(more.distinct(), spark, "block-links")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
