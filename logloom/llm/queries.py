@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, fingerprint, line_templates, mixing, near_dedup, substrings, token_counts, token_files, toxicity
+from logloom.llm import decontaminate, fingerprint, licenses, line_templates, mixing, near_dedup, substrings, token_counts, token_files, toxicity
 from logloom.llm.text import importable, table
 from logloom.session import scratch_path
 
@@ -21,6 +21,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -79,6 +84,7 @@ _ALL = [
     op7_near_duplicates,
     op8_fingerprints,
     op9_line_dedup,
+    op10_licenses,
 ]
 
 
