@@ -67,10 +67,9 @@ def encode(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
     rows = padded.reshape(count, block)
     low = rows.min(axis=1) if count else np.empty(0, np.uint32)
     rest = rows - low[:, None]
-    bits = _bit_length(rest)
     at = min(block - 1, int(np.ceil(block * percentile / 100)) - 1)
-    widths = np.partition(bits, at, axis=1)[:, at] if count else np.empty(0, np.int64)
-    over = bits > widths[:, None]
+    widths = _bit_length(np.partition(rest, at, axis=1)[:, at]) if count else np.empty(0, np.int64)
+    over = (rest.astype(np.uint64) >> widths[:, None].astype(np.uint64)) > 0
     packed: list[bytes] = [b""] * count
     for w in np.unique(widths):
         if w:

@@ -9,17 +9,14 @@ The ids are those of the whole text; tests hold them against the library's own.
 from __future__ import annotations
 
 import json
-import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces remembered by a Python worker; it forgets the older half's worth beyond.
+#: Pieces remembered by a Python worker, in two generations; the older one is forgotten.
 MEMORY = 1_000_000
-#: Longer pieces are not remembered.
-LONG = 64
-_ODD = re.compile(r" \s|\s\n|\n\s|[^\S\n ]|<\|")
 
 
 class Pieces:
@@ -38,91 +35,101 @@ class Pieces:
             and spec.get("truncation") is None
         )
         self.memory, self.offsets = memory, offsets
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: By piece, and by piece without the blank before it; two generations of each.
+        self.young: list[dict[str, bytes]] = [{}, {}]
+        self.old: list[dict[str, bytes]] = [{}, {}]
+        self.feed = self._packed(self._plain(["\n"])[0])
 
     def _plain(self, texts: list[str]) -> list:
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
         return encode(texts, add_special_tokens=False)
 
     def _packed(self, encoding) -> bytes:
-        ids = np.array(encoding.ids, np.uint32)
+        """Little-endian 32-bit ids, with `offsets` each followed by its start and end."""
         if not self.offsets:
-            return ids.tobytes()
+            return array("I", encoding.ids).tobytes()
         spans = np.array(encoding.offsets, np.uint32).reshape(-1, 2)
-        return np.column_stack([ids, spans]).astype(np.uint32).tobytes()
+        return np.column_stack([np.array(encoding.ids, np.uint32), spans]).astype(np.uint32).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put all distinct pieces into the young generation."""
-        if len(self.young) > self.memory // 2:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for p in set(pieces):
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    new.append(p)
+    def _learn(self, pieces: set[str], blank: int) -> None:
+        """Put the pieces, each with a blank before it if `blank`, into the young generation."""
+        young, old, new = self.young[blank], self.old[blank], []
+        for p in pieces:
+            if p in old:
+                young[p] = old[p]
+            else:
+                new.append(p)
+        lead = " " if blank else ""
         if new and self.offsets:
-            young.update(zip(new, map(self._packed, self._plain(new))))
+            young.update(zip(new, map(self._packed, self._plain([lead + p for p in new]))))
         elif new:
             # A comma or full stop after a letter is a pre-token of its own.
-            bare = {p: p[:-1] for p in new if p[-1] in ",." and len(p) > 2 and p[-2].isalpha()}
-            need = [p for p in new if p not in bare]
-            need += {b for b in bare.values() if b not in young} - set(need)
-            need += [x for x in (",", ".") if x not in young and x not in need]
-            young.update(zip(need, map(self._packed, self._plain(need))))
-            young.update((p, young[b] + young[p[-1]]) for p, b in bare.items())
+            bare = {p: p[:-1] for p in new if p[-1:] in (",", ".") and len(p) > 1 and p[-2].isalpha()}
+            need = {p for p in new if p not in bare} | {b for b in bare.values() if b not in young}
+            ordered = list(need)
+            young.update(zip(ordered, map(self._packed, self._plain([lead + p for p in ordered]))))
+            if bare:
+                marks = {m: self._packed(e) for m, e in zip(",.", self._plain([",", "."]))}
+                young.update((p, young[b] + marks[p[-1]]) for p, b in bare.items())
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        lines = text.split("\n")
-        if len(lines) == 1:
-            first, *rest = text.split(" ")
-            return [first, *[" " + p for p in rest]]
-        out: list[str] = []
+    def _spread(self, packed: list[bytes], lines: list[list[str]]) -> np.ndarray:
+        """Rows (id, start, end) of a text: the pieces' own, moved to where the pieces begin."""
+        lengths: list[int] = []
         for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + p for p in rest]
-        return out
+            lengths += [1] * (i > 0)
+            lengths.append(len(line[0]))
+            lengths += [len(p) + 1 for p in line[1:]]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 12
+        base = np.repeat(np.cumsum(lengths) - lengths, sizes).astype(np.uint32)
+        rows = np.frombuffer(b"".join(packed), np.uint32).reshape(-1, 3).copy()
+        rows[:, 1:] += base[:, None]
+        return rows
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text a uint32 array: its ids, or rows (id, start, end) with `offsets`."""
-        width = 3 if self.offsets else 1
-        odd = [not self.cuts or not t or t[-1].isspace() or t[0].isspace() or bool(_ODD.search(t)) for t in texts]
-        whole = [i for i, o in enumerate(odd) if o]
+        # As many words as single separators and one: no other white space than these.
+        plain = [
+            self.cuts and "<|" not in t and len(t.split()) == t.count(" ") + t.count("\n") + 1 for t in texts
+        ]
+        whole = [i for i, p in enumerate(plain) if not p]
         out: list = [None] * len(texts)
         for i, e in zip(whole, self._plain([texts[i] for i in whole]) if whole else []):
-            out[i] = np.frombuffer(self._packed(e), np.uint32).reshape(-1, width)
-        cut = [(i, self._cut(texts[i])) for i, o in enumerate(odd) if not o]
-        at = 0
-        while at < len(cut):
-            # So many pieces at a time that one generation holds them.
-            batch, n = [], 0
-            while at < len(cut) and (not batch or n < self.memory // 8):
-                batch.append(cut[at])
-                n += len(cut[at][1])
-                at += 1
-            get = self.young.get
-            for i, pieces in batch:
-                known = [get(p) for p in pieces]
-                if None in known:
-                    self._learn([p for p, k in zip(pieces, known) if k is None])
-                    get = self.young.get
-                    known = [k if k is not None else get(p) for p, k in zip(pieces, known)]
-                rows = np.frombuffer(b"".join(known), np.uint32).reshape(-1, width)
-                if self.offsets:
-                    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 12
-                    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                    base = np.repeat(np.cumsum(lengths) - lengths, sizes).astype(np.uint32)
-                    rows = rows.copy()
-                    rows[:, 1] += base
-                    rows[:, 2] += base
-                out[i] = rows
-        return [r if self.offsets else r[:, 0] for r in out]
+            rows = np.frombuffer(self._packed(e), np.uint32)
+            out[i] = rows.reshape(-1, 3) if self.offsets else rows
+        if sum(map(len, self.young)) > self.memory // 2:
+            self.old, self.young = self.young, [{}, {}]
+        # What is known is looked up, the rest learned for all texts at once and put in.
+        first, rest = (d.get for d in self.young)
+        found: list[tuple[int, list[list[str]], list]] = []
+        missing: tuple[set[str], set[str]] = (set(), set())
+        for i, p in enumerate(plain):
+            if p:
+                packed: list = []
+                lines = [line.split(" ") for line in texts[i].split("\n")]
+                for n, line in enumerate(lines):
+                    if n:
+                        packed.append(self.feed)
+                    packed.append(first(line[0]))
+                    if packed[-1] is None:
+                        missing[0].add(line[0])
+                    known = list(map(rest, line[1:]))
+                    if None in known:
+                        missing[1].update(w for w, k in zip(line[1:], known) if k is None)
+                    packed += known
+                found.append((i, lines, packed))
+        for blank in (0, 1):
+            if missing[blank]:
+                self._learn(missing[blank], blank)
+        for i, lines, packed in found:
+            if None in packed:
+                packed = []
+                for n, line in enumerate(lines):
+                    if n:
+                        packed.append(self.feed)
+                    packed.append(first(line[0]))
+                    packed += map(rest, line[1:])
+            out[i] = self._spread(packed, lines) if self.offsets else np.frombuffer(b"".join(packed), np.uint32)
+        return out
 
 
 @lru_cache(maxsize=2)
