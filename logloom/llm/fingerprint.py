@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.session import scratch_path
+from logloom.llm.text import stored
 
 SEEDS = (1, 2, 3, 4)
 EXACT = 2 * len(SEEDS)
@@ -114,12 +114,6 @@ def _with_run(docs: DataFrame, cuts: list[int]) -> DataFrame:
     return out
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def with_next(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(__run, __place, doc_id, __text, __next): each text and the next one's by descending
     doc_id, the first following the last. Runs of ids are ordered apart, one shuffle in all;
@@ -137,9 +131,9 @@ def with_next(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     )
     # The first row of each run: its id from ids alone, then the text of that one row.
     # One row per `run_bytes` of text, of 12 bytes, so it can be broadcast at any size.
-    firsts = _stored(runs.groupBy("__run").agg(F.max("__order").alias("__order")), "runs")
+    firsts = stored(runs.groupBy("__run").agg(F.max("__order").alias("__order")), "runs")
     heads = base.select("__order", "__text").join(F.broadcast(firsts), "__order")
-    heads = _stored(heads.groupBy("__run").agg(F.max("__text").alias("__head")), "heads")
+    heads = stored(heads.groupBy("__run").agg(F.max("__text").alias("__head")), "heads")
     in_order = W.orderBy("__run")
     following = firsts.select(
         "__run", F.coalesce(F.lead("__run").over(in_order), F.first("__run").over(in_order)).alias("__to")

@@ -24,12 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.llm.text import lower_words_of, mix, shingle_set
-from logloom.session import scratch_path
+from logloom.llm.text import lower_words_of, mix, shingle_set, stored
 
 SHINGLE = 5
 #: Link: 100 * intersection >= PERCENT * union.
@@ -103,13 +102,6 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, SET_SCHEMA)
 
 
-def _stored(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose full shingle sets are near enough. `texts` has (id, text).
 
@@ -134,22 +126,22 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return near.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
 
 
-def components(links: DataFrame, spark: SparkSession) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has a link.
 
     Every id takes its neighbours' smallest id, and so does that one (hook and jump), until
     nothing changes; hot ids are pre-aggregated by the minimum before they are shuffled.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = _stored(edges, spark, "edges")
+    edges = stored(edges, "edges")
     parents = edges.select("u", "v").union(edges.select("v", F.col("v"))).groupBy("u").agg(F.min("v").alias("p"))
-    state = _stored(parents.select(F.col("u").alias("id"), F.col("p").alias("component")), spark, "parents")
+    state = stored(parents.select(F.col("u").alias("id"), F.col("p").alias("component")), "parents")
     while True:
         # An edge hands the smaller of its ends' components to the components of both.
         ends = edges.join(state.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u")
         ends = ends.join(state.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v")
         hooks = ends.where("cu <> cv").select(F.greatest("cu", "cv").alias("component"), F.least("cu", "cv").alias("to"))
-        hooks = _stored(hooks.groupBy("component").agg(F.min("to").alias("to")), spark, "hooks")
+        hooks = stored(hooks.groupBy("component").agg(F.min("to").alias("to")), "hooks")
         if hooks.isEmpty():
             return state
         # Follow the hooks among components to their ends before the ids are renamed.
@@ -157,14 +149,14 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame:
         while True:
             onward = hooks.select(F.col("component").alias("to"), F.col("to").alias("__next"))
             further = jumps.join(onward, "to", "left").select("component", F.coalesce("__next", "to").alias("to"), F.col("__next").isNotNull().alias("__moved"))
-            jumps = _stored(further, spark, "jumps")
+            jumps = stored(further, "jumps")
             moved = jumps.where("__moved").isEmpty()
             jumps = jumps.select("component", "to")
             if moved:
                 break
             hooks = jumps
-        state = _stored(
-            state.join(jumps, "component", "left").select("id", F.coalesce("to", "component").alias("component")), spark, "parents"
+        state = stored(
+            state.join(jumps, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "parents"
         )
 
 
@@ -270,20 +262,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     document, with the text of the largest hash; rows without doc_id are documents of their
     own, linked with nothing and kept. Other columns are ignored; empty in, empty out.
     """
-    spark = docs.sparkSession
-    sets = _stored(document_sets(docs), spark, "sets")
+    sets = stored(document_sets(docs), "sets")
     largest = F.max_by(F.struct("text_hash", "n_shingles", "set_hi", "set_lo", "signature"), "text_hash")
     one = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(largest.alias("__s")).select("doc_id", "__s.*")
-    one = _stored(one, spark, "documents")
+    one = stored(one, "documents")
     key = ["n_shingles", "set_hi", "set_lo"]
     first = F.min_by(F.struct("text_hash", "signature"), "doc_id").alias("__s")
     classes = one.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), first)
-    classes = _stored(classes.select(*key, "id", "__s.*"), spark, "classes")
+    classes = stored(classes.select(*key, "id", "__s.*"), "classes")
     buckets = classes.select("id", F.posexplode(chunk_keys(F.col("signature"))).alias("number", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select("bucket")
-    found = _links(_stored(buckets.join(shared, "bucket"), spark, "buckets"), classes, docs, spark)
+    found = _links(stored(buckets.join(shared, "bucket"), "buckets"), classes, docs)
     counts = found.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    labels = components(found, spark).withColumnRenamed("id", "class_id")
+    labels = components(found).withColumnRenamed("id", "class_id")
     named = classes.select(*key, F.col("id").alias("class_id")).join(labels, "class_id", "left").join(counts, "class_id", "left")
     grouped = one.where("n_shingles > 0").select("doc_id", *key).join(named, key).select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id",
@@ -299,26 +290,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, spark: SparkSession) -> DataFrame:
+def _links(buckets: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """All confirmed links (a, b), a > b, that the buckets (bucket, id) lead to."""
     signatures = classes.select("id", "signature")
     candidates = classes.select("id", "text_hash").join(buckets.select("id").distinct(), "id")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = _stored(texts.join(candidates, ["id", "text_hash"]).select("id", "text"), spark, "candidates")
+    texts = stored(texts.join(candidates, ["id", "text_hash"]).select("id", "text"), "candidates")
     # Every member against its bucket's centre.
     centres = buckets.groupBy("bucket").agg(F.min("id").alias("b"))
     centred = buckets.join(centres, "bucket").where("id <> b")
     pairs = _near_pairs(centred.select(F.col("id").alias("a"), "b"), signatures)
-    found = _stored(linked(pairs, texts).distinct(), spark, "links")
-    labels = components(found, spark)
+    found = stored(linked(pairs, texts).distinct(), "links")
+    labels = components(found)
     # What the buckets hold besides their centres, if it is of several classes.
     rest = centred.select("bucket", "number", "id").join(labels, "id", "left")
-    rest = _stored(rest.select("bucket", "number", "id", F.coalesce("component", "id").alias("class")), spark, "rest")
+    rest = stored(rest.select("bucket", "number", "id", F.coalesce("component", "id").alias("class")), "rest")
     still = rest.groupBy("bucket").agg(
         (F.min("class") != F.max("class")).alias("__several"), F.count("*").alias("__n")
     ).where("__several").select("bucket", "__n")
     more = _block_links(rest.join(still, "bucket"), signatures, texts)
-    return found.unionByName(_stored(more.distinct(), spark, "block-links")).distinct()
+    return found.unionByName(stored(more.distinct(), "block-links")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.text import Windows, hashes, words_of
+from logloom.llm.text import Windows, hashes, stored, words_of
 
 WINDOW = 35
 _NO_ID = -(1 << 63)
@@ -89,9 +89,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     every = stretches(keyed, window)
     # First level: anchors that are repeated.
     again = every.groupBy("anchor").agg(F.count("*").alias("__n")).where("__n > 1").select("anchor")
-    some = every.join(again, "anchor", "left_semi")
+    some = stored(every.join(again, "anchor", "left_semi"), "anchors")
     firsts = [F.first(c).alias(c) for c in ("doc", "version", "a", "b", "p", "left", "right")]
-    distinct = some.groupBy("anchor", "stretch").agg(F.count("*").alias("__n"), *firsts)
+    distinct = stored(some.groupBy("anchor", "stretch").agg(F.count("*").alias("__n"), *firsts), "stretches")
     settled = distinct.where("__n > 1").select("anchor", "stretch")
     whole = some.join(settled, ["anchor", "stretch"], "left_semi").select(
         "doc", "version", F.col("a").alias("first"), (F.col("b") + (window - 1)).alias("last")

@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.session import scratch_path
+
 _STEP = 0x9E3779B97F4A7C15
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -26,6 +28,13 @@ def importable(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, an empty one for null."""
     return F.coalesce(F.col(column), F.lit(""))
