@@ -87,10 +87,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text a uint32 array: its ids, or rows (id, start, end) with `offsets`."""
-        # As many words as single separators and one: no other white space than these.
-        plain = [
-            self.cuts and "<|" not in t and len(t.split()) == t.count(" ") + t.count("\n") + 1 for t in texts
-        ]
+        plain = [self.cuts and "<|" not in t and _single_blanks(t) for t in texts]
         whole = [i for i, p in enumerate(plain) if not p]
         out: list = [None] * len(texts)
         for i, e in zip(whole, self._plain([texts[i] for i in whole]) if whole else []):
@@ -132,6 +129,13 @@ class Pieces:
         return out
 
 
+def _single_blanks(text: str) -> bool:
+    """White space is single blanks and line feeds between words, and nothing else."""
+    words = text.split()
+    single = text.count(" ") + text.count("\n")
+    return len(words) == single + 1 and sum(map(len, words)) + single == len(text)
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str, offsets: bool = False) -> Pieces:
     """One per Python worker."""
