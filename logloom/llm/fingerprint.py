@@ -42,9 +42,9 @@ def _sums(part: Column) -> list[Column]:
     """Aggregates over parts; two lanes share a 64-bit sum that cannot overflow before 2^31 parts."""
     out = [F.count(part).alias("__n")]
     for s in SEEDS:
-        h = F.xxhash64(F.lit(s), part)
+        h = F.when(part.isNotNull(), F.xxhash64(F.lit(s), part))
         out += [F.sum(h.bitwiseAND(F.lit(_LOW))).alias(f"__l{s}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"__h{s}")]
-    h = F.xxhash64(F.lit(0), part)
+    h = F.when(part.isNotNull(), F.xxhash64(F.lit(0), part))
     out += [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_PAIR))).alias(f"__b{j}") for j in range(SIGNS // 2)]
     return out
 
