@@ -36,6 +36,8 @@ DAY = oracle_queries.DAY
 PAGE = oracle_queries.PAGE
 LOG_FIELDS = [c.strip() for c in oracle_queries.LOG_FIELDS.split(",")]
 NOW = {"availableNow": True}
+# Relative standard deviation that Spark's estimate of distinct values keeps to by default.
+HOST_ERROR = 0.05
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -172,8 +174,14 @@ def kpi_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_hosts_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact number of hosts, and whether the estimate is within 4 standard errors of it."""
+    count = F.col("unique_host_count")
+    exact = daily_kpis(_logs(spark, sf_dir)).select("date", count)
     kpis = daily_kpis(_logs(spark, sf_dir), exact_hosts=False)
-    return kpis.select("date", F.col("unique_host_count").alias("unique_host_estimate"))
+    near = F.abs(F.col("_estimate") - count) <= 4 * HOST_ERROR * count
+    return kpis.select("date", count.alias("_estimate")).join(exact, "date").select(
+        "date", count, near.alias("estimate_is_near")
+    )
 
 
 def response_code_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,10 +374,8 @@ def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/logs")
 
 
-def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _window_report(logs: DataFrame, root: str) -> DataFrame:
     """Event-time day windows per code in update mode; the newest update of a key stands."""
-    root = scratch_path(spark, "stream-report")
-    logs = parse_logs(watch_directories(spark, [_text_root(spark, sf_dir)]))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/updates/batch_id={batch_id}")
@@ -383,17 +389,34 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .start()
         .awaitTermination()
     )
+    figures = [
+        "total_log_count", "total_number_of_successful", "bad_records_count", "last_time",
+    ]
     return (
-        spark.read.option("basePath", f"{root}/updates")
+        logs.sparkSession.read.option("basePath", f"{root}/updates")
         .parquet(f"{root}/updates")
         .groupBy("date", "response_code")
-        .agg(
-            F.max_by("total_log_count", "batch_id").alias("total_log_count"),
-            F.max_by("last_time", "batch_id").alias("last_time"),
-        )
+        .agg(*[F.max_by(c, "batch_id").alias(c) for c in figures])
     )
 
 
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = parse_logs(watch_directories(spark, [_text_root(spark, sf_dir)]))
+    return _window_report(logs, scratch_path(spark, "stream-report"))
+
+
+def late_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in one micro-batch per file, the newest third of the month landing first."""
+    root = scratch_path(spark, "late-report")
+    parsed = parse_lines(_lines(spark, sf_dir))
+    day = F.dayofmonth(F.try_to_timestamp("date"))
+    for low, high in [(21, 31), (11, 20), (1, 10)]:
+        part = parsed.where(day.between(low, high)).select(F.col("line").alias("value"))
+        part.coalesce(1).write.mode("append").text(f"{root}/drop")
+    lines = watch_directories(spark, [f"{root}/drop"], files_per_batch=1)
+    return _window_report(parse_logs(lines), root)
+
+
 def rt_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.kpis(_deltas(spark, sf_dir)).drop("average_content_size")
 
@@ -490,6 +513,7 @@ def queries() -> dict[str, Query]:
         "daily_hosts_change": daily_hosts_change,
         "stream_parse": stream_parse,
         "stream_report": stream_report,
+        "late_report": late_report,
         "rt_kpi": rt_kpi,
         "rt_avg_size": rt_avg_size,
         "rt_response_code": rt_response_code,

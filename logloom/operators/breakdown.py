@@ -48,7 +48,7 @@ def breakdown(
         # The total ranks first, so it survives the cut and meets the k rows it
         # is needed for in the task that ranks them; nothing larger does.
         order = [is_total.desc(), F.col("hits").desc(), *[F.col(c).asc() for c in keys]]
-        rows = top_k(rows, k + 1, order, period, spread=keys)
+        rows = top_k(rows, k + 1, order, period)
     whole = F.max(F.when(is_total, F.col("hits"))).over(Window.partitionBy(*period))
     return (
         rows.withColumn("_whole", whole)

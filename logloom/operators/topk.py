@@ -7,30 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this k Spark trims each task to its own top rows before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
-_TRIMMED_BY_SPARK = 1000
-_BUCKETS = 256
 
-
-def top_k(
-    df: DataFrame, k: int, order: Sequence[Column], period: Sequence[str], spread: Sequence[str]
-) -> DataFrame:
+def top_k(df: DataFrame, k: int, order: Sequence[Column], period: Sequence[str]) -> DataFrame:
     """The first k rows of each period under `order`, with their `rank`.
 
-    `order` must end in a full key so that the result is the same on every run.
-    Only about k rows per task reach the task that ranks a period: Spark trims
-    them for small k; for larger k a first ranking within hash buckets of
-    `spread` does it.
+    `order` must end in a full key so that the result is the same on every run. For
+    the k of reports Spark trims each task to its own top rows before the shuffle.
     """
-    if k > _TRIMMED_BY_SPARK:
-        bucket = F.pmod(F.xxhash64(*spread), F.lit(_BUCKETS))
-        within = Window.partitionBy(*period, "_bucket").orderBy(*order)
-        df = (
-            df.withColumn("_bucket", bucket)
-            .withColumn("_in_bucket", F.row_number().over(within))
-            .where(F.col("_in_bucket") <= k)
-            .drop("_bucket", "_in_bucket")
-        )
     ranking = Window.partitionBy(*period).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)

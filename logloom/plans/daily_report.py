@@ -113,7 +113,7 @@ def report_rows(
     )
     keys = ["host", "endpoint", "response_code"]
     order = [F.col("count").desc(), *[F.col(c).asc() for c in keys]]
-    ranked = top_k(candidates, k, order, ["qualifier", "date"], spread=keys).drop("rank")
+    ranked = top_k(candidates, k, order, ["qualifier", "date"]).drop("rank")
     by_hour = hours.where(F.col("response_code") >= ERROR_CODE).select(
         "date",
         F.lit("error_hour").alias("qualifier"),

@@ -49,7 +49,7 @@ def first_page(
     """The first page of each day's table, sorted by any column; ties go by key."""
     by = F.col(sort_by).desc() if descending else F.col(sort_by).asc()
     order = [by, *[F.col(c).asc() for c in keys if c != sort_by]]
-    return top_k(rows, page_rows, order, ["date"], spread=keys)
+    return top_k(rows, page_rows, order, ["date"])
 
 
 def average_size(kpis: DataFrame) -> DataFrame:

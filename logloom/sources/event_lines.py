@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.sources.files import spread
 
 _EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
@@ -26,7 +25,7 @@ _LINE = """concat(
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, value): one log line per event, with some malformed ones."""
-    events = spread(spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet"))
+    events = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
     return events.selectExpr("*", "cast(get_json_object(props, '$.k') AS INT) AS k").selectExpr(
         "event_id", f"if(event_id % 97 = 0, concat('malformed line ', event_id), {_LINE}) AS value"
     )

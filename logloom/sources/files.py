@@ -21,16 +21,6 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use every core on an input of fewer splits than the cluster has cores.
-
-    Such an input is small by that very fact; a large one passes unchanged and is
-    never shuffled. For plain scans only.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def write_logs(parsed: DataFrame, root: str, *, rebalance: bool = True) -> None:
     """Write accepted rows to the log table, replacing the days they cover.
 
@@ -66,10 +56,13 @@ def read_logs(spark: SparkSession, root: str, days: Iterable[str] | None = None)
     return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def list_partitions(spark: SparkSession, root: str, pattern: str) -> list[str]:
+def list_partitions(
+    spark: SparkSession, root: str, pattern: str, *, finished: bool = False
+) -> list[str]:
     """First group of `pattern` for each subdirectory of `root` it matches as a whole.
 
-    One directory listing; no data file is touched.
+    With `finished`, only of those that hold the mark Spark's writer leaves when all
+    of its tasks are committed. No data file is touched.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = hadoop.Path(root)
@@ -77,7 +70,9 @@ def list_partitions(spark: SparkSession, root: str, pattern: str) -> list[str]:
     if not fs.exists(path):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-    return sorted(m.group(1) for n in names if (m := re.fullmatch(pattern, n)))
+    found = {n: m.group(1) for n in names if (m := re.fullmatch(pattern, n))}
+    mark = "_SUCCESS"
+    return sorted(v for n, v in found.items() if not finished or fs.exists(hadoop.Path(f"{root}/{n}/{mark}")))
 
 
 def list_days(spark: SparkSession, root: str) -> DataFrame:

@@ -71,17 +71,16 @@ def batch_delta(lines: DataFrame, batch_id: int, *, day_from: str = "event") ->
 
 
 def write_delta(
-    lines: DataFrame, batch_id: int, root: str, *, day_from: str = "event", files: int | None = 16
+    lines: DataFrame, batch_id: int, root: str, *, day_from: str = "event"
 ) -> None:
     """The body of foreachBatch: one job per micro-batch, safe to repeat.
 
-    `files` bounds the number of files each grain gets; size it to the batch.
+    The rebalance hint gives each grain files of even size, however large the batch; the
+    aggregation before it runs in as many tasks as Spark finds fit.
     """
     delta = batch_delta(lines, batch_id, day_from=day_from)
-    if files is not None:
-        delta = delta.coalesce(files)
     (
-        delta.write.mode("overwrite")
+        delta.hint("rebalance", F.col("grain")).write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("grain")
         .parquet(f"{root}/deltas/batch_id={batch_id}")
@@ -95,7 +94,6 @@ def report_stream(
     *,
     trigger: dict | None = None,
     day_from: str = "event",
-    files: int | None = 16,
     also: Callable[[DataFrame, int], None] | None = None,
 ) -> DataStreamWriter:
     """A writer that keeps the deltas below `root` up to date; call start() on it.
@@ -104,7 +102,7 @@ def report_stream(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_delta(batch, batch_id, root, day_from=day_from, files=files)
+        write_delta(batch, batch_id, root, day_from=day_from)
         if also is not None:
             also(batch, batch_id)
 
@@ -116,15 +114,19 @@ def report_stream(
 
 
 def _stored(spark: SparkSession, root: str) -> tuple[list[tuple[int, int]], list[int]]:
-    """The longest merged runs of batches, and the batches outside of them."""
-    names = list_partitions(spark, f"{root}/merged", r"batches=(\d+-\d+)")
+    """The longest merged runs of batches, and the batches outside of them.
+
+    A run or batch that was not written to its end, as a killed job leaves it, doesn't count:
+    the batches below an unfinished run are read one by one.
+    """
+    names = list_partitions(spark, f"{root}/merged", r"batches=(\d+-\d+)", finished=True)
     runs: list[tuple[int, int]] = []
     for first, last in sorted(
         (tuple(map(int, n.split("-"))) for n in names), key=lambda r: (r[0], -r[1])
     ):
         if not runs or first > runs[-1][1]:
             runs.append((first, last))
-    batches = sorted(int(n) for n in list_partitions(spark, f"{root}/deltas", r"batch_id=(\d+)"))
+    batches = sorted(int(n) for n in list_partitions(spark, f"{root}/deltas", r"batch_id=(\d+)", finished=True))
     return runs, [n for n in batches if not any(a <= n <= b for a, b in runs)]
 
 

@@ -1,4 +1,4 @@
-"""Daily figures as native event-time windows with a watermark."""
+"""Daily figures as native event-time windows."""
 
 from __future__ import annotations
 
@@ -10,27 +10,26 @@ from pyspark.sql import functions as F
 from logloom.schema import ERROR_CODE, SUCCESS_CODE
 
 
-def daily_windows(logs: DataFrame, keys: Sequence[str] = (), *, delay: str = "1 day") -> DataFrame:
+def daily_windows(logs: DataFrame, keys: Sequence[str] = (), *, delay: str | None = None) -> DataFrame:
     """Counts per day (and key) over a stream of parsed logs.
 
-    Rows more than `delay` behind the latest event are dropped once their day is
-    closed, which is what lets Spark forget old days. Hosts are estimated, as the
-    state for exact ones would grow with the traffic; for figures that are exact
-    however late a line comes, use the deltas.
+    Without `delay`, lines count however late they come; the state is a row per day
+    and key, which stays small for response codes. With it, rows more than `delay`
+    behind the latest event are dropped once their day is closed, and Spark forgets old
+    days (needed for append mode); Spark's progress reports tell how many
+    (numRowsDroppedByWatermark). Hosts are estimated, as the state for exact ones would
+    grow with the traffic; the deltas have exact ones.
     """
     # The wall clock read as UTC, so that windows are the logged days whatever the
     # session time zone; `date` is one value per window.
     clock = F.concat(F.col("date_time"), F.lit("Z")).cast("timestamp")
-    return (
-        logs.withColumn("clock", clock)
-        .withWatermark("clock", delay)
-        .groupBy(F.window("clock", "1 day").alias("day"), "date", *keys)
-        .agg(
-            F.count("*").alias("total_log_count"),
-            F.count_if(F.col("response_code") == SUCCESS_CODE).alias("total_number_of_successful"),
-            F.count_if(F.col("response_code") >= ERROR_CODE).alias("bad_records_count"),
-            F.approx_count_distinct("host").alias("unique_host_estimate"),
-            F.max("event_time").cast("string").alias("last_time"),
-        )
-        .drop("day")
-    )
+    timed = logs.withColumn("clock", clock)
+    if delay is not None:
+        timed = timed.withWatermark("clock", delay)
+    return timed.groupBy(F.window("clock", "1 day").alias("day"), "date", *keys).agg(
+        F.count("*").alias("total_log_count"),
+        F.count_if(F.col("response_code") == SUCCESS_CODE).alias("total_number_of_successful"),
+        F.count_if(F.col("response_code") >= ERROR_CODE).alias("bad_records_count"),
+        F.approx_count_distinct("host").alias("unique_host_estimate"),
+        F.max("event_time").cast("string").alias("last_time"),
+    ).drop("day")

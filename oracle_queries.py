@@ -184,6 +184,12 @@ def build() -> dict[str, str]:
     table = lambda sql, cols="*": logs(f"SELECT {cols} FROM {sql}")
     cells = lambda body: _with(BATCH_CELLS, body)
     hosts = "SELECT date, count(DISTINCT host) AS unique_host_count FROM logs GROUP BY date"
+    windows = (
+        "SELECT date, response_code, count(*) AS total_log_count, "
+        "count(*) FILTER (response_code = 200) AS total_number_of_successful, "
+        "count(*) FILTER (response_code >= 400) AS bad_records_count, max(date_time) AS last_time "
+        "FROM logs GROUP BY date, response_code"
+    )
     am_pm = "hour < 12"
     rt_kpi_columns = (
         "date, total_log_count, total_number_of_successful, total_failed_access, "
@@ -270,9 +276,10 @@ def build() -> dict[str, str]:
             f"WHERE NOT regexp_matches(value, '{PATTERN}')",
         ),
         "stream_parse": logs(f"SELECT {LOG_FIELDS} FROM logs"),
-        "stream_report": logs(
-            "SELECT date, response_code, count(*) AS total_log_count, max(date_time) AS last_time "
-            "FROM logs GROUP BY date, response_code"
+        "stream_report": logs(windows),
+        "late_report": logs(windows),
+        "unique_hosts_approx": logs(
+            f"SELECT date, unique_host_count, true AS estimate_is_near FROM ({hosts})"
         ),
         "ingest_fan_in": _with(LINES, "SELECT value FROM lines"),
         "response_code_share": logs(

@@ -28,7 +28,7 @@ def _stream(spark, tmp_path, **options):
     root = str(tmp_path)
     lines = watch_directories(spark, [f"{root}/drop"], files_per_batch=1)
     deltas.report_stream(
-        lines, root, f"{root}/checkpoint", trigger=NOW, files=2, **options
+        lines, root, f"{root}/checkpoint", trigger=NOW, **options
     ).start().awaitTermination()
     return root
 
@@ -76,8 +76,8 @@ def test_restart_takes_each_file_once_and_a_late_day_counts(spark, tmp_path):
 def test_batch_delivered_twice_counts_once(spark, tmp_path):
     lines = mixed_lines(200)
     for _ in range(2):
-        deltas.write_delta(text(spark, lines), 0, str(tmp_path), files=1)
-    deltas.write_delta(text(spark, lines[:50]), 1, str(tmp_path), files=None)
+        deltas.write_delta(text(spark, lines), 0, str(tmp_path))
+    deltas.write_delta(text(spark, lines[:50]), 1, str(tmp_path))
     _same_as_batch(spark, str(tmp_path), lines + lines[:50])
 
 
@@ -96,7 +96,7 @@ def test_compaction_changes_no_figure(spark, tmp_path):
     root, lines = str(tmp_path), mixed_lines(700)
     chunks = _chunks(lines, 7)
     for i, chunk in enumerate(chunks):
-        deltas.write_delta(text(spark, [*chunk, "broken"]), i, root, files=1)
+        deltas.write_delta(text(spark, [*chunk, "broken"]), i, root)
     before = _rows(deltas.online(deltas.read_deltas(spark, root)))
     for first, last in [(0, 1), (2, 3), (0, 5)]:
         deltas.compact(spark, root, first, last)
@@ -199,6 +199,18 @@ def test_native_day_windows(spark, tmp_path, zone):
     }
 
 
+def test_unfinished_compaction_and_batch_are_not_read(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(2):
+        deltas.write_delta(text(spark, [line(1, "10:00:00", "a", "/", 200)] * (i + 1)), i, root)
+    for left in ("merged/batches=0-1/_temporary/0", "deltas/batch_id=2/_temporary/0"):
+        (tmp_path / left).mkdir(parents=True)
+    total = deltas.kpis(deltas.read_deltas(spark, root)).collect()[0]["total_log_count"]
+    assert total == 3
+    deltas.compact(spark, root, 0, 1)
+    assert deltas.kpis(deltas.read_deltas(spark, root)).collect()[0]["total_log_count"] == 3
+
+
 def test_kafka_options_and_decoding(spark):
     source = kafka.source_options("broker:9092", "weblog")
     assert source == {
