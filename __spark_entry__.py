@@ -300,20 +300,23 @@ def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.head(_cells(spark, sf_dir), PAGE)
+    return store.head(_cells(spark, sf_dir), BATCH_TABLE, PAGE)
 
 
 def store_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.head(_cells(spark, sf_dir), PAGE, reverse=True)
+    return store.head(_cells(spark, sf_dir), BATCH_TABLE, PAGE, reverse=True)
 
 
 def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.get_rows(_cells(spark, sf_dir), f"date={DAY}", "date=1999-12-31")
+    return store.get_rows(_cells(spark, sf_dir), BATCH_TABLE, f"date={DAY}", "date=1999-12-31")
 
 
 def store_put(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revise one column of every row, add one, and try an undeclared family."""
-    stored = _cells(spark, sf_dir).withColumn("version", F.lit(1))
+    """In a store of its own: revise one column of every row, add one, try an undeclared family."""
+    root = scratch_path(spark, "store-put")
+    stored = _cells(spark, sf_dir)
+    other = stored.where("qualifier = 'total_log_count'").withColumn("table", F.lit("other"))
+    store.write_cells(stored.unionByName(other), root)
     revised = stored.where("qualifier = 'unique_host_count'").withColumn("value", F.lit("revised"))
     added = (
         stored.where("qualifier = 'total_log_count'")
@@ -321,9 +324,10 @@ def store_put(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("value", F.lit("seen"))
     )
     stray = added.withColumn("family", F.lit("undeclared"))
-    puts = revised.unionByName(added).unionByName(stray).withColumn("version", F.lit(2))
+    puts = revised.unionByName(added).unionByName(stray)
     valid, _ = store.split_conflicts(puts, {BATCH_TABLE: [FAMILY]})
-    return store.put(stored, valid)
+    store.put_cells(valid, root)
+    return store.read_cells(spark, root)
 
 
 def store_nested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.schema import CELL_COLUMNS, CELL_SCHEMA, FAMILY
+from logloom.session import scratch_path
 
 # A table of unlimited length is stored in parts of about this many rows, so that
 # no cell grows with the data.
@@ -111,31 +112,40 @@ def read_cells(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(root).select(*CELL_COLUMNS)
 
 
-def head(cells: DataFrame, rows: int, *, reverse: bool = False) -> DataFrame:
+def head(cells: DataFrame, table: str, rows: int, *, reverse: bool = False) -> DataFrame:
     """Cells of the first (or last) rows of a table by row key."""
+    own = cells.where(F.col("table") == table)
     key = F.col("row_key").desc() if reverse else F.col("row_key").asc()
-    first = cells.select("row_key").distinct().orderBy(key).limit(rows)
-    return cells.join(first, "row_key", "left_semi").select(*cells.columns)
+    first = own.select("row_key").distinct().orderBy(key).limit(rows)
+    return own.join(first, "row_key", "left_semi").select(*cells.columns)
 
 
-def get_rows(cells: DataFrame, *row_keys: str) -> DataFrame:
-    """Cells of the named rows; a missing row yields nothing."""
-    return cells.where(F.col("row_key").isin(*row_keys))
+def get_rows(cells: DataFrame, table: str, *row_keys: str) -> DataFrame:
+    """Cells of the named rows of a table; a missing row yields nothing."""
+    return cells.where((F.col("table") == table) & F.col("row_key").isin(*row_keys))
 
 
 def get_rows_in(cells: DataFrame, keys: DataFrame) -> DataFrame:
-    """Cells of the rows whose row_key is listed in another table."""
-    return cells.join(keys.select("row_key"), "row_key", "left_semi").select(*cells.columns)
+    """Cells of the rows whose (table, row_key) is listed in another table."""
+    address = ["table", "row_key"]
+    return cells.join(keys.select(*address), address, "left_semi").select(*cells.columns)
 
 
-def put(stored: DataFrame, puts: DataFrame) -> DataFrame:
-    """Upsert cells; both sides carry a `version` and the greatest one wins."""
+def put_cells(puts: DataFrame, root: str) -> None:
+    """Upsert cells into the store: a put replaces the value of its address or adds the cell.
+
+    Only the rows touched are read, folded and swapped; their other cells stay. Of puts to
+    the same address the greatest value is kept. The folded rows are written aside first,
+    so a job that dies leaves each row as it was or as it shall be.
+    """
+    spark = puts.sparkSession
     address = [c for c in CELL_COLUMNS if c != "value"]
-    return (
-        stored.unionByName(puts)
-        .groupBy(*address)
-        .agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version"))
-    )
+    new = puts.groupBy(*address).agg(F.max("value").alias("value"))
+    touched = get_rows_in(read_cells(spark, root), new.select("table", "row_key").distinct())
+    kept = touched.join(new.select(*address), address, "left_anti")
+    aside = scratch_path(spark, "puts")
+    kept.select(*CELL_COLUMNS).unionByName(new.select(*CELL_COLUMNS)).write.parquet(aside)
+    write_cells(spark.read.parquet(aside), root)
 
 
 def split_conflicts(

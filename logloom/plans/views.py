@@ -20,7 +20,7 @@ NUMERIC = {"count": "bigint", "percentage": "double", "response_code": "int", "h
 
 def report_for_day(cells: DataFrame, day: str, table: str = BATCH_TABLE) -> DataFrame:
     """The cells of one day's report; the average size rounded for display."""
-    row = get_rows(cells.where(F.col("table") == table), f"date={day}")
+    row = get_rows(cells, table, f"date={day}")
     rounded = round_half_up(F.col("value").try_cast("double")).cast("string")
     value = F.when(F.col("qualifier") == "average_content_size", rounded).otherwise(F.col("value"))
     return row.withColumn("value", value)

@@ -314,9 +314,9 @@ def build() -> dict[str, str]:
         "store_get": cells(f"SELECT * FROM cells WHERE row_key = 'date={DAY}'"),
         "store_put": cells(
             "SELECT \"table\", row_key, family, qualifier, part, CASE WHEN qualifier = 'unique_host_count' "
-            "THEN 'revised' ELSE value END AS value, CASE WHEN qualifier = 'unique_host_count' THEN 2 "
-            "ELSE 1 END AS version FROM cells UNION ALL SELECT \"table\", row_key, family, 'note', 0, "
-            "'seen', 2 FROM cells WHERE qualifier = 'total_log_count'"
+            "THEN 'revised' ELSE value END AS value FROM cells UNION ALL SELECT \"table\", row_key, family, "
+            "'note', 0, 'seen' FROM cells WHERE qualifier = 'total_log_count' UNION ALL SELECT 'other', row_key, "
+            "family, qualifier, part, value FROM cells WHERE qualifier = 'total_log_count'"
         ),
         "store_nested_rows": cells(
             "SELECT \"table\", row_key AS \"rowKey\", part, family AS \"familyName\", CAST(row_number() OVER "

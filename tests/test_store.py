@@ -29,38 +29,42 @@ def _rows(df):
 
 
 def test_head_and_tail(cells):
-    assert _rows(store.head(cells, 2)) == sorted(r for r in ROWS if r[1] < "date=1995-07-03")
-    assert _rows(store.head(cells, 2, reverse=True)) == sorted(
+    assert _rows(store.head(cells, "t", 2)) == sorted(r for r in ROWS if r[1] < "date=1995-07-03")
+    assert _rows(store.head(cells, "t", 2, reverse=True)) == sorted(
         r for r in ROWS if r[1] > "date=1995-07-01"
     )
-    assert _rows(store.head(cells, 99)) == sorted(ROWS)
+    assert _rows(store.head(cells, "t", 99)) == sorted(ROWS)
 
 
 def test_get(spark, cells):
-    assert _rows(store.get_rows(cells, "date=1995-07-03")) == sorted(ROWS[3:])
-    assert store.get_rows(cells, "date=2000-01-01").count() == 0
-    keys = spark.createDataFrame([("date=1995-07-01",), ("date=1995-07-03",)], "row_key string")
+    assert _rows(store.get_rows(cells, "t", "date=1995-07-03")) == sorted(ROWS[3:])
+    assert store.get_rows(cells, "t", "date=2000-01-01").count() == 0
+    keys = spark.createDataFrame(
+        [("t", "date=1995-07-01"), ("t", "date=1995-07-03"), ("u", "date=1995-07-02")],
+        "table string, row_key string",
+    )
     assert _rows(store.get_rows_in(cells, keys)) == sorted(ROWS[2:])
 
 
-def test_put_newest_version_wins(spark, cells):
+def test_rows_of_other_tables_stay_out(cells):
     from pyspark.sql import functions as F
 
-    stored = cells.withColumn("version", F.lit(3))
-    puts = spark.createDataFrame(
-        [
-            ("t", "date=1995-07-01", "cf", "a", 0, "new", 4),
-            ("t", "date=1995-07-03", "cf", "a", 0, "stale", 2),
-            ("t", "date=1995-07-04", "cf", "a", 0, "row", 4),
-        ],
-        stored.schema,
-    )
-    after = {(r["row_key"], r["family"], r["qualifier"]): r["value"] for r in
-             store.put(stored, puts).collect()}
-    assert after[("date=1995-07-01", "cf", "a")] == "new"
-    assert after[("date=1995-07-03", "cf", "a")] == "1"
-    assert after[("date=1995-07-04", "cf", "a")] == "row"
-    assert len(after) == len(ROWS) + 1
+    both = cells.unionByName(cells.withColumn("table", F.lit("u")))
+    assert _rows(store.head(both, "t", 99)) == sorted(ROWS)
+    assert _rows(store.get_rows(both, "t", "date=1995-07-03")) == sorted(ROWS[3:])
+
+
+def test_put_swaps_only_the_rows_touched(spark, cells, tmp_path):
+    root = str(tmp_path / "store")
+    store.write_cells(cells, root)
+    puts = [
+        ("t", "date=1995-07-02", "cf", "a", 0, "new"),
+        ("t", "date=1995-07-04", "cf", "a", 0, "row"),
+        ("u", "date=1995-07-02", "cf", "a", 0, "else"),
+    ]
+    for _ in range(2):
+        store.put_cells(spark.createDataFrame(puts, cells.schema), root)
+        assert _rows(store.read_cells(spark, root)) == sorted([ROWS[0], *ROWS[2:], *puts])
 
 
 def test_put_to_unknown_family_is_a_conflict(cells):
