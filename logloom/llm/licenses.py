@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.llm.text import stored
+
 # Families and the notices by which works name them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -162,19 +164,22 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     found = _once(_paragraphs(docs).where("line <> ''"), "__words", words(F.col("line")), "line")
     # Every gram of the vocabulary has a unigram of it, so the other paragraphs have none.
     found = found.where(F.arrays_overlap("__words", unigrams))
-    found = _once(found, "__pairs", bigrams(F.col("__words")))
+    # Stored twice: small plans, whose generated code compiles in little memory, and each column
+    # computed once.
+    found = stored(found, "licence-words")
+    found = found.withColumn("__pairs", bigrams(F.col("__words")))
     grams = F.concat(F.array_distinct("__words"), F.col("__pairs"))
-    found = _once(found, "__hits", F.array_intersect(grams, vocabulary), "__words")
     weights = _json(model["weights"], "array<array<double>>")
     start = _json(model["intercepts"], "array<double>")
     logits = F.aggregate(
-        "__hits", start,
+        F.array_intersect(grams, vocabulary), start,
         lambda z, h: F.zip_with(z, F.get(weights, (F.array_position(vocabulary, h) - 1).cast("int")), lambda a, b: a + b),
     )
-    found = _once(_once(found, "__z", logits, "__hits"), "__most", F.array_max("__z"))
-    total = F.aggregate("__z", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("__most")) / model["temperature"]))
-    predicted = F.get(families, (F.array_position("__z", F.col("__most")) - 1).cast("int"))
-    found = _once(_once(found, "probability", 1 / total), "predicted", predicted, "__z", "__most")
+    found = stored(found.select("doc_id", "paragraph", "__pairs", logits.alias("__z")), "licence-logits")
+    most = F.array_max("__z")
+    total = F.aggregate(F.transform("__z", lambda x: F.exp(x / model["temperature"])), F.lit(0.0), lambda s, x: s + x)
+    predicted = F.get(families, (F.array_position("__z", most) - 1).cast("int"))
+    found = found.withColumn("probability", F.exp(most / model["temperature"]) / total).withColumn("predicted", predicted)
     found = found.where((F.col("predicted") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
     pairs = _json(_template_pairs(docs.sparkSession), "array<struct<family: string, template: int, pairs: array<string>>>")
     own = F.filter(pairs, lambda t: t["family"] == F.col("predicted"))
