@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.text import stored
+
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
 #: Documents in which a template must occur to be dropped, and a token to be part of one.
@@ -28,8 +30,10 @@ def lines_of(text: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """Tokens with a digit as fields, single blanks, none at the ends."""
-    spaced = F.regexp_replace(F.regexp_replace(line, _DIGITS, FIELD), _BLANKS, " ")
-    return F.trim(spaced)
+    # Most lines have neither digits nor other white space than single blanks.
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line)
+    odd = line.rlike(r"[\x09-\x0D]|\x20\x20")
+    return F.trim(F.when(odd, F.regexp_replace(fields, _BLANKS, " ")).otherwise(fields))
 
 
 def _leaf(mask: Column) -> Column:
@@ -56,7 +60,7 @@ def _templates(keyed: DataFrame, least_documents: int, least_fixed: float) -> tu
     # Leaves by documents, on hashes alone: partial counts first, so no leaf is gathered.
     leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("__n"))
     leaves = leaves.where(F.col("__n") >= least_documents).select("leaf")
-    own = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "mask", "doc").agg(F.lit(1).alias("__one"))
+    own = stored(lines.join(leaves, "leaf", "left_semi").dropDuplicates(["leaf", "mask", "doc"]), "lines")
     counted = own.groupBy("leaf", "mask").agg(F.count("*").alias("n"))
     tokens = counted.select("leaf", "mask", "n", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     support = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("__s"))
