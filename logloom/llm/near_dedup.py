@@ -36,7 +36,7 @@ PERCENT = 75
 CHUNKS, CHUNK, ERRORS = 8, 4, 1
 SLOTS = CHUNKS * CHUNK
 #: Members of a bucket that one side of a task holds.
-BLOCK = 1024
+BLOCK = 2048
 _MASKS = list(combinations(range(CHUNK), CHUNK - ERRORS))
 KEYS = CHUNKS * len(_MASKS)
 
