@@ -1,15 +1,14 @@
-"""Toxicity by the nearest labelled examples in exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples in TF-IDF cosine.
 
-Terms are words and the first letters of words. Those that go with the label are the
-vocabulary; their document frequencies are counted over all documents. The examples'
-vectors are kept in a block-max inverted index, equal ones as one entry with its counts.
-A text's score is the weighted share of toxic ones among its nearest examples, with
+Terms are words and the first letters of words; all terms of the examples are indexed, with
+document frequencies of all documents. Terms that go with the toxic label weigh more, by
+their chi-square; none is left out. Equal vectors are one entry of the index with its
+counts. A text's score is the weighted share of toxic ones among its nearest examples, with
 nearer ones counting more and a prior of the base rate; the examples are its evidence.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -20,21 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.decontaminate import plain_words
-from logloom.llm.postings import Postings
+from logloom.llm.postings import _gather
 from logloom.llm.text import lower_words_of, shingle_set
 
 #: Labelled rows that are learned from, those of the smallest hashes; more are left out.
 EXAMPLES = 20_000
-#: Least chi-square of a term with the label, and least examples it occurs in.
-LEAST_CHI2, LEAST_EXAMPLES = 60.0, 5
-#: Terms of highest chi-square that are kept.
-TERMS = 20_000
 #: Letters of a word's beginning that are a term, besides the word.
 BEGINNINGS = (4, 5)
 NEIGHBOURS = 25
 #: A neighbour at cosine s has weight 1 / (1 - s + SOFT); the base rate weighs as PRIOR.
 SOFT, PRIOR = 0.02, 1.0
 EVIDENCE = 3
+#: Power of a term's toxic share in its weight, so that words of a language or topic gain little.
+SHARE_POWER = 4
+#: Terms of the longest lists, kept as a dense matrix; texts that are compared with it at once.
+DENSE, AT_ONCE = 2048, 128
 SCORE_SCHEMA = "doc_id bigint, score double, evidence array<bigint>, evidence_terms array<string>"
 
 
@@ -85,109 +84,134 @@ def _examples(docs: DataFrame, labels: DataFrame, learn: Column, n: int) -> Data
     return texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
 
-def _vocabulary(examples: DataFrame) -> list[str]:
-    """Terms that go with the label, by descending chi-square.
+def _vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples in order, and the factor by which each weighs more.
 
-    Copies of a text would lend weight to any of its words, so examples that share a label
-    and a minimum hash of their shingles count once here.
+    The factor is 1 plus the chi-square of terms that go with the toxic label, times a power
+    of their share of toxic examples. Near copies of a text would lend weight to any of its
+    words, so examples that share a label and their three least shingle hashes count once
+    for the factor.
     """
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(lower_words_of(t.as_py())) for t in batch.column("text")]
-            least = [int(s[0].view(np.int64)) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(least, pa.int64())], names=["doc_id", "least"])
+            sets = [shingle_set(lower_words_of(t.as_py()))[:3].tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "least"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both: tuple[Counter, Counter] = Counter(), Counter()
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                both[toxic > 0].update({t for w in set(plain_words(text)) for t in terms_of(w)})
-            names = list({*both[0], *both[1]})
+            seen: set[str] = set()
+            columns = [batch.column(c).to_pylist() for c in ("toxic", "first", "text")]
+            for toxic, first, text in zip(*columns):
+                own = {t for w in set(plain_words(text)) for t in terms_of(w)}
+                seen |= own
+                if first:
+                    both[toxic > 0].update(own)
+            names = list(seen)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), *(pa.array([both[k][t] for t in names], pa.int64()) for k in (0, 1))],
                 names=["term", "clean", "toxic"],
             )
 
-    marks = examples.select("doc_id", "text").mapInArrow(marked, "doc_id bigint, least bigint")
-    firsts = examples.select("doc_id", "toxic").join(marks, "doc_id").groupBy("toxic", "least").agg(F.min("doc_id").alias("doc_id"))
-    examples = examples.join(F.broadcast(firsts.select("doc_id")), "doc_id").persist()
-    n, n_toxic = examples.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
-    if not n or not n_toxic or n == n_toxic:
-        return []
-    counts = examples.select("toxic", "text").mapInArrow(rows, "term string, clean bigint, toxic bigint")
-    counts = counts.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    total, positive, negative = float(n), float(n_toxic), float(n - n_toxic)
-    c, t = F.col("c").cast("double"), F.col("t").cast("double")
-    apart = t * negative - c * positive
-    with_term = c + t
-    without = F.greatest(F.lit(0.5), F.lit(total) - with_term)
-    chi2 = total * apart * apart / (with_term * without * positive * negative)
-    best = counts.withColumn("chi2", chi2).where(
-        (F.col("chi2") >= LEAST_CHI2) & (with_term >= LEAST_EXAMPLES) & (apart > 0)
-    )
-    terms = [r.term for r in best.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()]
-    examples.unpersist()
-    return terms
-
-
-def _counted(texts: DataFrame, vocabulary: list[str]) -> dict[int, int]:
-    """In how many of the texts each term of the vocabulary occurs."""
+    marks = examples.select("doc_id", "text").mapInArrow(marked, "doc_id bigint, least binary")
+    firsts = examples.select("doc_id", "toxic").join(marks, "doc_id").groupBy((F.col("toxic") > 0).alias("bad"), "least").agg(F.min("doc_id").alias("doc_id"))
+    firsts = firsts.select("doc_id", F.lit(True).alias("first"))
+    # As many rows as there are examples, at most.
+    told = examples.join(F.broadcast(firsts), "doc_id", "left").withColumn("first", F.coalesce("first", F.lit(False))).persist()
+    n, n_toxic = told.where("first").agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
+    counts = told.select("toxic", "first", "text").mapInArrow(rows, "term string, clean bigint, toxic bigint")
+    counts = counts.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).orderBy("term").toArrow()
+    told.unpersist()
+    c, t = (counts.column(k).to_numpy().astype(np.float64) for k in ("c", "t"))
+    factors = np.ones(len(c))
+    if n and n_toxic and n > n_toxic:
+        apart = t * (n - n_toxic) - c * n_toxic
+        chi2 = n * apart * apart / (np.maximum(c + t, 1) * np.maximum(0.5, n - c - t) * n_toxic * (n - n_toxic))
+        share = (t + n_toxic / n) / (c + t + 1)
+        factors += np.where(apart > 0, chi2 * share**SHARE_POWER, 0.0)
+    return counts.column("term").to_pylist(), factors
+
+
+def _counted(texts: DataFrame, vocabulary) -> np.ndarray:
+    """In how many of the texts each term of the broadcast vocabulary occurs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Terms(vocabulary)
-        total: Counter = Counter()
+        own = Terms(vocabulary.value)
+        total = np.zeros(len(own.number), np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                total.update(own.count(text.as_py()).keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "n"]
-        )
+                total[list(own.count(text.as_py()))] += 1
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["term", "n"])
 
-    counts = texts.select("text").mapInArrow(rows, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r.term: r.n for r in counts.collect()}
+    counts = texts.select("text").mapInArrow(rows, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary.value))
+    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    return df
 
 
 class Model:
-    def __init__(self, vocabulary, df, n_docs, entries, sizes, toxic, evidence, base):
-        self.terms, self.vocabulary = Terms(vocabulary), vocabulary
-        self.idf = np.array([math.log(1 + n_docs / (1 + df.get(i, 0))) for i in range(len(vocabulary))])
-        self.sizes, self.toxic, self.evidence, self.base = np.array(sizes), np.array(toxic, float), evidence, base
-        rows = []
-        for e, counts in enumerate(entries):
-            t, w = self.vector(dict(counts))
-            rows += [(a, e, b) for a, b in zip(t.tolist(), w.tolist())]
-        table = np.array(rows, np.float64).reshape(-1, 3)
-        self.postings = Postings(
-            table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), table[:, 2], len(vocabulary), len(entries)
-        )
-        #: What texts without any term get: the examples without any.
-        empty = next((e for e, counts in enumerate(entries) if not counts), None)
-        n, y = (0, 0.0) if empty is None else (self.sizes[empty], self.toxic[empty])
-        self.blank = (y / (1 + SOFT) + PRIOR * base) / (n / (1 + SOFT) + PRIOR)
-        self.blank_evidence = [] if empty is None else evidence[empty]
+    """An index of the entries: `starts`, `entries` and `counts` are the terms' lists, which weights are computed from."""
+
+    def __init__(self, vocabulary, idf, starts, entries, counts, sizes, toxic, evidence, base, blank, blank_evidence):
+        self.terms, self.vocabulary, self.idf = Terms(vocabulary), vocabulary, idf
+        weights = (1 + np.log(counts, dtype=np.float32)) * np.repeat(idf.astype(np.float32), np.diff(starts))
+        norms = np.sqrt(np.bincount(entries, weights * weights, len(sizes)))
+        weights /= norms.astype(np.float32)[entries]
+        self.starts, self.entries, self.weights = starts, entries, weights
+        self.sizes, self.toxic, self.evidence, self.base = sizes, toxic, evidence, base
+        self.blank, self.blank_evidence = blank, blank_evidence
+        #: The longest lists as a matrix; place of each of its terms, or -1.
+        lengths = np.diff(starts)
+        long = np.argsort(-lengths, kind="stable")[:DENSE]
+        self.place = np.full(len(vocabulary), -1)
+        self.place[long] = np.arange(len(long))
+        self.dense = np.zeros((len(long), len(sizes)), np.float32)
+        for i, t in enumerate(long.tolist()):
+            self.dense[i, entries[starts[t] : starts[t + 1]]] = weights[starts[t] : starts[t + 1]]
         self.memory: dict[tuple, tuple] = {}
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(counts), np.int64)
-        w = np.array([1 + math.log(counts[i]) for i in t.tolist()]) * self.idf[t] if len(t) else np.empty(0)
+        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t]
         return t, w / (np.sqrt((w * w).sum()) or 1.0)
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        counts = self.terms.count(text)
-        if not counts:
-            return self.blank, self.blank_evidence, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.memory:
-            if len(self.memory) > 50_000:
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[str]]]:
+        """(score, evidence, terms) of each text."""
+        for at in range(0, len(texts), AT_ONCE):
+            counts = [self.terms.count(x) for x in texts[at : at + AT_ONCE]]
+            keys = [tuple(sorted(c.items())) for c in counts]
+            if len(self.memory) > 20_000:
                 self.memory.clear()
-            self.memory[key] = self._nearest(counts)
-        return self.memory[key]
-
-    def _nearest(self, counts: dict[int, int]) -> tuple[float, list[int], list[str]]:
-        t, w = self.vector(counts)
-        entries, cosines = self.postings.nearest(t, w, self.sizes, NEIGHBOURS)
-        votes = 1 / (1 - np.minimum(cosines, 1.0) + SOFT)
+            new = {k: c for k, c in zip(keys, counts) if c and k not in self.memory}
+            self.memory.update(zip(new, self._nearest(list(new.values()))))
+            for k in keys:
+                yield self.memory[k] if k else (self.blank, self.blank_evidence, [])
+
+    def _nearest(self, counts: list[dict[int, int]]) -> Iterator[tuple[float, list[int], list[str]]]:
+        vectors = [self.vector(c) for c in counts]
+        asked = np.zeros((len(vectors), len(self.dense)), np.float32)
+        for row, (t, w) in zip(asked, vectors):
+            own = self.place[t] >= 0
+            row[self.place[t[own]]] = w[own]
+        sums = asked @ self.dense
+        for (t, w), cosines in zip(vectors, sums):
+            rare = self.place[t] < 0
+            starts, ends = self.starts[t[rare]], self.starts[t[rare] + 1]
+            at = _gather(starts, ends)
+            cosines = cosines + np.bincount(self.entries[at], self.weights[at] * np.repeat(w[rare], ends - starts), len(self.sizes))
+            yield self._voted(t, w, np.minimum(np.round(cosines, 5), 1.0))
+
+    def _voted(self, t: np.ndarray, w: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int], list[str]]:
+        """The nearest entries of NEIGHBOURS examples, with all that tie with the last."""
+        least = np.partition(cosines, -NEIGHBOURS)[-NEIGHBOURS] if len(cosines) > NEIGHBOURS else 0.0
+        entries = np.flatnonzero((cosines >= least) & (cosines > 0))
+        entries = entries[np.argsort(-cosines[entries], kind="stable")]
+        full = np.searchsorted(np.cumsum(self.sizes[entries]), NEIGHBOURS)
+        if full < len(entries):
+            entries = entries[cosines[entries] >= cosines[entries[full]]]
+        votes = 1 / (1 - cosines[entries] + SOFT)
         n, y = self.sizes[entries], self.toxic[entries]
         score = float(((votes * y).sum() + PRIOR * self.base) / ((votes * n).sum() + PRIOR))
         told = [d for e in entries[:EVIDENCE].tolist() for d in self.evidence[e][:1]]
@@ -199,33 +223,48 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
     """A broadcast model. `learn` is a condition on doc_id; by default all but the held-out rows.
 
     Learned from at most `examples` labelled rows; document frequencies are those of all
-    documents. What is collected is bounded by `examples` and TERMS.
+    documents. What is collected is bounded by the terms of so many examples.
     """
     spark = docs.sparkSession
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     own = _examples(docs, labels, learn, examples).persist()
-    vocabulary = _vocabulary(own)
+    vocabulary, factors = _vocabulary(own)
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     # Equal vectors are one entry.
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Terms(vocabulary)
+        counter = Terms(shared.value)
         for batch in batches:
-            keys = [" ".join(f"{t}:{c}" for t, c in sorted(counter.count(x).items())) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.string())], names=["doc_id", "toxic", "key"])
+            keys = [np.array(sorted(counter.count(x).items()), np.int32).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.binary())], names=["doc_id", "toxic", "key"])
 
-    vectors = own.select("doc_id", "toxic", "text").mapInArrow(rows, "doc_id bigint, toxic int, key string")
+    vectors = own.select("doc_id", "toxic", "text").mapInArrow(rows, "doc_id bigint, toxic int, key binary")
     toxic = (F.col("toxic") > 0).cast("int")
-    entries = vectors.groupBy("key").agg(
+    found = vectors.groupBy("key").agg(
         F.count("*").alias("n"), F.sum(toxic).alias("t"), F.min("doc_id").alias("first"),
         F.min(F.when(F.col("toxic") > 0, F.col("doc_id"))).alias("worst"),
-    ).orderBy("key").collect()
-    df, n_docs = ({}, 0) if not vocabulary else (_counted(docs, vocabulary), docs.count())
-    n, n_toxic = sum(e["n"] for e in entries), sum(e["t"] for e in entries)
+    ).orderBy("first").toArrow()
+    df, n_docs = (np.zeros(0), 0) if not vocabulary else (_counted(docs, shared), docs.count())
     own.unpersist()
-    parsed = [tuple(tuple(map(int, p.split(":"))) for p in e["key"].split(" ") if p) for e in entries]
+    idf = np.log(1 + n_docs / (1 + df)) * factors
+    pairs = [np.frombuffer(k.as_buffer(), np.int32).reshape(-1, 2) for k in found.column("key")]
+    sizes, hits = (found.column(c).to_numpy().astype(np.float64) for c in ("n", "t"))
+    evidence = [[w if w is not None else f] for w, f in zip(found.column("worst").to_pylist(), found.column("first").to_pylist())]
+    base = float(hits.sum() / sizes.sum()) if len(sizes) else 0.0
+    both = np.concatenate(pairs or [np.empty((0, 2), np.int32)])
+    entries = np.repeat(np.arange(len(pairs), dtype=np.min_scalar_type(len(pairs))), [len(p) for p in pairs])
+    order = np.argsort(both[:, 0], kind="stable")
+    starts = np.searchsorted(both[order, 0], np.arange(len(vocabulary) + 1))
+    entries, counts = entries[order], both[order, 1]
+    # As few bytes as hold them: the model is sent to every worker.
+    counts = counts.astype(np.min_scalar_type(counts.max(initial=1)))
+    # What texts without any term get: the examples without any.
+    empty = next((e for e, p in enumerate(pairs) if not len(p)), None)
+    n, y = (0, 0.0) if empty is None else (sizes[empty], hits[empty])
+    blank = float((y / (1 + SOFT) + PRIOR * base) / (n / (1 + SOFT) + PRIOR))
     model = (
-        vocabulary, df, n_docs, parsed, [e["n"] for e in entries], [e["t"] for e in entries],
-        [[e["worst"] if e["worst"] is not None else e["first"]] for e in entries], n_toxic / n if n else 0.0,
+        vocabulary, idf, starts, entries, counts, sizes, hits, evidence, base, blank,
+        [] if empty is None else evidence[empty],
     )
     return uuid.uuid4().hex, spark.sparkContext.broadcast(model)
 
@@ -245,7 +284,7 @@ def _model(key: str, broadcast) -> Model:
 def score(docs: DataFrame, model) -> DataFrame:
     """Per row: doc_id, score, evidence (doc_ids of nearest examples), evidence_terms.
 
-    Null and empty texts, and texts without any vocabulary term, get the score of the
+    Null and empty texts, and texts without any term of the examples, get the score of the
     examples without any. Repeated rows are scored alike; a null doc_id stays null;
     without usable labels every score is the base rate (0 without any label). Other
     columns are ignored; nothing is shuffled.
@@ -254,7 +293,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(*model)
         for batch in batches:
-            scored = [own.score(t.as_py()) for t in batch.column("text")]
+            scored = list(own.scores(batch.column("text").to_pylist()))
             scores, evidence, terms = zip(*scored) if scored else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())),
@@ -281,6 +320,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, examples:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(*model)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t.as_py())[0] < least for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([x[0] < least for x in own.scores(batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -99,6 +99,17 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert toxicity.classify(df.where("doc_id < 0"), labels).collect() == []
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_copies_of_toxic_examples_are_toxic(spark, sf):
+    importable(spark)
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    bad = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id").where(~toxicity.held_out(F.col("doc_id")))
+    copies = bad.select((F.col("doc_id") + 10**9).alias("doc_id"), "text")
+    rows = toxicity.classify(docs.unionByName(copies), labels).where("doc_id >= 1000000000").collect()
+    assert rows and min(x.score for x in rows) >= 0.5
+
+
 def test_held_out_labels_are_not_learned(spark):
     importable(spark)
     d = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == 0][:300]
