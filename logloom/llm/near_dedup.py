@@ -213,11 +213,8 @@ def _forest(number: int, first: list[dict], second: list[dict]) -> list[tuple[in
     links = []
     for i in np.flatnonzero(todo.any(axis=1)):
         mine = sets[i] if own else shingle_set(lower_words_of(first[i]["text"]), SHINGLE)
-        at = np.searchsorted(words, mine)
         hit = np.zeros(len(words), np.int64)
-        at = at[at < len(words)]
-        at = at[np.isin(words[at], mine, assume_unique=True)]
-        hit[at] = 1
+        hit[np.intersect1d(words, mine, assume_unique=True, return_indices=True)[1]] = 1
         both = np.add.reduceat(hit[places], starts)
         for j in np.flatnonzero(todo[i] & (100 * both >= PERCENT * (len(mine) + sizes - both))):
             x, y = root(int(classes[0][i])), root(int(classes[1][j]))

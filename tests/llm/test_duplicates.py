@@ -64,6 +64,20 @@ def test_components_against_all_pairs(spark, monkeypatch):
     assert got == _brute(texts)
 
 
+def test_blocks_link_by_the_true_intersection():
+    def member(i, text):
+        return {"id": i, "class": i, "text": text, "signature": [0] * near_dedup.SLOTS}
+
+    for seed in range(40):
+        words = prose(seed, 304, 5000).split(" ")
+        tail = prose(seed + 500, 304, 5000).split(" ")
+        for kept in (256, 258, 260, 262, 264):
+            a, b = " ".join(words), " ".join(words[:kept] + tail[kept:])
+            x, y = (set(near_dedup.shingle_set(lower_words_of(t), near_dedup.SHINGLE).tolist()) for t in (a, b))
+            want = [(2, 1)] if 100 * len(x & y) >= near_dedup.PERCENT * len(x | y) else []
+            assert near_dedup._forest(0, [member(1, a)], [member(2, b)]) == want
+
+
 def test_repeated_ids_null_ids_and_empty_tables(spark):
     importable(spark)
     df = with_rows(frame(spark, [prose(1, 30), prose(1, 30)]), (0, prose(1, 30)), (None, prose(1, 30)), (None, "x"))
