@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. Its features are the word unigrams and bigrams it has of a
+A paragraph is a window of adjacent lines without a wordless one among them, so notices that
+are wrapped or commented out are seen whole. Its features are the word unigrams and bigrams it has of a
 vocabulary taken from the templates; a multinomial logistic regression tells the licence
 families and an unknown class apart. It is trained here, on the templates (whole, in
 pieces and with words missing) and on a bounded sample of the corpus' own paragraphs as
 the unknown class. Probabilities are calibrated by a temperature fitted on a part held out.
-A family counts as confirmed if the paragraph holds enough of one of its templates.
+A family counts as confirmed if the paragraph holds enough of one of its templates; a
+paragraph can confirm several. Of overlapping windows the one most like a template stands.
 
 Scoring uses DataFrame functions alone and moves no text.
 """
@@ -58,6 +60,8 @@ COMMON = 0.02
 VARIANTS = 30
 #: Least calibrated probability of a family, and least share of a template's bigrams.
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
+#: Most lines of a window; it also ends where the lines before hold as many words as the longest template.
+LINES = 16
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 
 
@@ -103,7 +107,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     spark = docs.sparkSession
     templates = _templates(spark).persist()
     pool = _paragraphs(docs).where("line <> ''").select("line", F.xxhash64("line").alias("__h"))
-    picked = pool.orderBy("__h", "line").limit(sample).select(words(F.col("line")).alias("words")).persist()
+    # Distinct lines; their hashes alone are shuffled.
+    last = pool.select("__h").distinct().orderBy("__h").limit(sample).agg(F.max("__h")).first()[0]
+    picked = pool.where(F.col("__h") <= F.lit(last)).dropDuplicates(["line"]).select(words(F.col("line")).alias("words")).persist()
     pairs = {r.pair for r in templates.select(F.explode("pairs").alias("pair")).distinct().collect()}
     of_templates = {r.w for r in templates.select(F.explode("words").alias("w")).distinct().collect()}
     # Sampled paragraphs that hold a template's text would be taught as unknown: they are left out.
@@ -147,25 +153,56 @@ def _json(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def _windows(docs: DataFrame, unigrams: Column, pairs: Column, most_words: int) -> DataFrame:
+    """(__row, doc_id, paragraph, stop, __words): lines with a word of the vocabulary, and longer
+    windows that begin at one and end at another with bigrams of templates in both."""
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    ahead = F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), F.slice(lines, i + 1, LINES).alias("lines")))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))
+    begun = rows.select("__row", "doc_id", F.explode(ahead).alias("__a"))
+    begun = begun.select("__row", "doc_id", "__a.paragraph", "__a.lines").where(F.get("lines", F.lit(0)) != "")
+    begun = _once(begun, "__first", words(F.get("lines", F.lit(0))))
+    # Every gram of the vocabulary has a unigram of it, so the other lines have none.
+    begun = begun.where(F.arrays_overlap("__first", unigrams))
+    # Stored twice: small plans, whose generated code compiles in little memory, and each column
+    # computed once.
+    begun = stored(begun, "licence-lines")
+    more = F.arrays_overlap(bigrams(F.col("__first")), pairs)
+    begun = _once(begun, "__all", F.when(more, F.transform("lines", words)).otherwise(F.array("__first")), "lines", "__first")
+    blank = F.array_position(F.transform("__all", F.size), 0)
+    begun = _once(begun, "__run", F.when(blank > 0, F.slice("__all", F.lit(1), (blank - 1).cast("int"))).otherwise(F.col("__all")), "__all")
+    before = lambda k: F.size(F.flatten(F.slice("__run", F.lit(1), k - 1)))
+    ends = F.filter(
+        F.sequence(F.lit(1), F.size("__run")),
+        lambda k: (k == 1) | ((before(k) < most_words) & F.arrays_overlap(bigrams(F.get("__run", k - 1)), pairs)),
+    )
+    cut = begun.select("__row", "doc_id", "paragraph", "__run", F.explode(ends).alias("__k"))
+    return cut.select(
+        "__row", "doc_id", "paragraph", (F.col("paragraph") + F.col("__k")).alias("stop"),
+        F.flatten(F.slice("__run", F.lit(1), F.col("__k"))).alias("__words"),
+    )
+
+
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """A row per paragraph that the classifier takes for a licence notice.
-
-    doc_id, paragraph (from 0), family (`unknown` if no template confirms it), predicted,
-    probability (calibrated), template (number of the likest one of that family),
-    similarity (share of its bigrams that the paragraph has), confirmed. Null, empty and
-    wordless texts give no rows, nor do paragraphs without any word of the vocabulary: those
-    are unknown. Repeated rows repeat their rows; a null doc_id stays null; other columns
-    are ignored; empty in, empty out. Without `model` one is trained on `docs`.
+    """A row per paragraph and family that it is taken for a licence notice of.
+
+    doc_id, paragraph (its first line, from 0), family (`unknown` if no template confirms it),
+    predicted, probability (calibrated; of further confirmed families, against the unknown
+    class alone), template (number of the likest one of that family), similarity (share of
+    its bigrams that the paragraph has), confirmed. A confirmed family needs no least
+    probability, but one whose template another confirmed family's explains is left out.
+    Unconfirmed are single lines that overlap no confirmed window. Null, empty and wordless
+    texts give no rows, nor do paragraphs without any word of the vocabulary: those are
+    unknown. Repeated rows repeat their rows; a null doc_id stays null; other columns are
+    ignored; empty in, empty out. Without `model` one is trained on `docs`.
     """
     model = model or train(docs)
     unigrams = F.split(F.lit("|".join(model["unigrams"])), r"\|")
     vocabulary = F.split(F.lit("|".join(model["vocabulary"])), r"\|")
     families = F.split(F.lit("|".join(model["families"])), r"\|")
-    found = _once(_paragraphs(docs).where("line <> ''"), "__words", words(F.col("line")), "line")
-    # Every gram of the vocabulary has a unigram of it, so the other paragraphs have none.
-    found = found.where(F.arrays_overlap("__words", unigrams))
-    # Stored twice: small plans, whose generated code compiles in little memory, and each column
-    # computed once.
+    of_templates = _template_pairs(docs.sparkSession)
+    known = F.split(F.lit("|".join(sorted({p for t in of_templates for p in t["pairs"]}))), r"\|")
+    found = _windows(docs, unigrams, known, max(t["words"] for t in of_templates))
     found = stored(found, "licence-words")
     found = found.withColumn("__pairs", bigrams(F.col("__words")))
     grams = F.concat(F.array_distinct("__words"), F.col("__pairs"))
@@ -175,26 +212,58 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
         F.array_intersect(grams, vocabulary), start,
         lambda z, h: F.zip_with(z, F.get(weights, (F.array_position(vocabulary, h) - 1).cast("int")), lambda a, b: a + b),
     )
-    found = stored(found.select("doc_id", "paragraph", "__pairs", logits.alias("__z")), "licence-logits")
+    found = stored(found.select("__row", "doc_id", "paragraph", "stop", "__pairs", logits.alias("__z")), "licence-logits")
     most = F.array_max("__z")
-    total = F.aggregate(F.transform("__z", lambda x: F.exp(x / model["temperature"])), F.lit(0.0), lambda s, x: s + x)
+    total = F.aggregate(F.transform("__z", lambda x: F.exp((x - most) / model["temperature"])), F.lit(0.0), lambda s, x: s + x)
     predicted = F.get(families, (F.array_position("__z", most) - 1).cast("int"))
-    found = found.withColumn("probability", F.exp(most / model["temperature"]) / total).withColumn("predicted", predicted)
-    found = found.where((F.col("predicted") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
-    pairs = _json(_template_pairs(docs.sparkSession), "array<struct<family: string, template: int, pairs: array<string>>>")
-    own = F.filter(pairs, lambda t: t["family"] == F.col("predicted"))
-    alike = F.transform(own, lambda t: F.struct(
-        (F.size(F.array_intersect(t["pairs"], F.col("__pairs"))) / F.size(t["pairs"])).alias("similarity"), (-t["template"]).alias("number")
+    found = found.withColumn("__p", 1 / total).withColumn("__predicted", predicted)
+    pairs = _json(of_templates, "array<struct<family: string, template: int, pairs: array<string>>>")
+    alike = F.transform(pairs, lambda t: F.struct(
+        t["family"].alias("family"), t["template"].alias("template"), t["pairs"].alias("pairs"),
+        F.array_intersect(t["pairs"], F.col("__pairs")).alias("has"),
     ))
-    found = _once(found, "__best", F.array_max(alike)).withColumn("similarity", F.col("__best.similarity"))
-    confirmed = F.col("similarity") >= LEAST_SIMILARITY
-    return found.select(
-        "doc_id", "paragraph", F.when(confirmed, F.col("predicted")).otherwise(UNKNOWN).alias("family"), "predicted",
-        F.round("probability", 6).alias("probability"), (-F.col("__best.number")).alias("template"),
-        F.round("similarity", 6).alias("similarity"), confirmed.alias("confirmed"),
+    alike = F.transform(alike, lambda t: F.struct(
+        (F.size(t["has"]) / F.size(t["pairs"]) >= LEAST_SIMILARITY).alias("confirmed"), F.size(t["has"]).alias("n"),
+        (F.size(t["has"]) / F.size(t["pairs"])).alias("similarity"), (-t["template"]).alias("number"), *[t[c].alias(c) for c in ("family", "pairs", "has")],
+    ))
+    found = _once(found, "__alike", alike)
+    # The template of each family that most is there of, if it is confirmed or predicted.
+    order = lambda t: F.struct(t["confirmed"], t["n"], t["similarity"], t["number"])
+    likely = (F.col("__predicted") != UNKNOWN) & (F.col("__p") >= LEAST_PROBABILITY) & (F.col("stop") == F.col("paragraph") + 1)
+    able = F.filter("__alike", lambda t: t["confirmed"] | (likely & (t["family"] == F.col("__predicted"))))
+    found = _once(found, "__able", able, "__alike").where(F.size("__able") > 0)
+    best = F.filter("__able", lambda t: ~F.exists("__able", lambda o: (o["family"] == t["family"]) & (order(o) > order(t))))
+    found = found.select("__row", "doc_id", "paragraph", "stop", "__z", "__p", "__predicted", F.explode(best).alias("__t"))
+    family = F.col("__t.family")
+    z = F.get("__z", (F.array_position(families, family) - 1).cast("int"))
+    against = 1 / (1 + F.exp((F.get("__z", F.lit(model["families"].index(UNKNOWN))) - z) / model["temperature"]))
+    rows = found.select("__row", "doc_id", F.struct(
+        "paragraph", "stop", family.alias("predicted"),
+        F.when(family == F.col("__predicted"), F.col("__p")).otherwise(against).alias("probability"),
+        (-F.col("__t.number")).alias("template"), *[F.col(f"__t.{c}").alias(c) for c in ("similarity", "confirmed", "n", "pairs", "has")],
+    ).alias("w"))
+    # The windows of one document, without those that a window within holds as much as.
+    rows = rows.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.collect_list("w").alias("__ws"))
+    within = lambda w, o: (o["predicted"] == w["predicted"]) & (o["paragraph"] >= w["paragraph"]) & (o["stop"] <= w["stop"]) & (
+        o["stop"] - o["paragraph"] < w["stop"] - w["paragraph"]) & o["confirmed"] & (o["n"] >= w["n"])
+    rows = _once(rows, "__least", F.filter("__ws", lambda w: ~F.exists("__ws", lambda o: within(w, o))), "__ws")
+    rank = lambda w: F.struct(w["n"], w["similarity"], w["paragraph"] - w["stop"], -w["paragraph"], -w["template"])
+    # What a template has besides the pairs of a likelier one of another family must be there too.
+    own = lambda w, o: F.array_except(w["pairs"], o["pairs"])
+    explained = lambda w, o: (
+        F.size(F.array_intersect(own(w, o), w["has"])) < LEAST_SIMILARITY * F.greatest(F.lit(1), F.size(own(w, o)))
+    )
+    beaten = lambda w, o: (o["paragraph"] < w["stop"]) & (w["paragraph"] < o["stop"]) & o["confirmed"] & (
+        ~w["confirmed"] | ((rank(o) > rank(w)) & ((o["predicted"] == w["predicted"]) | explained(w, o)))
+    )
+    stands = F.filter("__least", lambda w: ~F.exists("__least", lambda o: beaten(w, o)))
+    rows = rows.select("doc_id", F.explode(stands).alias("w")).select("doc_id", "w.*")
+    return rows.select(
+        "doc_id", "paragraph", F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN).alias("family"), "predicted",
+        F.round("probability", 6).alias("probability"), "template", F.round("similarity", 6).alias("similarity"), "confirmed",
     )
 
 
 def _template_pairs(spark: SparkSession) -> list[dict]:
     rows = _templates(spark).orderBy("template").collect()
-    return [{"family": r.family, "template": r.template, "pairs": list(r.pairs)} for r in rows]
+    return [{"family": r.family, "template": r.template, "pairs": list(r.pairs), "words": len(r.words)} for r in rows]

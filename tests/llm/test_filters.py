@@ -1,6 +1,7 @@
 import hashlib
 import random
 import sys
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -201,6 +202,23 @@ def test_licences(spark):
     assert licenses.scan(df.where("doc_id < 0"), licenses.train(df)).collect() == []
 
 
+def test_wrapped_and_dual_licences(spark):
+    importable(spark)
+    long = [(f, t) for f, t in licenses.TEMPLATES if len(t) > 100]
+    texts = []
+    for mark in ("", "# ", " * "):
+        texts += [f"{mark}{prose(1, 8)}\n{mark}\n" + "\n".join(mark + x for x in textwrap.wrap(t, 60)) for _, t in long]
+    n = len(texts)
+    texts += ["Released under the MIT License. Released under the BSD License.", "Licensed under the MIT License or the\nApache License, Version 2.0"]
+    texts += [prose(i, 30) for i in range(60)]
+    found = {}
+    for r in licenses.scan(frame(spark, texts)).where("confirmed").collect():
+        found.setdefault(r.doc_id, []).append(r.family)
+    assert {i: sorted(f) for i, f in found.items() if i < n} == {i: [long[i % len(long)][0]] for i in range(n)}
+    assert sorted(found[n]) == ["BSD", "MIT"] and sorted(found[n + 1]) == ["Apache-2.0", "MIT"]
+    assert set(found) == set(range(n + 2))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
