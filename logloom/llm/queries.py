@@ -8,7 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, fingerprint, licenses, line_templates, mixing, near_dedup, substrings, token_counts, token_files, toxicity
+from logloom.llm import (
+    decontaminate, fingerprint, lexical_search, licenses, line_templates, mixing, near_dedup, substrings, token_counts,
+    token_files, toxicity, vector_search,
+)
 from logloom.llm.text import importable, table
 from logloom.session import scratch_path
 
@@ -74,6 +77,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_templates(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth embedding among all."""
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every test item among all."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ALL = [
     op1_token_counts,
     op2_decontamination,
@@ -85,6 +98,8 @@ _ALL = [
     op8_fingerprints,
     op9_line_dedup,
     op10_licenses,
+    op11_nearest_vectors,
+    op12_lexical_search,
 ]
 
 
@@ -101,4 +116,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.REPLICATE_SQL, "op9_line_dedup": line_templates.DROP_SQL}
+    return {
+        "op6_mix_sources": mixing.REPLICATE_SQL,
+        "op9_line_dedup": line_templates.DROP_SQL,
+        "op11_nearest_vectors": vector_search.NEAREST_SQL,
+        "op12_lexical_search": lexical_search.SEARCH_SQL,
+    }
