@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import (
-    decontaminate, fingerprint, lexical_search, licenses, line_templates, mixing, near_dedup, substrings, token_counts,
+    collocations, decontaminate, fingerprint, lexical_search, licenses, line_templates, mixing, near_dedup, substrings, token_counts,
     token_files, toxicity, vector_search,
 )
 from logloom.llm.text import importable, table
@@ -87,6 +87,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language in all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_token_counts,
     op2_decontamination,
@@ -100,6 +105,7 @@ _ALL = [
     op10_licenses,
     op11_nearest_vectors,
     op12_lexical_search,
+    op13_collocations,
 ]
 
 
@@ -121,4 +127,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_line_dedup": line_templates.DROP_SQL,
         "op11_nearest_vectors": vector_search.NEAREST_SQL,
         "op12_lexical_search": lexical_search.SEARCH_SQL,
+        "op13_collocations": collocations.COLLOCATIONS_SQL,
     }
