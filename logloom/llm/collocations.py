@@ -16,7 +16,7 @@ follows the number of words, so that each is small.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ WORDS = 500_000
 BURST, LIMIT, PART = 1 << 17, 1 << 22, 1 << 21
 #: Bits of a bitmap for each frequent phrase, and of the largest bitmap (16 MB).
 BITS, MOST_BITS = 32, 1 << 27
+#: Texts that are numbered at once.
+AT_ONCE = 2000
 _BREAK = b"."
 _PLAIN = bytes.maketrans(b"\t,;:!?\n\x0b\x0c\r", b" " + _BREAK * 9)
 _PLAIN = bytes(LOWER[c] if c in range(65, 91) else _PLAIN[c] for c in range(256))
@@ -157,23 +159,6 @@ class Trie:
         self.roots = {}
 
 
-class Numbers(dict):
-    """Numbers of a language's frequent words in this task, 0 for any other and for a break."""
-
-    def __init__(self, lang: bytes, seed: int, is_frequent: Callable[[np.ndarray], np.ndarray], ids: list[int]):
-        super().__init__({_BREAK: 0})
-        self.lang, self.seed, self.is_frequent, self.ids = lang, seed, is_frequent, ids
-
-    def __missing__(self, word: bytes) -> int:
-        own = word_id(self.lang, word, self.seed)
-        number = 0
-        if self.is_frequent(np.array([[own]], np.uint64))[0]:
-            number = len(self.ids)
-            self.ids.append(own)
-        self[word] = number
-        return number
-
-
 class Bitmap:
     """Of rows of word ids: False for all that were not put in, True for all that were."""
 
@@ -185,6 +170,64 @@ class Bitmap:
         return (self.cells[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+class PhraseCounter:
+    """Counts the phrases of some lengths in texts, by numbers that words have in this task.
+
+    The number of a word that is not frequent, and of a break, is 0.
+    """
+
+    def __init__(self, lengths: list[int], seed: int, is_frequent: Bitmap, is_pair: Bitmap | None, parts: int, limit: int):
+        self.lengths, self.seed, self.is_frequent, self.is_pair = lengths, seed, is_frequent, is_pair
+        self.tries = {k: Trie(k, parts, limit // len(lengths)) for k in lengths}
+        self.ids = np.zeros(1, np.uint64)
+        self.numbers: dict[bytes, dict[bytes, int]] = {}
+
+    def _learn(self, lang: bytes, words: list[bytes]) -> None:
+        own = np.fromiter((word_id(lang, w, self.seed) for w in words), np.uint64, len(words))
+        frequent = self.is_frequent(own[:, None])
+        numbers = np.where(frequent, np.cumsum(frequent) - 1 + len(self.ids), 0)
+        self.ids = np.concatenate([self.ids, own[frequent]])
+        self.numbers[lang].update(zip(words, numbers.tolist()))
+
+    def add(self, langs: list[bytes], texts: list[bytes | None]) -> Iterator[dict]:
+        """Counts the texts' phrases; yields the runs that are spilled."""
+        by_lang: dict[bytes, list[list[bytes]]] = {}
+        for lang, text in zip(langs, texts):
+            if own := words_of(text):
+                by_lang.setdefault(lang, []).append(own)
+        lines = []
+        for lang, docs in by_lang.items():
+            numbers = self.numbers.setdefault(lang, {_BREAK: 0})
+            if new := set().union(*docs).difference(numbers):
+                self._learn(lang, list(new))
+            for own in docs:
+                lines.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
+                lines.append(np.zeros(1, np.int32))
+        if lines:
+            yield from self._count(np.concatenate(lines))
+        if sum(map(len, self.numbers.values())) > 4 * WORDS:
+            # Forget the words met so far, and so what is counted by their numbers.
+            yield from self.rest()
+            self.numbers, self.ids = {}, np.zeros(1, np.uint64)
+
+    def _count(self, line: np.ndarray) -> Iterator[dict]:
+        joined = (line[:-1] > 0) & (line[1:] > 0)
+        if self.is_pair is not None:
+            at = np.flatnonzero(joined)
+            joined[at] = self.is_pair(self.ids[np.stack([line[at], line[at + 1]], axis=1)])
+        whole = joined
+        for k in range(2, max(self.lengths) + 1):
+            if k > 2:
+                whole = whole[:-1] & joined[k - 2 :]
+            if k in self.tries:
+                at = np.flatnonzero(whole)
+                yield from self.tries[k].add(line[at[:, None] + np.arange(k)], self.ids)
+
+    def rest(self) -> Iterator[dict]:
+        for trie in self.tries.values():
+            yield from trie.rest(self.ids)
+
+
 def _bitmap(phrases: DataFrame):
     """A broadcast bitmap of the rows of `phrases`, at most MOST_BITS / 8 bytes."""
     n = phrases.count()
@@ -243,49 +286,15 @@ def count_phrases(docs: DataFrame, lengths: list[int], seed: int, words, pairs,
     (and pairs, if that bitmap is given) are in the bitmaps."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Bitmap(words.value)
         near = Bitmap(pairs.value) if pairs is not None else None
-        ids: list[int] = [0]
-        numbers: dict[bytes, Numbers] = {}
-        tries = {k: Trie(k, parts, limit // len(lengths)) for k in lengths}
-
-        def batch_of(found: list[dict]) -> Iterator[pa.RecordBatch]:
-            if found:
-                yield pa.RecordBatch.from_pylist(found, schema)
-
+        counter = PhraseCounter(lengths, seed, Bitmap(words.value), near, parts, limit)
         for batch in batches:
-            for start in range(0, len(batch), 1000):
-                few = batch.slice(start, 1000)
-                runs = []
-                for lang, text in zip(few.column("lang").to_pylist(), few.column("text")):
-                    if lang not in numbers:
-                        numbers[lang] = Numbers(lang, seed, known, ids)
-                    own = words_of(text.as_py())
-                    if own:
-                        runs.append(np.fromiter(map(numbers[lang].__getitem__, own), np.int32, len(own)))
-                        runs.append(np.zeros(1, np.int32))
-                if not runs:
-                    continue
-                line, all_ids = np.concatenate(runs), np.array(ids, np.uint64)
-                joined = (line[:-1] > 0) & (line[1:] > 0)
-                if near is not None:
-                    at = np.flatnonzero(joined)
-                    joined[at] = near(all_ids[np.stack([line[at], line[at + 1]], axis=1)])
-                whole = joined
-                for k in range(2, max(lengths) + 1):
-                    if k > 2:
-                        whole = whole[:-1] & joined[k - 2 :]
-                    if k in tries:
-                        at = np.flatnonzero(whole)
-                        found = list(tries[k].add(line[at[:, None] + np.arange(k)], all_ids))
-                        yield from batch_of(found)
-            if sum(map(len, numbers.values())) > 4 * WORDS:
-                # Forget the words met so far, and so what is counted by their numbers.
-                for trie in tries.values():
-                    yield from batch_of(list(trie.rest(np.array(ids, np.uint64))))
-                numbers, ids = {}, [0]
-        for trie in tries.values():
-            yield from batch_of(list(trie.rest(np.array(ids, np.uint64))))
+            for start in range(0, len(batch), AT_ONCE):
+                few = batch.slice(start, AT_ONCE)
+                if found := list(counter.add(few.column("lang").to_pylist(), few.column("text").to_pylist())):
+                    yield pa.RecordBatch.from_pylist(found, schema)
+        for found in counter.rest():
+            yield pa.RecordBatch.from_pylist([found], schema)
 
     def merged(table: pa.Table) -> pa.Table:
         """The runs of a prefix partition, merged."""
