@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples in TF-IDF cosine.
 
-Terms are words and the first letters of words; all terms of the examples are indexed, with
-document frequencies of all documents. Terms that go with the toxic label weigh more, by
-their chi-square; none is left out. Equal vectors are one entry of the index with its
-counts. A text's score is the weighted share of toxic ones among its nearest examples, with
-nearer ones counting more and a prior of the base rate; the examples are its evidence.
+Terms are words and the beginnings of longer ones; all terms of the examples are indexed,
+with document frequencies of all documents, and the NEIGHBOURS nearest examples by exact
+cosine are found by block-max search. The metric knows nothing of labels. A neighbour's vote
+weighs more the nearer it is, and the more of its cosine is owed to terms that go with the
+toxic label (by their chi-square). The share of toxic votes becomes a score by isotonic
+regression, fitted on the examples' own shares, each taken without itself, at the
+labels' true proportions. The nearest examples and the terms shared with them are evidence.
 """
 
 from __future__ import annotations
@@ -15,31 +17,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.decontaminate import plain_words
-from logloom.llm.postings import _gather
-from logloom.llm.text import lower_words_of, shingle_set
+from logloom.llm.lexical_search import cluster
+from logloom.llm.postings import Postings
 
-#: Labelled rows that are learned from, those of the smallest hashes; more are left out.
-EXAMPLES = 20_000
+#: Labelled rows that are learned from: half of them of either label at most, those of the
+#: smallest hashes, and as many as have so many bytes of text together. More are left out.
+EXAMPLES, EXAMPLE_BYTES = 2_000, 32 << 20
 #: Letters of a word's beginning that are a term, besides the word.
-BEGINNINGS = (4, 5)
-NEIGHBOURS = 25
-#: A neighbour at cosine s has weight 1 / (1 - s + SOFT); the base rate weighs as PRIOR.
-SOFT, PRIOR = 0.02, 1.0
+BEGINNING = 5
+NEIGHBOURS = 50
+#: A neighbour at cosine s weighs 1 / (1 - s + SOFT).
+SOFT = 0.02
 EVIDENCE = 3
-#: Power of a term's toxic share in its weight, so that words of a language or topic gain little.
+#: Power of a term's toxic share in its weight for votes, so that words of a language or topic gain little.
 SHARE_POWER = 4
-#: Terms of the longest lists, kept as a dense matrix; texts that are compared with it at once.
-DENSE, AT_ONCE = 2048, 128
+#: Words and texts that a worker remembers; texts by a 128-bit hash.
+WORDS, TEXTS = 300_000, 20_000
 SCORE_SCHEMA = "doc_id bigint, score double, evidence array<bigint>, evidence_terms array<string>"
 
 
-def terms_of(word: bytes) -> list[str]:
+def terms_of(word: bytes) -> list[bytes]:
     text = word.decode()
-    return [text, *(text[:n] + "*" for n in BEGINNINGS if len(text) > n)]
+    return [word, f"{text[:BEGINNING]}*".encode()] if len(text) > BEGINNING else [word]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,253 +51,306 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's distinct terms, and how often each occurs."""
+    counts: dict[int, int] = {}
+    for word, n in Counter(plain_words(text)).items():
+        for t in terms_of(word):
+            h = xxhash.xxh3_64_intdigest(t)
+            counts[h] = counts.get(h, 0) + n
+    return np.fromiter(counts, np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+
+
 class Terms:
-    """Counts of vocabulary terms in texts; remembers the terms of a bounded number of words."""
+    """Numbers of the terms of words, in a sorted array of hashes; remembers a bounded number of words."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.number = {t: i for i, t in enumerate(vocabulary)}
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def of(self, word: bytes) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            number = self.number
-            found = tuple(number[t] for t in terms_of(word) if t in number)
-            if len(self.known) > 200_000:
+            own = np.array([xxhash.xxh3_64_intdigest(t) for t in terms_of(word)], np.uint64)
+            at = np.searchsorted(self.hashes, own)
+            at[at == len(self.hashes)] = 0
+            found = tuple(at[self.hashes[at] == own].tolist()) if len(self.hashes) else ()
+            if len(self.known) >= WORDS:
                 self.known.clear()
             self.known[word] = found
         return found
 
     def count(self, text: str | None) -> dict[int, int]:
         counts: dict[int, int] = {}
-        of = self.of
         for word, n in Counter(plain_words(text)).items():
-            for t in of(word):
+            for t in self.of(word):
                 counts[t] = counts.get(t, 0) + n
         return counts
 
 
-def _examples(docs: DataFrame, labels: DataFrame, learn: Column, n: int) -> DataFrame:
-    """(doc_id, toxic, text) of the labelled rows to learn from, at most `n` of them."""
-    own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+def _examples(docs: DataFrame, labels: DataFrame, learn: Column, n: int, n_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, text) of the labelled rows to learn from, and how many there are of either label.
+
+    A repeated label counts once, conflicting ones as toxic; of rows that repeat a doc_id, the
+    greatest text is taken.
+    """
+    own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     own = own.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn)
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    totals = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    few = own.withColumn("place", place).where(F.col("place") <= max(1, n // 2))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # `n` rows of 12 bytes at most.
-    return texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    # `n` rows of 20 bytes at most.
+    found = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.max("text").alias("text"))
+    # A window over `n` rows at most.
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy("place", "toxic", "doc_id"))
+    return found.withColumn("bytes", so_far).where(F.col("bytes") <= n_bytes).select("doc_id", "toxic", "text"), totals
 
 
-def _vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray]:
-    """All terms of the examples in order, and the factor by which each weighs more.
-
-    The factor is 1 plus the chi-square of terms that go with the toxic label, times a power
-    of their share of toxic examples. Near copies of a text would lend weight to any of its
-    words, so examples that share a label and their three least shingle hashes count once
-    for the factor.
-    """
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(lower_words_of(t.as_py()))[:3].tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "least"])
+def _document_frequencies(docs: DataFrame, hashes) -> np.ndarray:
+    """In how many of all documents each term of the broadcast array occurs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both: tuple[Counter, Counter] = Counter(), Counter()
-            seen: set[str] = set()
-            columns = [batch.column(c).to_pylist() for c in ("toxic", "first", "text")]
-            for toxic, first, text in zip(*columns):
-                own = {t for w in set(plain_words(text)) for t in terms_of(w)}
-                seen |= own
-                if first:
-                    both[toxic > 0].update(own)
-            names = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), *(pa.array([both[k][t] for t in names], pa.int64()) for k in (0, 1))],
-                names=["term", "clean", "toxic"],
-            )
-
-    marks = examples.select("doc_id", "text").mapInArrow(marked, "doc_id bigint, least binary")
-    firsts = examples.select("doc_id", "toxic").join(marks, "doc_id").groupBy((F.col("toxic") > 0).alias("bad"), "least").agg(F.min("doc_id").alias("doc_id"))
-    firsts = firsts.select("doc_id", F.lit(True).alias("first"))
-    # As many rows as there are examples, at most.
-    told = examples.join(F.broadcast(firsts), "doc_id", "left").withColumn("first", F.coalesce("first", F.lit(False))).persist()
-    n, n_toxic = told.where("first").agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
-    counts = told.select("toxic", "first", "text").mapInArrow(rows, "term string, clean bigint, toxic bigint")
-    counts = counts.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).orderBy("term").toArrow()
-    told.unpersist()
-    c, t = (counts.column(k).to_numpy().astype(np.float64) for k in ("c", "t"))
-    factors = np.ones(len(c))
-    if n and n_toxic and n > n_toxic:
-        apart = t * (n - n_toxic) - c * n_toxic
-        chi2 = n * apart * apart / (np.maximum(c + t, 1) * np.maximum(0.5, n - c - t) * n_toxic * (n - n_toxic))
-        share = (t + n_toxic / n) / (c + t + 1)
-        factors += np.where(apart > 0, chi2 * share**SHARE_POWER, 0.0)
-    return counts.column("term").to_pylist(), factors
-
-
-def _counted(texts: DataFrame, vocabulary) -> np.ndarray:
-    """In how many of the texts each term of the broadcast vocabulary occurs."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Terms(vocabulary.value)
-        total = np.zeros(len(own.number), np.int64)
+        own = Terms(hashes.value)
+        total = np.zeros(len(own.hashes), np.int64)
         for batch in batches:
             for text in batch.column("text"):
                 total[list(own.count(text.as_py()))] += 1
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["term", "n"])
 
-    counts = texts.select("text").mapInArrow(rows, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(vocabulary.value))
+    counts = docs.select("text").mapInArrow(rows, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(hashes.value))
     df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
     return df
 
 
+def telling(entries_toxic: np.ndarray, terms: np.ndarray, entries: np.ndarray, n_terms: int) -> np.ndarray:
+    """1 plus the chi-square of terms that go with the toxic label, times a power of their toxic share."""
+    n, p = len(entries_toxic), float(entries_toxic.sum())
+    if not 0 < p < n:
+        return np.ones(n_terms)
+    t = np.bincount(terms, entries_toxic[entries], n_terms)
+    c = np.bincount(terms, 1 - entries_toxic[entries], n_terms)
+    apart = t * (n - p) - c * p
+    chi2 = n * apart * apart / (np.maximum(c + t, 1) * np.maximum(0.5, n - c - t) * p * (n - p))
+    share = (t + p / n) / (c + t + 1)
+    return 1 + np.where(apart > 0, chi2 * share**SHARE_POWER, 0.0)
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a rising line from x to the rate of y, by pooling adjacent violators.
+
+    Each pool's rate has one observation of the base rate mixed in.
+    """
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weights[order].tolist()):
+        pools.append([a * w, b * w, w])
+        while len(pools) > 1 and (pools[-2][0] / pools[-2][2] >= pools[-1][0] / pools[-1][2] or pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]):
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    at = np.array([p[0] / p[2] for p in pools])
+    rate = np.array([(p[1] + base) / (p[2] + 1) for p in pools])
+    return at, np.maximum.accumulate(rate)
+
+
 class Model:
-    """An index of the entries: `starts`, `entries` and `counts` are the terms' lists, which weights are computed from."""
-
-    def __init__(self, vocabulary, idf, starts, entries, counts, sizes, toxic, evidence, base, blank, blank_evidence):
-        self.terms, self.vocabulary, self.idf = Terms(vocabulary), vocabulary, idf
-        weights = (1 + np.log(counts, dtype=np.float32)) * np.repeat(idf.astype(np.float32), np.diff(starts))
-        norms = np.sqrt(np.bincount(entries, weights * weights, len(sizes)))
-        weights /= norms.astype(np.float32)[entries]
-        self.starts, self.entries, self.weights = starts, entries, weights
-        self.sizes, self.toxic, self.evidence, self.base = sizes, toxic, evidence, base
-        self.blank, self.blank_evidence = blank, blank_evidence
-        #: The longest lists as a matrix; place of each of its terms, or -1.
-        lengths = np.diff(starts)
-        long = np.argsort(-lengths, kind="stable")[:DENSE]
-        self.place = np.full(len(vocabulary), -1)
-        self.place[long] = np.arange(len(long))
-        self.dense = np.zeros((len(long), len(sizes)), np.float32)
-        for i, t in enumerate(long.tolist()):
-            self.dense[i, entries[starts[t] : starts[t + 1]]] = weights[starts[t] : starts[t + 1]]
-        self.memory: dict[tuple, tuple] = {}
+    """The index of the examples with all that scoring needs; entries are distinct vectors."""
+
+    def __init__(self, hashes, idf, starts, terms, counts, toxic, evidence, blank, line):
+        self.terms, self.idf, self.toxic, self.evidence, self.blank, self.line = Terms(hashes), idf, toxic, evidence, blank, line
+        n = len(toxic)
+        entries = np.repeat(np.arange(n), np.diff(starts))
+        weights = (1 + np.log(counts)) * idf[terms]
+        norms = np.sqrt(np.bincount(entries, weights * weights, n))
+        weights = weights / np.maximum(norms, 1e-300)[entries]
+        self.telling = telling(toxic, terms, entries, len(hashes))
+        # Like entries are given neighbouring numbers, so that they share blocks.
+        signs = np.random.default_rng(3).choice(np.array([-1.0, 1.0]), (len(hashes), 16))
+        likeness = np.stack([np.bincount(entries, weights * signs[terms, k], n) for k in range(16)], axis=1) if n else np.zeros((0, 16))
+        self.order = cluster(likeness / np.maximum(1e-30, np.linalg.norm(likeness, axis=1, keepdims=True)), 32) if n else np.arange(0)
+        self.number = np.empty(n, np.int64)
+        self.number[self.order] = np.arange(n)
+        self.postings = Postings(terms, self.number[entries], weights, len(hashes), n)
+        self.rows = [(terms[a:b], weights[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        self.ones = np.ones(n, np.int64)
+        self.memory: dict[bytes, tuple[float, list[int], list[str]]] = {}
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(counts), np.int64)
         w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t]
         return t, w / (np.sqrt((w * w).sum()) or 1.0)
 
-    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[str]]]:
-        """(score, evidence, terms) of each text."""
-        for at in range(0, len(texts), AT_ONCE):
-            counts = [self.terms.count(x) for x in texts[at : at + AT_ONCE]]
-            keys = [tuple(sorted(c.items())) for c in counts]
-            if len(self.memory) > 20_000:
+    def neighbours(self, t: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, cosines) of the k nearest entries, nearest first, with all that tie with the last."""
+        counts = self.ones
+        if but >= 0:
+            counts = counts.copy()
+            counts[self.number[but]] = 0
+        found, cosines = self.postings.nearest(t, w, counts, k)
+        entries = self.order[found]
+        keep = entries != but
+        entries, cosines = entries[keep], np.minimum(np.round(cosines[keep], 9), 1.0)
+        by = np.lexsort((entries, -cosines))
+        return entries[by], cosines[by]
+
+    def share(self, t: np.ndarray, w: np.ndarray, entries: np.ndarray, cosines: np.ndarray) -> float:
+        """Of the neighbours' votes, the toxic share; NaN without neighbours."""
+        if not len(entries):
+            return float("nan")
+        asked = np.zeros(len(self.idf))
+        asked[t] = w * self.telling[t]
+        owed = np.array([(asked[own] * x).sum() for own, x in (self.rows[e] for e in entries.tolist())])
+        votes = owed / (1 - cosines + SOFT)
+        return float((votes * self.toxic[entries]).sum() / votes.sum())
+
+    def score(self, share: float) -> float:
+        return self.blank[0] if np.isnan(share) else float(np.interp(share, *self.line))
+
+    def judged(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        """(score, evidence, terms) of a text."""
+        key = xxhash.xxh3_128_digest(text or "")
+        found = self.memory.get(key)
+        if found is None:
+            if len(self.memory) >= TEXTS:
                 self.memory.clear()
-            new = {k: c for k, c in zip(keys, counts) if c and k not in self.memory}
-            self.memory.update(zip(new, self._nearest(list(new.values()))))
-            for k in keys:
-                yield self.memory[k] if k else (self.blank, self.blank_evidence, [])
-
-    def _nearest(self, counts: list[dict[int, int]]) -> Iterator[tuple[float, list[int], list[str]]]:
-        vectors = [self.vector(c) for c in counts]
-        asked = np.zeros((len(vectors), len(self.dense)), np.float32)
-        for row, (t, w) in zip(asked, vectors):
-            own = self.place[t] >= 0
-            row[self.place[t[own]]] = w[own]
-        sums = asked @ self.dense
-        for (t, w), cosines in zip(vectors, sums):
-            rare = self.place[t] < 0
-            starts, ends = self.starts[t[rare]], self.starts[t[rare] + 1]
-            at = _gather(starts, ends)
-            cosines = cosines + np.bincount(self.entries[at], self.weights[at] * np.repeat(w[rare], ends - starts), len(self.sizes))
-            yield self._voted(t, w, np.minimum(np.round(cosines, 5), 1.0))
-
-    def _voted(self, t: np.ndarray, w: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int], list[str]]:
-        """The nearest entries of NEIGHBOURS examples, with all that tie with the last."""
-        least = np.partition(cosines, -NEIGHBOURS)[-NEIGHBOURS] if len(cosines) > NEIGHBOURS else 0.0
-        entries = np.flatnonzero((cosines >= least) & (cosines > 0))
-        entries = entries[np.argsort(-cosines[entries], kind="stable")]
-        full = np.searchsorted(np.cumsum(self.sizes[entries]), NEIGHBOURS)
-        if full < len(entries):
-            entries = entries[cosines[entries] >= cosines[entries[full]]]
-        votes = 1 / (1 - cosines[entries] + SOFT)
-        n, y = self.sizes[entries], self.toxic[entries]
-        score = float(((votes * y).sum() + PRIOR * self.base) / ((votes * n).sum() + PRIOR))
-        told = [d for e in entries[:EVIDENCE].tolist() for d in self.evidence[e][:1]]
-        words = [self.vocabulary[i] for i in t[np.argsort(-w, kind="stable")][:EVIDENCE].tolist()]
-        return min(1.0, max(0.0, score)), told, words
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, examples: int = EXAMPLES):
+            found = self.memory[key] = self._judged(text)
+        return found
+
+    def _judged(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        counts = self.terms.count(text)
+        if not counts:
+            return self.blank[0], self.blank[1], []
+        t, w = self.vector(counts)
+        entries, cosines = self.neighbours(t, w, NEIGHBOURS)
+        score = self.score(self.share(t, w, entries, cosines))
+        # Evidence sides with the verdict: the nearest examples of its label.
+        side = entries[(self.toxic[entries] >= 0.5) == (score >= 0.5)][:EVIDENCE]
+        shared: dict[int, float] = {}
+        asked = np.zeros(len(self.idf))
+        asked[t] = w * (self.telling[t] if score >= 0.5 else 1.0)
+        for own, x in (self.rows[e] for e in side.tolist()):
+            both = asked[own] * x
+            for i in np.argsort(-both, kind="stable")[:EVIDENCE].tolist():
+                if both[i] > 0:
+                    shared[int(own[i])] = shared.get(int(own[i]), 0.0) + float(both[i])
+        best = sorted(shared, key=lambda i: (-shared[i], i))[:EVIDENCE]
+        names = self._names(text, set(best))
+        return score, [self.evidence[e] for e in side.tolist()], [names[i] for i in best]
+
+    def _names(self, text: str | None, wanted: set[int]) -> dict[int, str]:
+        """The terms of these numbers as they stand in the text."""
+        names: dict[int, str] = {}
+        for word in plain_words(text):
+            own = self.terms.of(word)
+            if wanted.intersection(own):
+                for term in terms_of(word):
+                    at = int(np.searchsorted(self.terms.hashes, np.uint64(xxhash.xxh3_64_intdigest(term))))
+                    if at in wanted and at in own:
+                        names.setdefault(at, term.decode())
+        return names
+
+
+def calibrate(model: Model, vectors: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, totals: dict[int, int], sampled: dict[int, int]):
+    """(line, base rate, error): the isotonic line over the examples' shares, each without itself.
+
+    Every example stands for as many labelled rows as the sample has left out of its label.
+    The error is the mean squared one of scores by a line fitted on the other half.
+    """
+    base = totals.get(1, 0) / max(1, sum(totals.values()))
+    shares = np.array([model.share(t, w, *model.neighbours(t, w, NEIGHBOURS, e)) for e, (t, w) in enumerate(vectors)])
+    weight = [totals.get(y, 0) / max(1, sampled.get(y, 0)) for y in (0, 1)]
+    y = model.toxic
+    weights = sizes * (y * weight[1] + (1 - y) * weight[0])
+    rate = np.where(weights > 0, sizes * y * weight[1] / np.maximum(weights, 1e-300), 0)
+    use = ~np.isnan(shares) & (weights > 0)
+    if not use.any():
+        return (np.array([0.0]), np.array([base])), base, float("nan")
+    x, rate, weights = shares[use], rate[use], weights[use]
+    error, half = 0.0, np.arange(len(x)) % 2 == 0
+    for own in (half, ~half):
+        if own.any() and (~own).any():
+            told = np.interp(x[own], *isotonic(x[~own], rate[~own], weights[~own], base))
+            error += float((weights[own] * (told - rate[own]) ** 2).sum() / weights.sum())
+    return isotonic(x, rate, weights, base), base, error
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES):
     """A broadcast model. `learn` is a condition on doc_id; by default all but the held-out rows.
 
-    Learned from at most `examples` labelled rows; document frequencies are those of all
-    documents. What is collected is bounded by the terms of so many examples.
+    Learned from at most `examples` labelled rows of at most `example_bytes` of text; their
+    terms' hashes and counts, which that bounds, come to the driver. Document frequencies are
+    those of all documents. The model's `error` tells the calibration's mean squared error.
     """
     spark = docs.sparkSession
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
-    own = _examples(docs, labels, learn, examples).persist()
-    vocabulary, factors = _vocabulary(own)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    own, totals = _examples(docs, labels, learn, examples, example_bytes)
 
-    # Equal vectors are one entry.
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Terms(shared.value)
         for batch in batches:
-            keys = [np.array(sorted(counter.count(x).items()), np.int32).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.binary())], names=["doc_id", "toxic", "key"])
-
-    vectors = own.select("doc_id", "toxic", "text").mapInArrow(rows, "doc_id bigint, toxic int, key binary")
-    toxic = (F.col("toxic") > 0).cast("int")
-    found = vectors.groupBy("key").agg(
-        F.count("*").alias("n"), F.sum(toxic).alias("t"), F.min("doc_id").alias("first"),
-        F.min(F.when(F.col("toxic") > 0, F.col("doc_id"))).alias("worst"),
-    ).orderBy("first").toArrow()
-    df, n_docs = (np.zeros(0), 0) if not vocabulary else (_counted(docs, shared), docs.count())
-    own.unpersist()
-    idf = np.log(1 + n_docs / (1 + df)) * factors
-    pairs = [np.frombuffer(k.as_buffer(), np.int32).reshape(-1, 2) for k in found.column("key")]
-    sizes, hits = (found.column(c).to_numpy().astype(np.float64) for c in ("n", "t"))
-    evidence = [[w if w is not None else f] for w, f in zip(found.column("worst").to_pylist(), found.column("first").to_pylist())]
-    base = float(hits.sum() / sizes.sum()) if len(sizes) else 0.0
-    both = np.concatenate(pairs or [np.empty((0, 2), np.int32)])
-    entries = np.repeat(np.arange(len(pairs), dtype=np.min_scalar_type(len(pairs))), [len(p) for p in pairs])
-    order = np.argsort(both[:, 0], kind="stable")
-    starts = np.searchsorted(both[order, 0], np.arange(len(vocabulary) + 1))
-    entries, counts = entries[order], both[order, 1]
-    # As few bytes as hold them: the model is sent to every worker.
-    counts = counts.astype(np.min_scalar_type(counts.max(initial=1)))
-    # What texts without any term get: the examples without any.
-    empty = next((e for e, p in enumerate(pairs) if not len(p)), None)
-    n, y = (0, 0.0) if empty is None else (sizes[empty], hits[empty])
-    blank = float((y / (1 + SOFT) + PRIOR * base) / (n / (1 + SOFT) + PRIOR))
-    model = (
-        vocabulary, idf, starts, entries, counts, sizes, hits, evidence, base, blank,
-        [] if empty is None else evidence[empty],
-    )
-    return uuid.uuid4().hex, spark.sparkContext.broadcast(model)
+            pairs = [term_counts(x) for x in batch.column("text").to_pylist()]
+            blobs = [pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *blobs], names=["doc_id", "toxic", "terms", "counts"])
+
+    told = own.mapInArrow(rows, "doc_id bigint, toxic int, terms binary, counts binary").toArrow()
+    ids, marks = told.column("doc_id").to_pylist(), told.column("toxic").to_pylist()
+    sampled = {y: marks.count(y) for y in (0, 1)}
+    # Equal vectors are one entry: its sizes, toxic share, and evidence (a toxic one first).
+    merged: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+    for i, y, t, c in sorted(zip(ids, marks, told.column("terms").to_pylist(), told.column("counts").to_pylist())):
+        terms, counts = np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64)
+        by = np.argsort(terms)
+        merged.setdefault((terms[by].tobytes(), counts[by].tobytes()), []).append((i, y))
+    blank = merged.pop((b"", b""), [])
+    pairs = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64)) for t, c in merged]
+    sizes = np.array([len(x) for x in merged.values()], np.float64)
+    toxic = np.array([np.mean([y for _, y in x]) for x in merged.values()])
+    evidence = [min(x, key=lambda r: (-r[1], r[0]))[0] for x in merged.values()]
+    all_terms = np.concatenate([t for t, _ in pairs]) if pairs else np.empty(0, np.uint64)
+    hashes, terms = np.unique(all_terms, return_inverse=True)
+    counts = np.concatenate([c for _, c in pairs]) if pairs else np.empty(0, np.int64)
+    starts = np.cumsum([0, *(len(t) for t, _ in pairs)], dtype=np.int64)
+    df, n_docs = np.zeros(0), 0
+    if len(hashes):
+        df, n_docs = _document_frequencies(docs, spark.sparkContext.broadcast(hashes)), docs.count()
+    idf = np.log(1 + n_docs / (1 + df))
+    parts = [hashes, idf, starts, terms, counts, toxic, evidence]
+    model = Model(*parts, (0.0, []), (np.array([0.0]), np.array([0.0])))
+    vectors = [model.vector(dict(zip(terms[a:b].tolist(), counts[a:b].tolist()))) for a, b in zip(starts[:-1], starts[1:])]
+    line, base, error = calibrate(model, vectors, sizes, totals, sampled)
+    # What texts without any known term get: the rate of the examples without any.
+    rate = (sum(y for _, y in blank) + base) / (len(blank) + 1)
+    told_blank = (rate, [min(blank)[0]] if blank else [])
+    return uuid.uuid4().hex, spark.sparkContext.broadcast((*parts, told_blank, line)), error
 
 
 _models: dict[str, Model] = {}
 
 
-def _model(key: str, broadcast) -> Model:
+def _model(key: str, broadcast, error: float) -> Model:
     """Built once per Python worker."""
     if key not in _models:
-        if len(_models) >= 2:
-            _models.pop(next(iter(_models)))
+        _models.clear()
         _models[key] = Model(*broadcast.value)
     return _models[key]
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """Per row: doc_id, score, evidence (doc_ids of nearest examples), evidence_terms.
+    """Per row: doc_id, score, evidence (doc_ids of nearest examples), evidence_terms (shared with them).
 
-    Null and empty texts, and texts without any term of the examples, get the score of the
-    examples without any. Repeated rows are scored alike; a null doc_id stays null;
-    without usable labels every score is the base rate (0 without any label). Other
-    columns are ignored; nothing is shuffled.
+    Null and empty texts, and texts without any term of the examples, get the rate of the
+    examples without any, mixed with the base rate. Repeated rows are scored alike; a null
+    doc_id stays null; neighbours that tie with the last all vote; without usable labels
+    every score is the base rate (0 without any label). Other columns are ignored;
+    nothing is shuffled.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(*model)
         for batch in batches:
-            scored = list(own.scores(batch.column("text").to_pylist()))
+            scored = [own.judged(x.as_py()) for x in batch.column("text")]
             scores, evidence, terms = zip(*scored) if scored else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())),
@@ -320,6 +377,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, examples:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(*model)
         for batch in batches:
-            yield batch.filter(pa.array([x[0] < least for x in own.scores(batch.column("text").to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([own.judged(x.as_py())[0] < least for x in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -141,7 +141,8 @@ def test_poisson_counts_follow_the_law(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).fetchall()
     got = queries.queries()[name](spark, SF)
     assert got.columns == [c[0] for c in con.description]
