@@ -12,13 +12,14 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.postings import Postings
+from logloom.llm.postings import SLACK, Postings
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own BM25 score for it to be retrieved.
@@ -98,27 +99,27 @@ class Index:
         words = plain_words(text)
         if not words or not self.vocabulary:
             return []
-        get = self.vocabulary.get
-        at = [(i, t) for i, w in enumerate(words) if (t := get(w)) is not None]
-        if not at:
-            return []
-        places, terms = np.array(at, np.int64).T
-        bound = np.concatenate([[0.0], np.cumsum(self.postings.most[terms])])
-        if bound[-1] < self.least - 1e-9:
+        found = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+        places = np.flatnonzero(found >= 0)
+        terms = found[places]
+        if self.postings.most[terms].sum() < self.least - SLACK:
             return []
         # Passages of twice the longest item, each half over the last: an item lies whole in one.
         step = self.longest
         firsts = np.arange(0, max(1, len(words) - step), step)
-        lows, highs = np.searchsorted(places, firsts), np.searchsorted(places, firsts + 2 * step)
+        n_terms = len(self.vocabulary)
+        near = np.concatenate([places // step, places // step - 1])
+        both = np.concatenate([terms, terms])
+        own = (near >= 0) & (near < len(firsts))
+        pairs = np.unique(near[own] * n_terms + both[own])
+        passages, terms = pairs // n_terms, pairs % n_terms
         best: dict[int, tuple] = {}
-        for k in np.flatnonzero(bound[highs] - bound[lows] >= self.least - 1e-9):
-            found = self.postings.above(np.unique(terms[lows[k] : highs[k]]), self.least)
-            if not found:
-                continue
+        retrieved = zip(*(x.tolist() for x in self.postings.above_groups(passages, terms, len(firsts), self.least)))
+        for k, group in groupby(retrieved, key=lambda x: x[0]):
             first = int(firsts[k])
             passage = words[first : first + 2 * step]
             sets = {n: {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)} for n in range(1, GRAM + 1)}
-            for entry, score in found:
+            for _, entry, score in group:
                 q, nq, a, na = self.parts[entry]
                 both = _overlap(q, nq, sets), _overlap(a, na, sets)
                 if min(both) >= least_overlap:

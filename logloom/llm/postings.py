@@ -14,6 +14,8 @@ import numpy as np
 BLOCK = 8
 #: Against rounding in sums taken in another order.
 SLACK = 1e-9
+#: Bounds (of groups and blocks) that are held at once.
+BOUNDS = 1 << 20
 
 
 def _gather(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -56,9 +58,38 @@ class Postings:
         weights = self.weights[at]
         if by is not None:
             weights = weights * np.repeat(by[use], ends - starts)
+        if self.n_entries <= 16 * len(at):
+            sums = np.bincount(self.entries[at], weights, self.n_entries)
+            entries = np.flatnonzero(sums)
+            return entries, sums[entries]
         entries, inverse = np.unique(self.entries[at], return_inverse=True)
         return entries, np.bincount(inverse, weights, len(entries))
 
+    def above_groups(self, groups: np.ndarray, terms: np.ndarray, n_groups: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, entry, score) of what above() finds for each group of terms.
+
+        `groups` ascends, and has each of its terms once. Bounds of all groups and blocks are
+        added up at once, BOUNDS of them at a time; lists are only read in the blocks left.
+        """
+        out = []
+        step = max(1, BOUNDS // max(1, self.n_blocks))
+        for low in range(0, n_groups, step):
+            own = slice(*np.searchsorted(groups, [low, low + step]))
+            few, n = terms[own], min(step, n_groups - low)
+            starts, ends = self.cell_starts[few], self.cell_starts[few + 1]
+            cells = _gather(starts, ends)
+            place = np.repeat(groups[own] - low, ends - starts) * self.n_blocks + self.cells[cells]
+            bounds = np.bincount(place, self.maxima[cells], n * self.n_blocks)
+            use = bounds[place] >= least - SLACK
+            cells, of = cells[use], place[use] // self.n_blocks
+            starts, ends = self.cell_entries[cells], self.cell_entries[cells + 1]
+            at = _gather(starts, ends)
+            keys, inverse = np.unique(np.repeat(of, ends - starts) * self.n_entries + self.entries[at], return_inverse=True)
+            scores = np.bincount(inverse, self.weights[at], len(keys))
+            hit = scores >= least - SLACK
+            out.append((keys[hit] // self.n_entries + low, keys[hit] % self.n_entries, scores[hit]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     def above(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
         """Entries whose weights over `terms` (distinct) add up to `least` or more."""
         bounds, cells, by = self.bounds(terms)
