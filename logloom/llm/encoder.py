@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 
 #: Pieces remembered by a Python worker, in two generations; the older one is forgotten.
 MEMORY = 1_000_000
+#: Pieces that are encoded as one text.
+ROW = 1000
 
 
 class Pieces:
@@ -39,6 +41,10 @@ class Pieces:
         self.young: list[dict[str, bytes]] = [{}, {}]
         self.old: list[dict[str, bytes]] = [{}, {}]
         self.feed = self._packed(self._plain(["\n"])[0])
+        #: Bytes of each id's token: a byte-level token has a character for each byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.widths = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def _plain(self, texts: list[str]) -> list:
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
@@ -51,6 +57,24 @@ class Pieces:
         spans = np.array(encoding.offsets, np.uint32).reshape(-1, 2)
         return np.column_stack([np.array(encoding.ids, np.uint32), spans]).astype(np.uint32).tobytes()
 
+    def _in_a_row(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each piece with a blank before it, from texts of many pieces.
+
+        The blanks keep the pieces apart, and the widths of the ids tell where each one ends.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(pieces), ROW):
+            few = pieces[at : at + ROW]
+            ids = np.array(self._plain([" " + " ".join(few)])[0].ids, np.uint32)
+            ends = np.cumsum(self.widths[ids])
+            stops = np.cumsum([len(p.encode()) + 1 for p in few])
+            cuts = np.searchsorted(ends, stops) + 1
+            if cuts[-1] != len(ids) or (ends[cuts - 1] != stops).any():
+                raise ValueError("ids do not end where the pieces do")
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return out
+
     def _learn(self, pieces: set[str], blank: int) -> None:
         """Put the pieces, each with a blank before it if `blank`, into the young generation."""
         young, old, new = self.young[blank], self.old[blank], []
@@ -67,7 +91,8 @@ class Pieces:
             bare = {p: p[:-1] for p in new if p[-1:] in (",", ".") and len(p) > 1 and p[-2].isalpha()}
             need = {p for p in new if p not in bare} | {b for b in bare.values() if b not in young}
             ordered = list(need)
-            young.update(zip(ordered, map(self._packed, self._plain([lead + p for p in ordered]))))
+            packed = self._in_a_row(ordered) if blank else map(self._packed, self._plain(ordered))
+            young.update(zip(ordered, packed))
             if bare:
                 marks = {m: self._packed(e) for m, e in zip(",.", self._plain([",", "."]))}
                 young.update((p, young[b] + marks[p[-1]]) for p, b in bare.items())
