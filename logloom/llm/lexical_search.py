@@ -173,7 +173,7 @@ def index_shard(row: dict, queries: Queries, weights: np.ndarray, n_docs: int, n
     signs = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (len(weights), SKETCH))
     heft = (impacts * weights[terms]).astype(np.float32)
     likeness = np.stack([np.bincount(docs, heft * signs[terms, k], len(starts) - 1) for k in range(SKETCH)], axis=1)
-    likeness /= np.maximum(1e-30, np.sqrt((likeness * likeness).sum(axis=1, keepdims=True)))
+    likeness = likeness / np.maximum(1e-30, np.sqrt((likeness * likeness).sum(axis=1, keepdims=True)))
     order = np.argsort(terms, kind="stable")
     ends = np.searchsorted(terms[order], np.arange(len(weights) + 1))
     lists, blocks, postings, summaries = [0], [0], [], []
