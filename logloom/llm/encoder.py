@@ -41,10 +41,6 @@ class Pieces:
         self.young: list[dict[str, bytes]] = [{}, {}]
         self.old: list[dict[str, bytes]] = [{}, {}]
         self.feed = self._packed(self._plain(["\n"])[0])
-        #: Bytes of each id's token: a byte-level token has a character for each byte.
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.widths = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
-        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def _plain(self, texts: list[str]) -> list:
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
@@ -57,24 +53,6 @@ class Pieces:
         spans = np.array(encoding.offsets, np.uint32).reshape(-1, 2)
         return np.column_stack([np.array(encoding.ids, np.uint32), spans]).astype(np.uint32).tobytes()
 
-    def _in_a_row(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of each piece with a blank before it, from texts of many pieces.
-
-        The blanks keep the pieces apart, and the widths of the ids tell where each one ends.
-        """
-        out: list[bytes] = []
-        for at in range(0, len(pieces), ROW):
-            few = pieces[at : at + ROW]
-            ids = np.array(self._plain([" " + " ".join(few)])[0].ids, np.uint32)
-            ends = np.cumsum(self.widths[ids])
-            stops = np.cumsum([len(p.encode()) + 1 for p in few])
-            cuts = np.searchsorted(ends, stops) + 1
-            if cuts[-1] != len(ids) or (ends[cuts - 1] != stops).any():
-                raise ValueError("ids do not end where the pieces do")
-            data = ids.tobytes()
-            out += [data[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
-        return out
-
     def _learn(self, pieces: set[str], blank: int) -> None:
         """Put the pieces, each with a blank before it if `blank`, into the young generation."""
         young, old, new = self.young[blank], self.old[blank], []
@@ -91,8 +69,7 @@ class Pieces:
             bare = {p: p[:-1] for p in new if p[-1:] in (",", ".") and len(p) > 1 and p[-2].isalpha()}
             need = {p for p in new if p not in bare} | {b for b in bare.values() if b not in young}
             ordered = list(need)
-            packed = self._in_a_row(ordered) if blank else map(self._packed, self._plain(ordered))
-            young.update(zip(ordered, packed))
+            young.update(zip(ordered, map(self._packed, self._plain([lead + p for p in ordered]))))
             if bare:
                 marks = {m: self._packed(e) for m, e in zip(",.", self._plain([",", "."]))}
                 young.update((p, young[b] + marks[p[-1]]) for p, b in bare.items())
@@ -161,7 +138,165 @@ def _single_blanks(text: str) -> bool:
     return len(words) == single + 1 and sum(map(len, words)) + single == len(text)
 
 
+#: White space other than blanks and line feeds.
+_ODD = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"]
+_SIDE_BY_SIDE = ["  ", "\n\n", " \n", "\n "]
+
+
+def _cuttable(text: str) -> bool:
+    """_single_blanks() and no special token, found by searching and not by splitting."""
+    return bool(text) and not (
+        text[0] in " \n" or text[-1] in " \n" or "<|" in text
+        or any(x in text for x in _SIDE_BY_SIDE) or any(c in text for c in _ODD)
+    )
+
+
+class _Numbers(dict):
+    """Numbers of pieces, given when first met; `met` gets the new ones."""
+
+    def __init__(self, met: list[tuple[int, str]], blank: int, count: list[int]):
+        super().__init__()
+        self.met, self.blank, self.count = met, blank, count
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self.count[0]
+        self.count[0] += 1
+        self.met.append((self.blank, piece))
+        return number
+
+
+class Numbered:
+    """Token ids of texts from numbered pieces: every piece has its ids in one pool of all.
+
+    A word is looked up once, which gives its number; pieces that are new to a batch of
+    texts are learned together; and the ids of the whole batch are then taken from the pool.
+    At `memory` pieces all are forgotten, which costs the frequent ones to be learned again.
+    """
+
+    def __init__(self, path: str, memory: int = MEMORY):
+        plain = Pieces(path, 0)
+        self.tokenizer, self.cuts, self.memory = plain.tokenizer, plain.cuts, memory
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Bytes of each id's token: a byte-level token has a character for each byte.
+        self.widths = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.met: list[tuple[int, str]] = []
+        self.count = [0]
+        self.heads, self.words = (_Numbers(self.met, blank, self.count) for blank in (0, 1))
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.known = 0
+        #: A line feed, a comma and a full stop, which have pieces of their own.
+        self.feed, *self.marks = (self.heads[x] for x in "\n,.")
+        self._learn()
+
+    def _plain(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _put(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """`ids` holds those of one piece after the other."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(ids), self.used), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.used += len(ids)
+
+    def taken(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these pieces, one after the other."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        return self.pool[at + np.arange(len(at))]
+
+    def _learn(self) -> None:
+        """Give ids to all pieces met since the last time."""
+        if not self.met:
+            return
+        # A comma or full stop after a letter is a pre-token of its own; the rest is a piece.
+        marked: list[tuple[int, int, int]] = []
+        whole: tuple[list, list] = ([], [])
+        at = 0
+        while at < len(self.met):
+            blank, piece = self.met[at]
+            number = self.known + at
+            if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
+                marked.append((number, (self.heads, self.words)[blank][piece[:-1]], self.marks[piece[-1] == "."]))
+            else:
+                whole[blank].append((number, piece))
+            at += 1
+        self.known += len(self.met)
+        self.met.clear()
+        if self.known > len(self.starts):
+            room = np.empty(self.known, np.int64)
+            self.starts, self.sizes = (np.concatenate([x, room]) for x in (self.starts, self.sizes))
+        if whole[0]:
+            numbers, pieces = zip(*whole[0])
+            found = [np.array(e.ids, np.uint32) for e in self._plain(list(pieces))]
+            self._put(np.array(numbers), np.concatenate(found), np.array(list(map(len, found))))
+        for low in range(0, len(whole[1]), ROW):
+            self._learn_in_a_row(*zip(*whole[1][low : low + ROW]))
+        if marked:
+            numbers, bare, mark = np.array(marked).T
+            pairs = np.stack([bare, mark], axis=1)
+            self._put(numbers, self.taken(pairs.ravel()), self.sizes[pairs].sum(axis=1))
+
+    def _learn_in_a_row(self, numbers: tuple[int, ...], pieces: tuple[str, ...]) -> None:
+        """Pieces with a blank before each, encoded as one text.
+
+        The blanks keep them apart, and the widths of the ids tell where each one ends.
+        """
+        ids = np.array(self._plain([" " + " ".join(pieces)])[0].ids, np.uint32)
+        ends = np.cumsum(self.widths[ids])
+        stops = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        cuts = np.searchsorted(ends, stops) + 1
+        if cuts[-1] != len(ids) or (ends[cuts - 1] != stops).any():
+            raise ValueError("ids do not end where the pieces do")
+        self._put(np.array(numbers), ids, np.diff(cuts, prepend=0))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text a uint32 array of its ids."""
+        if self.known > self.memory:
+            self._forget()
+        out: list = [None] * len(texts)
+        cut = [self.cuts and _cuttable(t) for t in texts]
+        rest = [i for i, c in enumerate(cut) if not c]
+        for i, e in zip(rest, self._plain([texts[i] for i in rest]) if rest else []):
+            out[i] = np.array(e.ids, np.uint32)
+        head, word, feed = self.heads.__getitem__, self.words.__getitem__, self.feed
+        numbers: list[int] = []
+        bounds = [0]
+        for text, c in zip(texts, cut):
+            if c:
+                for line in text.split("\n"):
+                    first, *others = line.split(" ")
+                    numbers.append(head(first))
+                    numbers += map(word, others)
+                    numbers.append(feed)
+                numbers.pop()
+                bounds.append(len(numbers))
+        self._learn()
+        places = np.array(numbers, np.int64)
+        ids = self.taken(places)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[places])])[bounds]
+        parts = iter(zip(ends[:-1].tolist(), ends[1:].tolist()))
+        for i, c in enumerate(cut):
+            if c:
+                a, b = next(parts)
+                out[i] = ids[a:b]
+        return out
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str, offsets: bool = False) -> Pieces:
     """One per Python worker."""
     return Pieces(path, offsets=offsets)
+
+
+@lru_cache(maxsize=2)
+def numbered(path: str) -> Numbered:
+    """One per Python worker."""
+    return Numbered(path)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.llm import blocks
-from logloom.llm.encoder import pieces
+from logloom.llm.encoder import numbered
 from logloom.llm.text import whole_text
 
 END_ID = 2
@@ -44,7 +44,7 @@ def write_tokens(
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces(tokenizer)
+        encoder = numbered(tokenizer)
         end = np.array([end_id], np.uint32)
         part, made = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []

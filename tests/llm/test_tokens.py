@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 from llm_helpers import ODD_TEXTS, frame, prose, with_rows  # noqa: E402
 from logloom.llm import blocks, token_counts, token_files  # noqa: E402
-from logloom.llm.encoder import Pieces  # noqa: E402
+from logloom.llm.encoder import Numbered, Pieces  # noqa: E402
 from logloom.llm.text import importable  # noqa: E402
 from logloom.session import scratch_path  # noqa: E402
 
@@ -21,6 +21,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
 SMALL = Pieces(PATH, memory=40)
 SPANS = Pieces(PATH, memory=40, offsets=True)
+NUMBERED = Numbered(PATH, memory=60)
 
 
 @settings(max_examples=80, deadline=None)
@@ -28,6 +29,7 @@ SPANS = Pieces(PATH, memory=40, offsets=True)
 def test_pieces_give_the_librarys_ids_and_offsets(texts):
     want = PLAIN.encode_batch(texts, add_special_tokens=False)
     assert [x.tolist() for x in SMALL.encode(texts)] == [e.ids for e in want]
+    assert [x.tolist() for x in NUMBERED.encode(texts)] == [e.ids for e in want]
     for got, e in zip(SPANS.encode(texts), want):
         assert [tuple(r) for r in got.tolist()] == [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)]
 
@@ -42,6 +44,13 @@ def test_blocks_round_trip(ids, block, percentile):
         assert (blocks.read_block(data, i) == ids[i * block : (i + 1) * block]).all()
 
 
+def test_numbered_pieces_give_the_librarys_ids_of_prose():
+    texts = [*(prose(i, 300, 5000).replace(" w1", ", w1").replace("w2", "ß2.") for i in range(40)), "", prose(1, 20000, 9000)]
+    own = Numbered(PATH)
+    for _ in range(2):  # learned, then known
+        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_damaged_segment_is_refused():
     with pytest.raises(ValueError):
         blocks.decode(blocks.encode(np.arange(100, dtype=np.uint32))[:-1])
