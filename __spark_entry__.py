@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import importlib
 import importlib.util
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracle_queries
 from logloom.functions.clf import parse_lines, parse_logs, reject_counts
-from logloom.operators import store
+from logloom.operators import rollup, store
 from logloom.operators.breakdown import breakdown, last_seen_join
 from logloom.operators.kpis import daily_kpis
 from logloom.operators.merge import carry_over, merge_reports
@@ -24,13 +25,15 @@ from logloom.schema import (
     ERROR_URL_CODE,
     FAMILY,
     FREQUENT_HITS,
+    REALTIME_TABLE,
+    REALTIME_TABLES,
 )
 from logloom.session import scratch_path
 from logloom.sources import files, kafka
 from logloom.sources.event_lines import event_lines
 from logloom.streaming import deltas
-from logloom.streaming.ingest import land_lines, watch_directories
-from logloom.streaming.windows import daily_windows
+from logloom.streaming.ingest import land_lines, log_stream, watch_directories
+from logloom.streaming.windows import daily_windows, read_late, read_windows, windows_with_late_lines
 
 DAY = oracle_queries.DAY
 PAGE = oracle_queries.PAGE
@@ -61,6 +64,11 @@ def _once(name: str, build: Callable[[SparkSession, str, str], None]) -> Callabl
     return path
 
 
+def _clock() -> Column:
+    """When the micro-batches of the queries are processed."""
+    return F.lit(oracle_queries.CLOCK).cast("timestamp")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_lines(spark, sf_dir).select("value")
 
@@ -82,7 +90,7 @@ def _write_text(spark: SparkSession, sf_dir: str, root: str) -> None:
 
 
 def _write_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
-    files.write_logs(parse_lines(_lines(spark, sf_dir)), root)
+    files.write_logs(parse_lines(_lines(spark, sf_dir)), root, "all")
 
 
 def _write_rollup(spark: SparkSession, sf_dir: str, root: str) -> None:
@@ -100,7 +108,7 @@ def _write_deltas(spark: SparkSession, sf_dir: str, root: str) -> None:
         half.write.mode("append").text(f"{root}/drop")
         lines = watch_directories(spark, [f"{root}/drop"])
         deltas.report_stream(
-            lines, root, f"{root}/checkpoint", trigger=NOW
+            lines, root, f"{root}/checkpoint", trigger=NOW, store_root=f"{root}/store", clock=_clock()
         ).start().awaitTermination()
 
 
@@ -156,6 +164,18 @@ def partition_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.list_days(spark, _logs_root(spark, sf_dir))
 
 
+def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in two loads by the parity of the event: rejects as counted and as kept, by load."""
+    root = scratch_path(spark, "load-rejects")
+    lines = event_lines(spark, sf_dir)
+    for load, rest in (("even", 0), ("odd", 1)):
+        files.write_logs(parse_lines(lines.where(F.col("event_id") % 2 == rest)), root, load)
+    kept = files.read_rejects(spark, root).groupBy("load", "reject_reason").agg(
+        F.count("*").alias("kept"), F.min("line").alias("first_line"), F.max("line").alias("last_line")
+    )
+    return files.reject_totals(spark, root).join(kept, ["load", "reject_reason"])
+
+
 def ingest_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "ingest")
     early, late = _halves(spark, sf_dir)
@@ -266,7 +286,7 @@ def incremental_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parse_lines(_lines(spark, sf_dir))
     runs = []
     for run, landed in enumerate([F.col("date") <= DAY, F.col("date") > DAY], 1):
-        files.write_logs(parsed.where(landed), f"{root}/logs")
+        files.write_logs(parsed.where(landed), f"{root}/logs", f"run-{run}")
         days = daily_report.run_daily_report(
             spark, f"{root}/logs", f"{root}/rollup", f"{root}/store"
         )
@@ -279,6 +299,46 @@ def incremental_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def late_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells after two loads into the same days, the second of them loaded twice."""
+    root = scratch_path(spark, "late-load")
+    lines = event_lines(spark, sf_dir)
+    for load, rest in (("early", 0), ("late", 1), ("late", 1)):
+        files.write_logs(parse_lines(lines.where(F.col("event_id") % 2 == rest)), f"{root}/logs", load)
+        daily_report.run_daily_report(spark, f"{root}/logs", f"{root}/rollup", f"{root}/store")
+    return store.read_cells(spark, f"{root}/store")
+
+
+def changed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run reports: all days, then just those that a second load has lines of, then none."""
+    root = scratch_path(spark, "changed-days")
+    lines = event_lines(spark, sf_dir)
+    runs = []
+    for run, (load, rest) in enumerate([("most", F.col("event_id") % 100 > 0), ("few", F.col("event_id") % 500 == 0)], 1):
+        files.write_logs(parse_lines(lines.where(rest)), f"{root}/logs", load)
+        for again in range(2):
+            days = daily_report.run_daily_report(spark, f"{root}/logs", f"{root}/rollup", f"{root}/store")
+            runs += [(day, run, again) for day in days]
+    return spark.createDataFrame(runs, "date string, run int, again int")
+
+
+def unique_hosts_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks and months: the exact number of hosts, and whether the days' sketches come near it."""
+    rows = daily_report.read_rollup(spark, _rollup_root(spark, sf_dir))
+    hosts = daily_report.grain(rows, "host")
+    out = None
+    for span in ("week", "month"):
+        start = F.date_format(F.date_trunc(span, F.to_timestamp("date")), "yyyy-MM-dd").alias("start")
+        exact = hosts.groupBy(start).agg(F.count_distinct("host").alias("unique_host_count"))
+        count, near = F.col("unique_host_count"), 4 * rollup.SKETCH_ERROR * F.col("unique_host_count")
+        one = rollup.unique_hosts_span(rows, span).join(exact, "start").select(
+            F.lit(span).alias("span"), "start", "days", count,
+            (F.abs(F.col("unique_host_estimate") - count) <= F.greatest(F.lit(1.0), near)).alias("estimate_is_near"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- the report store and its views -------------------------------------------
 
 
@@ -333,9 +393,9 @@ def store_put(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_nested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested rows, opened again with each column's position in its family."""
     nested = store.nested_rows(_cells(spark, sf_dir))
-    families = nested.select("table", "rowKey", "part", F.inline("columnFamilies"))
+    families = nested.select("table", "rowKey", F.inline("columnFamilies"))
     return families.select(
-        "table", "rowKey", "part", "familyName",
+        "table", "rowKey", F.lit(0).alias("part"), "familyName",
         F.posexplode("columnValues").alias("position", "cell"),
     ).select("table", "rowKey", "part", "familyName", "position", "cell.column", "cell.value")
 
@@ -356,26 +416,34 @@ def daily_hosts_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.day_over_day(views.daily_unique_hosts(_logs(spark, sf_dir)), "unique_host_count")
 
 
+def endpoint_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors per endpoint on every day, none included, with the change from the day before."""
+    logs = _logs(spark, sf_dir).where(F.col("response_code") >= ERROR_CODE)
+    per_day = logs.groupBy("date", "endpoint").agg(F.count("*").alias("errors"))
+    return views.day_over_day(per_day, "errors", ["endpoint"])
+
+
+def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all six tables, read back from their cells."""
+    fields = ["hour", "host", "endpoint", "response_code", "count", "last_time", "percentage"]
+    cells = _cells(spark, sf_dir)
+    tables = [
+        views.table_rows(cells, name, columns).withColumn("qualifier", F.lit(name)) for name, columns in BATCH_TABLES.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select("date", "qualifier", *fields)
+
+
 # --- streaming ------------------------------------------------------------------
 
 
 def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as binary messages, decoded and parsed on the way into parquet."""
+    """Lines as binary messages, decoded and parsed on the way into the log table."""
     root = scratch_path(spark, "stream-parse")
     messages = watch_directories(spark, [_text_root(spark, sf_dir)]).select(
         F.col("value").cast("binary").alias("value")
     )
-    (
-        parse_logs(kafka.decode(messages))
-        .select(*LOG_FIELDS)
-        .writeStream.format("parquet")
-        .option("path", f"{root}/logs")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(**NOW)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{root}/logs")
+    log_stream(kafka.decode(messages), f"{root}/logs", f"{root}/checkpoint", trigger=NOW).start().awaitTermination()
+    return files.read_logs(spark, f"{root}/logs").select(*LOG_FIELDS)
 
 
 def _window_report(logs: DataFrame, root: str) -> DataFrame:
@@ -409,16 +477,37 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window_report(logs, scratch_path(spark, "stream-report"))
 
 
-def late_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in one micro-batch per file, the newest third of the month landing first."""
-    root = scratch_path(spark, "late-report")
+def _thirds(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """The lines of each third of the month, the newest first."""
     parsed = parse_lines(_lines(spark, sf_dir))
     day = F.dayofmonth(F.try_to_timestamp("date"))
     for low, high in [(21, 31), (11, 20), (1, 10)]:
-        part = parsed.where(day.between(low, high)).select(F.col("line").alias("value"))
-        part.coalesce(1).write.mode("append").text(f"{root}/drop")
-    lines = watch_directories(spark, [f"{root}/drop"], files_per_batch=1)
-    return _window_report(parse_logs(lines), root)
+        yield parsed.where(day.between(low, high)).select(F.col("line").alias("value"))
+
+
+def late_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in a micro-batch per third of the month, the newest landing first."""
+    root = scratch_path(spark, "late-report")
+    for third in _thirds(spark, sf_dir):
+        third.write.mode("append").text(f"{root}/drop")
+        report = _window_report(parse_logs(watch_directories(spark, [f"{root}/drop"])), root)
+    return report
+
+
+def late_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three days of delay: per day and code the lines counted in time and those told apart as late."""
+    root = scratch_path(spark, "late-lines")
+    for third in _thirds(spark, sf_dir):
+        third.write.mode("append").text(f"{root}/drop")
+        lines = watch_directories(spark, [f"{root}/drop"])
+        windows_with_late_lines(
+            lines, root, f"{root}/checkpoint", "3 days", ["response_code"], trigger=NOW
+        ).start().awaitTermination()
+    keys = ["date", "response_code"]
+    on_time = read_windows(spark, root, ["response_code"]).select(*keys, F.col("total_log_count").alias("on_time"))
+    late = read_late(spark, root).groupBy(*keys).agg(F.count("*").alias("late"))
+    both = on_time.join(late, keys, "full_outer")
+    return both.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("on_time", "late")])
 
 
 def rt_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +531,7 @@ def rt_bad_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rt_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deltas.online(_deltas(spark, sf_dir)).drop("time")
+    return deltas.online(_deltas(spark, sf_dir))
 
 
 def rt_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,9 +539,41 @@ def rt_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rt_report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All realtime cells but the snapshot, whose value holds the clock."""
-    cells = deltas.realtime_cells(_deltas(spark, sf_dir))
-    return cells.where("qualifier <> 'online_users_count'")
+    return deltas.realtime_cells(_deltas(spark, sf_dir))
+
+
+def _rt_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store that the stream keeps current, batch by batch."""
+    return store.read_cells(spark, f"{_deltas_root(spark, sf_dir)}/store")
+
+
+def rt_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rt_cells(spark, sf_dir)
+
+
+def rt_store_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.get_rows(_rt_cells(spark, sf_dir), REALTIME_TABLE, f"date={DAY}")
+
+
+def rt_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the three realtime tables, read back from the store with their shares."""
+    fields = ["endpoint", "response_code", "count", "last_time", "percentage"]
+    cells = _rt_cells(spark, sf_dir)
+    tables = [
+        views.realtime_rows(cells, name, columns).withColumn("qualifier", F.lit(name)) for name, columns in REALTIME_TABLES.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select("date", "qualifier", *fields)
+
+
+def rt_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and tables of a stream in four batches, folded after the second and the fourth."""
+    root = scratch_path(spark, "compacted")
+    lines = event_lines(spark, sf_dir)
+    for batch in range(4):
+        deltas.write_delta(lines.where(F.col("event_id") % 4 == batch), batch, root, clock=_clock())
+        if batch % 2:
+            deltas.compact(spark, root)
+    return deltas.realtime_cells(deltas.read_deltas(spark, root)).where(F.col("qualifier") != "online_users_count")
 
 
 # --- contract ---------------------------------------------------------------------
@@ -482,6 +603,17 @@ def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
 def queries() -> dict[str, Query]:
     return _training_data()[0] | {
         "raw_scan": raw_scan,
+        "load_rejects": load_rejects,
+        "late_load": late_load,
+        "changed_days": changed_days,
+        "unique_hosts_span": unique_hosts_span,
+        "endpoint_calendar": endpoint_calendar,
+        "report_tables": report_tables,
+        "late_lines": late_lines,
+        "rt_store": rt_store,
+        "rt_store_day": rt_store_day,
+        "rt_table_rows": rt_table_rows,
+        "rt_compacted": rt_compacted,
         "parse_logs": parse,
         "bad_line_count": bad_line_count,
         "partitioned_write": partitioned_write,

@@ -16,6 +16,9 @@ TIME_PATTERN = r"^\d{2}/[A-Z][a-z]{2}/(?!0000)\d{4}:\d{2}:\d{2}:\d{2} "
 # Fixed value: month names as logged.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
+# Why a line is rejected.
+REASONS = ["null", "pattern", "size", "time"]
+
 # The whole line is rewritten to its nine groups, one per line of text, so that
 # the pattern runs once per line and not once per field. The second branch turns
 # any other line into nine empty groups. No group but the time can hold white

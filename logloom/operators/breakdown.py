@@ -76,6 +76,34 @@ def with_share(rows: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def key_entries(
+    rows: DataFrame, key: str, top: str, min_count: int, by_code: str, min_code: int
+) -> DataFrame:
+    """Candidates of the two tables of a host or endpoint, from one shuffle of its rollup.
+
+    `top` has one entry per key, `by_code` one per key and code; both show when
+    the key was last seen at all. A window holds one row per response code.
+    """
+    of_key = Window.partitionBy("date", key)
+    seen = rows.select(
+        "date",
+        key,
+        "response_code",
+        "hits",
+        F.sum("hits").over(of_key).alias("key_hits"),
+        F.max("last_time").over(of_key).alias("last_time"),
+        (F.col("response_code") == F.min("response_code").over(of_key)).alias("once"),
+    )
+    entry = "struct<qualifier: string, response_code: int, count: bigint>"
+    total = F.struct(F.lit(top), F.lit(None), F.col("key_hits")).cast(entry)
+    single = F.struct(F.lit(by_code), F.col("response_code"), F.col("hits")).cast(entry)
+    entries = F.array(
+        F.when(F.col("once") & (F.col("key_hits") > min_count), total),
+        F.when(F.col("response_code") >= min_code, single),
+    )
+    return seen.select("date", key, "last_time", F.inline(F.array_compact(entries)))
+
+
 def last_seen_join(logs: DataFrame, keys: Sequence[str], last_seen_by: str, min_code: int) -> DataFrame:
     """Count per `keys` joined with the last time of `last_seen_by`: two aggregates, one join.
 

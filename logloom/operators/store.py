@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.operators.ranking import distributed_rank
 from logloom.schema import CELL_COLUMNS, CELL_SCHEMA, FAMILY
 from logloom.session import scratch_path
+from logloom.sources.files import delete
 
-# A table of unlimited length is stored in parts of about this many rows, so that
-# no cell grows with the data.
+# A table of unlimited length is stored in parts of this many rows, in order, so that
+# no cell grows with the data and part 0 is the head of the table.
 PART_ROWS = 1000
 
 
@@ -53,19 +55,17 @@ def table_cells(
     """One cell per day and `qualifier`: its rows as a JSON array, by count desc and key.
 
     Fields are text, the count too unless `count_as_text` is off; null fields are
-    left out, and so are rows without a count (see empty_tables()). With
-    `unlimited`, the rows of a day are spread over as many parts as its size asks
-    for; up to PART_ROWS rows still make the single part 0.
+    left out, and so are rows without a count (see empty_tables()). With `unlimited`, a
+    table of any length is cut by rank: part 0 has its rows 1 to PART_ROWS, part 1 the next
+    PART_ROWS, and so on.
     """
     has_row = F.col("count").isNotNull()
     part = F.lit(0)
     if unlimited:
-        sizes = rows.groupBy("date", "qualifier").agg(
-            F.greatest(F.lit(1), F.ceil(F.count("count") / F.lit(PART_ROWS))).alias("_parts")
-        )
-        # A few rows per calendar day: bounded, see with_share().
-        rows = rows.join(F.broadcast(sizes), ["date", "qualifier"])
-        part = F.when(has_row, F.pmod(F.xxhash64(*keys), F.col("_parts"))).otherwise(0)
+        rank = [F.col("count").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in keys]]
+        rows = distributed_rank(rows, ["date", "qualifier"], rank)
+        # A placeholder ranks behind all rows; it makes no part of its own.
+        part = F.when(has_row, F.floor((F.col("rank") - 1) / PART_ROWS)).otherwise(0)
     packed = F.struct(
         *[
             F.col(f) if f == "count" and not count_as_text else F.col(f).cast("string").alias(f)
@@ -131,16 +131,20 @@ def get_rows_in(cells: DataFrame, keys: DataFrame) -> DataFrame:
     return cells.join(keys.select(*address), address, "left_semi").select(*cells.columns)
 
 
-def put_cells(puts: DataFrame, root: str) -> None:
+def put_cells(puts: DataFrame, root: str, sequence: str | None = None) -> None:
     """Upsert cells into the store: a put replaces the value of its address or adds the cell.
 
     Only the rows touched are read, folded and swapped; their other cells stay. Of puts to
-    the same address the greatest value is kept. The folded rows are written aside first,
-    so a job that dies leaves each row as it was or as it shall be.
+    the same address the last one counts: the greatest in column `sequence`, or without one
+    the last in the order of the rows of `puts`; puts of one sequence go by their value. The
+    store keeps no versions. The folded rows are written aside first, so a job that dies
+    leaves each row as it was or as it shall be.
     """
     spark = puts.sparkSession
     address = [c for c in CELL_COLUMNS if c != "value"]
-    new = puts.groupBy(*address).agg(F.max("value").alias("value"))
+    at = F.col(sequence) if sequence else F.monotonically_increasing_id()
+    numbered = puts.select(*CELL_COLUMNS, at.alias("_at"))
+    new = numbered.groupBy(*address).agg(F.max(F.struct("_at", "value"))["value"].alias("value"))
     touched = get_rows_in(read_cells(spark, root), new.select("table", "row_key").distinct())
     kept = touched.join(new.select(*address), address, "left_anti")
     aside = scratch_path(spark, "puts")
@@ -158,19 +162,27 @@ def split_conflicts(
     return puts.where(declared), puts.where(~declared)
 
 
-def nested_rows(cells: DataFrame) -> DataFrame:
-    """Row key, then families, then (column, value) pairs in byte order of the column.
+def nested_rows(cells: DataFrame, page: int = 0) -> DataFrame:
+    """One record per row: its key, then families, then (column, value) in byte order of the column.
 
-    One record per row, but for the overflow parts of long tables: each part is a
-    record of its own, so that a record stays small however long the table is.
+    A column's value is one page of it: page 0 is the whole of every figure and short
+    table, and the first PART_ROWS rows of a long one, so that a record stays small however
+    long a table is. Rows without a column of that page are left out.
     """
-    families = cells.groupBy("table", "row_key", "part", "family").agg(
+    own = cells.where(F.col("part") == page)
+    families = own.groupBy("table", "row_key", "family").agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("qualifier").alias("column"), F.col("value")))
         ).alias("columnValues")
     )
-    return families.groupBy("table", F.col("row_key").alias("rowKey"), "part").agg(
+    return families.groupBy("table", F.col("row_key").alias("rowKey")).agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("family").alias("familyName"), "columnValues"))
         ).alias("columnFamilies")
     )
+
+
+def drop_rows(spark: SparkSession, root: str, table: str, row_keys: Sequence[str]) -> None:
+    """Delete whole rows of a table."""
+    for key in row_keys:
+        delete(spark, f"{root}/table={table}/row_key={key.replace('=', '%3D')}")

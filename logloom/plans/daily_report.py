@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators.breakdown import with_share
+from logloom.operators.breakdown import key_entries, with_share
 from logloom.operators.kpis import kpis_of_rollup
-from logloom.operators.rollup import GRAINS, merge_rollups, rollup, with_hour
+from logloom.operators.rollup import GRAINS, SKETCH, host_sketches, merge_rollups, rollup, with_hour
 from logloom.operators.store import (
+    drop_rows,
     empty_tables,
     marker_cells,
-    read_cells,
     scalar_cells,
     table_cells,
     write_cells,
@@ -27,7 +29,11 @@ from logloom.schema import (
     MARKER,
     TOP_ROWS,
 )
-from logloom.sources.files import list_days, list_partitions, read_logs
+from logloom.sources.files import delete, exists, loads_by_day, read_logs
+
+# Folder, in the store, that tells the loads each report was made of.
+LEDGER = "_ledger"
+_LEDGER_SCHEMA = "date string, loads array<string>"
 
 
 def write_rollup(logs: DataFrame, root: str) -> None:
@@ -35,22 +41,30 @@ def write_rollup(logs: DataFrame, root: str) -> None:
 
     This is the only step that reads the logs; every report is cut from its
     output, which is as small as the distinct (host, code) and (endpoint, code)
-    pairs of a day.
+    pairs of a day. Each day's hosts are sketched from the rows just stored.
     """
-    (
-        rollup(with_hour(logs), GRAINS)
-        .hint("rebalance", F.col("grain"), F.col("date"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("grain", "date")
-        .parquet(root)
-    )
+
+    def store(rows: DataFrame) -> None:
+        (
+            rows.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("grain", "date")
+            .parquet(root)
+        )
+
+    rows = rollup(with_hour(logs), GRAINS).hint("rebalance", F.col("grain"), F.col("date"))
+    seen = Observation()
+    store(rows.observe(seen, F.collect_set("date").alias("days")))
+    if not (days := seen.get["days"]):
+        return
+    stored = read_rollup(logs.sparkSession, root).where(F.col("date").isin(days))
+    store(host_sketches(grain(stored, "host")).coalesce(1))
 
 
 def read_rollup(spark: SparkSession, root: str) -> DataFrame:
     schema = (
         "hour int, response_code int, host string, endpoint string, hits bigint, bytes bigint, "
-        "last_time timestamp_ntz, grain string, date string"
+        "last_time timestamp_ntz, sketch binary, grain string, date string"
     )
     return spark.read.schema(schema).parquet(root)
 
@@ -59,34 +73,6 @@ def grain(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(F.col("grain") == name)
 
 
-def _key_entries(
-    rows: DataFrame, key: str, top: str, min_count: int, by_code: str, min_code: int
-) -> DataFrame:
-    """Candidates of the two tables of a host or endpoint, from one shuffle of its grain.
-
-    `top` has one entry per key, `by_code` one per key and code; both show when
-    the key was last seen at all. A window holds one row per response code.
-    """
-    of_key = Window.partitionBy("date", key)
-    seen = grain(rows, key).select(
-        "date",
-        key,
-        "response_code",
-        "hits",
-        F.sum("hits").over(of_key).alias("key_hits"),
-        F.max("last_time").over(of_key).alias("last_time"),
-        (F.col("response_code") == F.min("response_code").over(of_key)).alias("once"),
-    )
-    entry = "struct<qualifier: string, response_code: int, count: bigint>"
-    total = F.struct(F.lit(top), F.lit(None), F.col("key_hits")).cast(entry)
-    single = F.struct(F.lit(by_code), F.col("response_code"), F.col("hits")).cast(entry)
-    entries = F.array(
-        F.when(F.col("once") & (F.col("key_hits") > min_count), total),
-        F.when(F.col("response_code") >= min_code, single),
-    )
-    return seen.select("date", key, "last_time", F.inline(F.array_compact(entries)))
-
-
 def report_rows(
     rows: DataFrame, *, min_url_code: int = ERROR_URL_CODE, k: int = TOP_ROWS
 ) -> DataFrame:
@@ -102,11 +88,11 @@ def report_rows(
         F.col("hits").alias("count"),
         "last_time",
     )
-    hosts = _key_entries(
-        rows, "host", "process_hosts_more_than_10", FREQUENT_HITS, "error_hosts_top", ERROR_CODE
+    hosts = key_entries(
+        grain(rows, "host"), "host", "process_hosts_more_than_10", FREQUENT_HITS, "error_hosts_top", ERROR_CODE
     )
-    endpoints = _key_entries(
-        rows, "endpoint", "process_top_endpoints", 0, "process_top_errors", min_url_code
+    endpoints = key_entries(
+        grain(rows, "endpoint"), "endpoint", "process_top_endpoints", 0, "process_top_errors", min_url_code
     )
     candidates = codes.unionByName(hosts, allowMissingColumns=True).unionByName(
         endpoints, allowMissingColumns=True
@@ -155,34 +141,75 @@ def done_days(cells: DataFrame) -> DataFrame:
     ).select(F.substring("row_key", 6, 10).alias("date"))
 
 
-def pending_days(days: DataFrame, done: DataFrame, mode: str = "incremental") -> DataFrame:
-    """Days to analyze: those without a marker, or all of them with `mode="refresh"`."""
+def read_ledger(spark: SparkSession, store_root: str) -> DataFrame:
+    """(date, loads): what each reported day was made of when its report was written."""
+    if not exists(spark, f"{store_root}/{LEDGER}"):
+        return spark.createDataFrame([], _LEDGER_SCHEMA)
+    rows = spark.read.schema(_LEDGER_SCHEMA).parquet(f"{store_root}/{LEDGER}")
+    return rows.select("date", "loads")
+
+
+def pending_days(present: DataFrame, ledger: DataFrame, mode: str = "incremental") -> DataFrame:
+    """(date, loads) of the days to analyze: those whose loads are not what the ledger says.
+
+    A day is new, has got another load, or had one replaced; with `mode="refresh"`, all days
+    are taken. Both tables have a row per day; no cell and no line is read.
+    """
     if mode == "refresh":
-        return days
+        return present
     if mode != "incremental":
         raise ValueError(f"unknown mode {mode!r}")
-    return days.join(done, "date", "left_anti")
+    told = ledger.select("date", F.col("loads").alias("told"))
+    changed = ~F.col("loads").eqNullSafe(F.col("told"))
+    return present.join(told, "date", "left").where(changed).select("date", "loads")
 
 
 def run_daily_report(
-    spark: SparkSession, logs_root: str, rollup_root: str, store_root: str, mode: str = "incremental"
+    spark: SparkSession,
+    logs_root: str,
+    rollup_root: str,
+    store_root: str,
+    mode: str = "incremental",
+    days: Sequence[str] | None = None,
 ) -> list[str]:
     """Bring the report store up to date with the log table; returns the days done.
 
-    A day's old row is replaced as a whole, its marker goes in last; a run that
-    dies in between leaves the day without marker and the next run redoes it.
-    The list of days on the driver is a directory listing, one short text per day.
+    Done are the days whose loads have changed since their report (see pending_days()), or
+    just the chosen `days`, changed or not. A day's old row is replaced as a whole, its
+    marker goes in after it and its line of the ledger last: a run that dies in between
+    leaves the day pending. Days that no load holds any more lose their report. The lists of
+    days on the driver come from the manifests of the loads, one short row per day.
     """
-    days = list_days(spark, logs_root)
-    has_store = bool(list_partitions(spark, store_root, r"table=(.*)"))
-    if has_store:
-        days = pending_days(days, done_days(read_cells(spark, store_root)), mode)
-    todo = sorted(r.date for r in days.collect())
+    present = loads_by_day(spark, logs_root)
+    ledger = read_ledger(spark, store_root)
+    if days is not None:
+        chosen = present.where(F.col("date").isin(list(days)))
+    else:
+        chosen = pending_days(present, ledger, mode)
+    rows_of_days = chosen.collect()
+    if days is None:
+        gone = [r.date for r in ledger.join(present, "date", "left_anti").collect()]
+        _drop_days(spark, rollup_root, store_root, gone)
+    todo = sorted(r.date for r in rows_of_days)
     if not todo:
         return []
     write_rollup(read_logs(spark, logs_root, todo), rollup_root)
     rows = read_rollup(spark, rollup_root).where(F.col("date").isin(todo))
     write_cells(report_cells(rows), store_root)
-    done = spark.createDataFrame([(d,) for d in todo], "date string")
+    done = spark.createDataFrame(rows_of_days, _LEDGER_SCHEMA)
     write_cells(marker_cells(done, BATCH_TABLE, MARKER), store_root, mode="append")
+    (
+        done.coalesce(1).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date")
+        .parquet(f"{store_root}/{LEDGER}")
+    )
     return todo
+
+
+def _drop_days(spark: SparkSession, rollup_root: str, store_root: str, days: Sequence[str]) -> None:
+    drop_rows(spark, store_root, BATCH_TABLE, [f"date={day}" for day in days])
+    for day in days:
+        for name in [*GRAINS, SKETCH]:
+            delete(spark, f"{rollup_root}/grain={name}/date={day}")
+        delete(spark, f"{store_root}/{LEDGER}/date={day}")

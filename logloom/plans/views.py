@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.numbers import ratio_or_null, round_half_up
-from logloom.operators.breakdown import breakdown
+from logloom.operators.breakdown import breakdown, with_share
 from logloom.operators.kpis import unique_hosts
 from logloom.operators.store import get_rows
 from logloom.operators.topk import top_k
@@ -91,13 +91,40 @@ def traffic_by_weekday(logs: DataFrame) -> DataFrame:
     ).agg(F.sum("hits").alias("hits"), F.count("*").alias("days"))
 
 
-def day_over_day(per_day: DataFrame, column: str) -> DataFrame:
-    """Change of a daily figure against the day before it in the table, in percent.
+def on_calendar(per_day: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Every day from the first to the last of the table, for every key; days without a row show 0.
 
-    The window has no partition: its input is one row per calendar day.
+    The spine is made of the table's own ends: a row per calendar day and key.
     """
-    previous = F.lag(column).over(Window.orderBy("date"))
+    first, last = (per_day.agg(f(F.to_date("date"))).scalar() for f in (F.min, F.max))
+    owners = per_day.select(*keys).distinct() if keys else per_day.sparkSession.range(1)
+    days = owners.select(*keys, F.explode(F.sequence(first, last)).alias("date"))
+    days = days.withColumn("date", F.col("date").cast("string"))
+    filled = days.join(per_day, ["date", *keys], "left")
+    return filled.select("date", *keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns])
+
+
+def day_over_day(per_day: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Change of a daily figure against the calendar day before, in percent, by key if any.
+
+    Days in between that the table lacks count as 0, so a gap never shows as the change of
+    one day. The window holds the calendar (of a key): a row per day.
+    """
+    of_key = Window.partitionBy(*keys).orderBy("date") if keys else Window.orderBy("date")
+    previous = F.lag(column).over(of_key)
     change = ratio_or_null(F.col(column) - F.col("previous"), F.col("previous")) * 100
-    return per_day.withColumn("previous", previous).withColumn(
+    return on_calendar(per_day, [column], keys).withColumn("previous", previous).withColumn(
         "change_pct", F.round(change, 2)
     )
+
+
+def realtime_rows(cells: DataFrame, qualifier: str, fields: Sequence[str]) -> DataFrame:
+    """A realtime table back to rows, all parts, with each row's share of the day's total.
+
+    Realtime cells hold counts only; the total is a cell of the same row. It is one number
+    per day and is broadcast (see with_share()).
+    """
+    totals = cells.where(F.col("qualifier") == "total_log_count").select(
+        F.substring("row_key", 6, 10).alias("date"), F.col("value").cast("bigint").alias("total")
+    )
+    return with_share(table_rows(cells, qualifier, fields), totals)

@@ -8,6 +8,7 @@ PATTERN = (
 )
 DAY = "2024-01-15"
 PAGE = 5
+CLOCK = "2024-02-01 12:00:00"
 
 LINES = """
 lines AS (
@@ -169,9 +170,18 @@ def cells_cte(table: str, scalars: list[str], tables: dict, count_as_text: bool
 
 
 BATCH_CELLS = f"{LOGS},{KPIS},\n{cells_cte('log_analysis_report', SCALARS, TABLES)}"
+# Successful requests in the newer half of each day, as taken at CLOCK.
+ONLINE = (
+    f"SELECT date, '{CLOCK}' AS time, count(*) FILTER (response_code = 200) AS count FROM "
+    "(SELECT *, max(hour >= 12) OVER (PARTITION BY date) AS has_pm FROM logs) "
+    "WHERE (hour >= 12) = has_pm GROUP BY date"
+)
 REALTIME_CELLS = (
     f"{LOGS},{KPIS},\n"
-    f"{cells_cte('log_analysis_realtime', REALTIME_SCALARS, REALTIME, count_as_text=False)}"
+    f"{cells_cte('log_analysis_realtime', REALTIME_SCALARS, REALTIME, count_as_text=False)},\n"
+    "all_cells AS (SELECT * FROM cells UNION ALL SELECT 'log_analysis_realtime', 'date=' || date, 'cf', "
+    "'online_users_count', 0, '[{\"time\":\"' || time || '\",\"count\":' || count || '}]' "
+    f"FROM ({ONLINE}))"
 )
 
 
@@ -179,6 +189,16 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _tables(tables: dict, fields: list[str]) -> str:
+    """The rows of several report tables in one layout; their own columns, null for the others."""
+    return " UNION ALL ".join(
+        f"SELECT date, '{name}' AS qualifier, "
+        + ", ".join(f'"{f}"' if f in [*own, "percentage"] else f'NULL AS "{f}"' for f in fields)
+        + f" FROM {sql}"
+        for name, (_, own, sql) in tables.items()
+    )
+
+
 def build() -> dict[str, str]:
     logs = lambda body: _with(LOGS, body)
     table = lambda sql, cols="*": logs(f"SELECT {cols} FROM {sql}")
@@ -264,12 +284,52 @@ def build() -> dict[str, str]:
             "SELECT date, CAST(floor(total_content_size / nullif(total_number_of_successful, 0) + 0.5) "
             "AS BIGINT) AS average_content_size FROM kpis",
         ),
-        "rt_online": logs(
-            "SELECT date, count(*) FILTER (response_code = 200) AS count FROM "
-            "(SELECT *, max(hour >= 12) OVER (PARTITION BY date) AS has_pm FROM logs) "
-            "WHERE (hour >= 12) = has_pm GROUP BY date"
+        "rt_online": logs(ONLINE),
+        "rt_report_cells": _with(REALTIME_CELLS, "SELECT * FROM all_cells"),
+        "rt_store": _with(REALTIME_CELLS, "SELECT * FROM all_cells"),
+        "rt_store_day": _with(REALTIME_CELLS, f"SELECT * FROM all_cells WHERE row_key = 'date={DAY}'"),
+        "rt_compacted": _with(REALTIME_CELLS, "SELECT * FROM cells"),
+        "rt_table_rows": logs(_tables(REALTIME, ["endpoint", "response_code", "count", "last_time", "percentage"])),
+        "report_tables": logs(
+            _tables(TABLES, ["hour", "host", "endpoint", "response_code", "count", "last_time", "percentage"])
+        ),
+        "load_rejects": _with(
+            LINES,
+            "SELECT CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS load, 'pattern' AS reject_reason, "
+            "count(*) AS lines, count(*) AS kept, min(value) AS first_line, max(value) AS last_line FROM lines "
+            f"WHERE NOT regexp_matches(value, '{PATTERN}') GROUP BY 1",
+        ),
+        "late_load": cells(
+            "SELECT * FROM cells UNION ALL SELECT DISTINCT 'log_analysis_report', 'date=' || date, 'cf', "
+            "'check_analysis', 0, '1' FROM logs"
+        ),
+        "changed_days": _with(
+            LOGS.replace("SELECT unnest(", "SELECT event_id, unnest("),
+            "SELECT DISTINCT date, 1 AS run, 0 AS again FROM (SELECT date FROM timed_logs WHERE event_id % 100 > 0) "
+            "UNION ALL SELECT DISTINCT date, 2, 0 FROM timed_logs WHERE event_id % 500 = 0",
+        ).replace("logs AS (", "timed_logs AS (SELECT event_id, strftime(event_time, '%Y-%m-%d') AS date FROM timed),\nlogs AS ("),
+        "unique_hosts_span": logs(
+            " UNION ALL ".join(
+                f"SELECT '{span}' AS span, strftime(date_trunc('{span}', CAST(date AS DATE)), '%Y-%m-%d') AS start, "
+                "count(DISTINCT date) AS days, count(DISTINCT host) AS unique_host_count, true AS estimate_is_near "
+                "FROM logs GROUP BY 2"
+                for span in ("week", "month")
+            )
+        ),
+        "endpoint_calendar": logs(
+            "SELECT date, endpoint, errors, previous, round((errors - previous) / nullif(previous, 0) * 100, 2) AS change_pct "
+            "FROM (SELECT *, lag(errors) OVER (PARTITION BY endpoint ORDER BY date) AS previous FROM ("
+            "SELECT strftime(day, '%Y-%m-%d') AS date, endpoint, coalesce(n, 0) AS errors FROM ("
+            "SELECT unnest(generate_series(min(CAST(date AS DATE)), max(CAST(date AS DATE)), INTERVAL 1 DAY)) AS day "
+            "FROM logs WHERE response_code >= 400) CROSS JOIN "
+            "(SELECT DISTINCT endpoint FROM logs WHERE response_code >= 400) LEFT JOIN ("
+            "SELECT CAST(date AS DATE) AS day, endpoint, count(*) AS n FROM logs WHERE response_code >= 400 GROUP BY ALL"
+            ") USING (day, endpoint)))"
+        ),
+        "late_lines": logs(
+            "SELECT date, response_code, count(*) FILTER (day(CAST(date AS DATE)) >= 21) AS on_time, "
+            "count(*) FILTER (day(CAST(date AS DATE)) < 21) AS late FROM logs GROUP BY date, response_code"
         ),
-        "rt_report_cells": _with(REALTIME_CELLS, "SELECT * FROM cells"),
         "rt_rejects": _with(
             LINES,
             "SELECT 'pattern' AS reject_reason, count(*) AS lines FROM lines "

@@ -2,7 +2,6 @@
 
 import contextlib
 import io
-import os
 
 import pytest
 from helpers import line, mixed_lines, text
@@ -26,7 +25,7 @@ def plan(df):
 @pytest.fixture(scope="module")
 def root(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("logs"))
-    files.write_logs(parse_lines(text(spark, mixed_lines(800))), path)
+    files.write_logs(parse_lines(text(spark, mixed_lines(800))), path, "all")
     return path
 
 
@@ -84,6 +83,21 @@ def test_running_tables_do_not_shuffle_for_the_share(spark, tmp_path):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
+def test_one_day_of_the_running_report_opens_that_day_only(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(4):
+        deltas.write_delta(text(spark, mixed_lines(200)), i, root)
+        if i == 1:
+            deltas.compact(spark, root)
+    whole = {(r.grain, r.hits) for r in deltas.read_deltas(spark, root).where("date = '1995-07-02'").collect()}
+    # The files of all other days may be gone.
+    for folder in [*tmp_path.glob("state/gen=*/date=*"), *tmp_path.glob("deltas/batch_id=*/date=*")]:
+        if folder.name != "date=1995-07-02":
+            files.delete(spark, str(folder))
+    day = deltas.read_deltas(spark, root, ["1995-07-02"])
+    assert {(r.grain, r.hits) for r in day.collect()} == whole
+
+
 def test_rollup_reads_only_the_grain_asked_for(spark, root, tmp_path):
     path = str(tmp_path / "rollup")
     daily_report.write_rollup(files.read_logs(spark, root), path)
@@ -100,10 +114,10 @@ def test_a_large_day_is_written_by_many_tasks(spark, tmp_path):
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
     try:
-        files.write_logs(parse_lines(many), str(tmp_path / "logs"))
+        files.write_logs(parse_lines(many), str(tmp_path / "logs"), "all")
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
-    big = [f for f in os.listdir(tmp_path / "logs" / "date=1995-07-01") if f.endswith(".parquet")]
+    big = list((tmp_path / "logs").glob("load=*/date=1995-07-01/*.parquet"))
     assert len(big) > 3
     assert files.read_logs(spark, str(tmp_path / "logs")).count() == 60001
 

@@ -136,8 +136,9 @@ def test_cells_round_trip_to_rows(reports):
         )
 
 
-def test_long_tables_come_in_parts(spark):
-    n = 3 * store.PART_ROWS + 7
+@pytest.mark.parametrize("n", [1, store.PART_ROWS, store.PART_ROWS + 500, 3 * store.PART_ROWS + 7])
+def test_long_tables_are_cut_by_rank(spark, n):
+    """Part 0 has the first rows of the table, part 1 the next ones; joined they are the table in order."""
     rows = spark.range(n).selectExpr(
         "'1995-07-01' AS date", "concat('/e', id) AS endpoint", "id % 9 + 1 AS count",
         "'1995-07-01 00:00:00' AS last_time",
@@ -152,15 +153,55 @@ def test_long_tables_come_in_parts(spark):
         rows, "rt", fields, ["endpoint"], count_as_text=False, unlimited=True
     )
     parts = cells.collect()
-    assert {p["part"] for p in parts if p["row_key"] == "date=1995-07-02"} == {0}
-    big = [p for p in parts if p["row_key"] == "date=1995-07-01"]
-    assert len(big) == 4
-    assert max(len(json.loads(p["value"])) for p in big) < 2 * store.PART_ROWS
+    assert [p["part"] for p in parts if p["row_key"] == "date=1995-07-02"] == [0]
+    big = sorted((p["part"], json.loads(p["value"])) for p in parts if p["row_key"] == "date=1995-07-01")
+    assert [p for p, _ in big] == list(range(-(-n // store.PART_ROWS)))
+    assert all(len(v) == store.PART_ROWS for _, v in big[:-1])
+    joined = [(x["endpoint"], x["count"]) for _, v in big for x in v]
+    assert joined == sorted(((f"/e{i}", i % 9 + 1) for i in range(n)), key=lambda x: (-x[1], x[0]))
     back = views.table_rows(cells, "top_endpoints", fields)
     assert sorted(map(tuple, back.collect())) == sorted(
         map(tuple, rows.select("date", *fields).collect())
     )
-    assert store.nested_rows(cells).count() == 5
+    # One record per row, with the head of each table.
+    nested = {r["rowKey"]: r["columnFamilies"][0]["columnValues"] for r in store.nested_rows(cells).collect()}
+    assert set(nested) == {"date=1995-07-01", "date=1995-07-02"}
+    assert json.loads(nested["date=1995-07-01"][0]["value"]) == big[0][1]
+    assert store.nested_rows(cells, page=1).count() == (1 if n > store.PART_ROWS else 0)
+
+
+def test_ranks_over_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from logloom.operators.ranking import distributed_rank
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5000).selectExpr("if(id % 10 < 9, 'hot', concat('g', id % 70)) AS g", "id % 13 AS n", "id")
+        got = distributed_rank(rows, ["g"], [F.col("n").desc(), F.col("id").asc()]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    groups = {}
+    for r in got:
+        groups.setdefault(r["g"], []).append((-r["n"], r["id"], r["rank"]))
+    assert len(got) == 5000
+    for own in groups.values():
+        assert [x[2] for x in sorted(own)] == list(range(1, len(own) + 1))
+
+
+def test_the_last_put_counts(spark, cells, tmp_path):
+    root = str(tmp_path / "store")
+    store.write_cells(cells, root)
+    address = ("t", "date=1995-07-01", "cf", "a", 0)
+    for values in (["9", "10"], ["10", "9"], ["3", None]):
+        store.put_cells(spark.createDataFrame([(*address, v) for v in values], cells.schema).coalesce(1), root)
+        got = store.get_rows(store.read_cells(spark, root), "t", "date=1995-07-01").collect()
+        assert [r["value"] for r in got] == [values[-1]]
+    numbered = spark.createDataFrame([(*address, "late", 2), (*address, "early", 1)], f"{cells.schema.simpleString()[7:-1].replace(':', ' ')}, seq int")
+    store.put_cells(numbered, root, "seq")
+    got = store.get_rows(store.read_cells(spark, root), "t", "date=1995-07-01").collect()
+    assert [r["value"] for r in got] == ["late"] and got[0].asDict().keys() == set(CELL_COLUMNS)
 
 
 def test_merge_and_carry_over(spark):
