@@ -128,3 +128,62 @@ class Postings:
                 if at < len(order) and bounds[order[at]] < last:
                     break
         return entries, scores
+
+
+class HeadedPostings:
+    """An index for nearest(), whose longest lists, the heads, are kept as blocks of a table.
+
+    Terms with a weight in at least a `share` of the entries are heads. The other, short
+    lists are read whole, which gives each entry's sum over them; a block's bound is the
+    largest such sum in it and what its maxima of the heads can add.
+    """
+
+    def __init__(self, terms: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_terms: int, n_entries: int, block: int = BLOCK, share: float = 0.1):
+        self.block, self.n_blocks = block, -(-n_entries // block)
+        heads = np.flatnonzero(np.bincount(terms, minlength=n_terms) >= max(1.0, share * n_entries))
+        #: Place of each term among the heads, or -1.
+        self.place = np.full(n_terms, -1, np.int64)
+        self.place[heads] = np.arange(len(heads))
+        own = self.place[terms] >= 0
+        table = np.zeros((self.n_blocks * block, len(heads)))
+        table[entries[own], self.place[terms[own]]] = weights[own]
+        self.table = table.reshape(self.n_blocks, block, len(heads))
+        self.maxima = self.table.max(axis=1) if self.n_blocks else np.zeros((0, len(heads)))
+        order = np.flatnonzero(~own)[np.argsort(terms[~own], kind="stable")]
+        self.entries, self.weights = entries[order], weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k entries of highest score above 0 (leaving out `but`), with all that tie with the last.
+
+        Blocks are opened by descending bound, in growing numbers, until no block left can
+        reach the score of the last entry kept.
+        """
+        place = self.place[terms]
+        head = place >= 0
+        asked = np.zeros(self.table.shape[2])
+        asked[place[head]] = query[head]
+        starts, ends = self.starts[terms[~head]], self.starts[terms[~head] + 1]
+        at = _gather(starts, ends)
+        sums = np.bincount(self.entries[at], self.weights[at] * np.repeat(query[~head], ends - starts), self.n_blocks * self.block)
+        sums = sums.reshape(self.n_blocks, self.block).astype(np.float64)
+        bounds = sums.max(axis=1, initial=0.0) + self.maxima @ asked
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        entries, scores = np.empty(0, np.int64), np.empty(0)
+        at, step = 0, max(16, 4 * k // self.block)
+        while at < len(order):
+            few = order[at : at + step]
+            own = (sums[few] + self.table[few] @ asked).ravel()
+            new = (few[:, None] * self.block + np.arange(self.block)).ravel()
+            keep = (own > 0) & (new != but)
+            entries, scores = np.concatenate([entries, new[keep]]), np.concatenate([scores, own[keep]])
+            at, step = at + step, step * 2
+            if len(scores) >= k:
+                last = np.partition(scores, -k)[-k] - SLACK
+                keep = scores >= last
+                entries, scores = entries[keep], scores[keep]
+                if at < len(order) and bounds[order[at]] < last:
+                    break
+        keep = np.lexsort((entries, -scores))
+        return entries[keep], scores[keep]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.decontaminate import plain_words
 from logloom.llm.lexical_search import cluster
-from logloom.llm.postings import Postings
+from logloom.llm.postings import HeadedPostings, _gather
 
 #: Labelled rows that are learned from: half of them of either label at most, those of the
 #: smallest hashes, and as many as have so many bytes of text together. More are left out.
@@ -34,10 +35,14 @@ NEIGHBOURS = 50
 #: A neighbour at cosine s weighs 1 / (1 - s + SOFT).
 SOFT = 0.02
 EVIDENCE = 3
+#: Chi-square from which on a term tells the toxic label: 1 in 100 by chance.
+LEAST_CHI2 = 6.63
 #: Power of a term's toxic share in its weight for votes, so that words of a language or topic gain little.
 SHARE_POWER = 4
 #: Words and texts that a worker remembers; texts by a 128-bit hash.
 WORDS, TEXTS = 300_000, 20_000
+#: Texts that are counted at once.
+AT_ONCE = 512
 SCORE_SCHEMA = "doc_id bigint, score double, evidence array<bigint>, evidence_terms array<string>"
 
 
@@ -66,26 +71,52 @@ class Terms:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def of(self, word: bytes) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            own = np.array([xxhash.xxh3_64_intdigest(t) for t in terms_of(word)], np.uint64)
-            at = np.searchsorted(self.hashes, own)
-            at[at == len(self.hashes)] = 0
-            found = tuple(at[self.hashes[at] == own].tolist()) if len(self.hashes) else ()
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def count(self, text: str | None) -> dict[int, int]:
-        counts: dict[int, int] = {}
-        for word, n in Counter(plain_words(text)).items():
-            for t in self.of(word):
-                counts[t] = counts.get(t, 0) + n
-        return counts
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        #: Numbers of the word itself and of its beginning, -1 for none in the index.
+        self.of = np.empty((0, 2), np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        own = [terms_of(w) for w in words]
+        pairs = np.array([[xxhash.xxh3_64_intdigest(t[0]), xxhash.xxh3_64_intdigest(t[-1])] for t in own], np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, pairs), max(0, len(self.hashes) - 1))
+        found = self.hashes[at] == pairs if len(self.hashes) else np.zeros(pairs.shape, bool)
+        numbers = np.where(found, at, -1)
+        numbers[[len(t) == 1 for t in own], 1] = -1
+        self.known.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.words += words
+        self.of = np.concatenate([self.of, numbers])
+
+    def count(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: its terms in the index, ascending, how often each occurs, and its words' places here."""
+        if len(self.words) > WORDS:
+            self._forget()
+        lists = [plain_words(x) for x in texts]
+        if new := set().union(*lists).difference(self.known):
+            self._learn(sorted(new))
+        sizes = list(map(len, lists))
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, sum(sizes))
+        docs = np.repeat(np.arange(len(texts)), sizes)
+        n_words, n_terms = max(1, len(self.words)), max(1, len(self.hashes))
+        pairs, times = np.unique(docs * n_words + words, return_counts=True)
+        docs, words = pairs // n_words, pairs % n_words
+        # Words are distinct within a text; beginnings are where several words may meet.
+        own, first = self.of[words].T
+        has = first >= 0
+        begun, place = np.unique(docs[has] * n_terms + first[has], return_inverse=True)
+        keys = np.concatenate([(docs * n_terms + own)[own >= 0], begun])
+        counts = np.concatenate([times[own >= 0], np.bincount(place, times[has], len(begun)).astype(np.int64)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        cuts = np.searchsorted(keys // n_terms, np.arange(len(texts) + 1))
+        of_doc = np.searchsorted(docs, np.arange(len(texts) + 1))
+        return [
+            (keys[a:b] % n_terms, counts[a:b], words[c:d])
+            for a, b, c, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), of_doc[:-1].tolist(), of_doc[1:].tolist())
+        ]
 
 
 def _examples(docs: DataFrame, labels: DataFrame, learn: Column, n: int, n_bytes: int) -> tuple[DataFrame, dict[int, int]]:
@@ -115,8 +146,9 @@ def _document_frequencies(docs: DataFrame, hashes) -> np.ndarray:
         own = Terms(hashes.value)
         total = np.zeros(len(own.hashes), np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                total[list(own.count(text.as_py()))] += 1
+            for at in range(0, len(batch), AT_ONCE):
+                counted = own.count(batch.column("text").slice(at, AT_ONCE).to_pylist())
+                total += np.bincount(np.concatenate([t for t, _, _ in counted]), minlength=len(total))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["term", "n"])
 
@@ -127,7 +159,10 @@ def _document_frequencies(docs: DataFrame, hashes) -> np.ndarray:
 
 
 def telling(entries_toxic: np.ndarray, terms: np.ndarray, entries: np.ndarray, n_terms: int) -> np.ndarray:
-    """1 plus the chi-square of terms that go with the toxic label, times a power of their toxic share."""
+    """1 plus the chi-square of terms that go with the toxic label, times a power of their toxic share.
+
+    It is 1 for terms whose chi-square is below LEAST_CHI2.
+    """
     n, p = len(entries_toxic), float(entries_toxic.sum())
     if not 0 < p < n:
         return np.ones(n_terms)
@@ -136,7 +171,7 @@ def telling(entries_toxic: np.ndarray, terms: np.ndarray, entries: np.ndarray, n
     apart = t * (n - p) - c * p
     chi2 = n * apart * apart / (np.maximum(c + t, 1) * np.maximum(0.5, n - c - t) * p * (n - p))
     share = (t + p / n) / (c + t + 1)
-    return 1 + np.where(apart > 0, chi2 * share**SHARE_POWER, 0.0)
+    return 1 + np.where((apart > 0) & (chi2 >= LEAST_CHI2), chi2 * share**SHARE_POWER, 0.0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -167,90 +202,92 @@ class Model:
         norms = np.sqrt(np.bincount(entries, weights * weights, n))
         weights = weights / np.maximum(norms, 1e-300)[entries]
         self.telling = telling(toxic, terms, entries, len(hashes))
+        #: The telling terms' weights in all entries, times what a vote owes to them; place of each term, or -1.
+        told = np.flatnonzero(self.telling > 1)
+        self.place = np.full(len(hashes), -1, np.int64)
+        self.place[told] = np.arange(len(told))
+        own = self.place[terms] >= 0
+        self.owed = np.zeros((len(told), n))
+        self.owed[self.place[terms[own]], entries[own]] = weights[own] * (self.telling[terms[own]] - 1)
         # Like entries are given neighbouring numbers, so that they share blocks.
         signs = np.random.default_rng(3).choice(np.array([-1.0, 1.0]), (len(hashes), 16))
         likeness = np.stack([np.bincount(entries, weights * signs[terms, k], n) for k in range(16)], axis=1) if n else np.zeros((0, 16))
         self.order = cluster(likeness / np.maximum(1e-30, np.linalg.norm(likeness, axis=1, keepdims=True)), 32) if n else np.arange(0)
         self.number = np.empty(n, np.int64)
         self.number[self.order] = np.arange(n)
-        self.postings = Postings(terms, self.number[entries], weights, len(hashes), n)
-        self.rows = [(terms[a:b], weights[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-        self.ones = np.ones(n, np.int64)
+        self.index = HeadedPostings(terms, self.number[entries], weights, len(hashes), n, share=0.25)
+        self.starts, self.entry_terms, self.weights = starts, terms, weights
         self.memory: dict[bytes, tuple[float, list[int], list[str]]] = {}
+        #: Weights of the text at hand by term, zero between texts.
+        self.asked = np.zeros(len(hashes))
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t]
-        return t, w / (np.sqrt((w * w).sum()) or 1.0)
+    def vector(self, t: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.idf[t]
+        return w / (np.sqrt((w * w).sum()) or 1.0)
 
     def neighbours(self, t: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k nearest entries, nearest first, with all that tie with the last."""
-        counts = self.ones
-        if but >= 0:
-            counts = counts.copy()
-            counts[self.number[but]] = 0
-        found, cosines = self.postings.nearest(t, w, counts, k)
-        entries = self.order[found]
-        keep = entries != but
-        entries, cosines = entries[keep], np.minimum(np.round(cosines[keep], 9), 1.0)
+        found, cosines = self.index.nearest(t, w, k, -1 if but < 0 else int(self.number[but]))
+        entries, cosines = self.order[found], np.minimum(np.round(cosines, 9), 1.0)
         by = np.lexsort((entries, -cosines))
         return entries[by], cosines[by]
 
+    def _products(self, t: np.ndarray, w: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(terms, products, starts) of the entries' weights with those of a text, one entry after the other."""
+        starts, ends = self.starts[entries], self.starts[entries + 1]
+        at = _gather(starts, ends)
+        self.asked[t] = w
+        products = self.asked[self.entry_terms[at]] * self.weights[at]
+        self.asked[t] = 0
+        return self.entry_terms[at], products, np.cumsum(ends - starts) - (ends - starts)
+
     def share(self, t: np.ndarray, w: np.ndarray, entries: np.ndarray, cosines: np.ndarray) -> float:
         """Of the neighbours' votes, the toxic share; NaN without neighbours."""
         if not len(entries):
             return float("nan")
-        asked = np.zeros(len(self.idf))
-        asked[t] = w * self.telling[t]
-        owed = np.array([(asked[own] * x).sum() for own, x in (self.rows[e] for e in entries.tolist())])
+        place = self.place[t]
+        told = place >= 0
+        owed = cosines + w[told] @ self.owed[np.ix_(place[told], entries)]
         votes = owed / (1 - cosines + SOFT)
         return float((votes * self.toxic[entries]).sum() / votes.sum())
 
     def score(self, share: float) -> float:
         return self.blank[0] if np.isnan(share) else float(np.interp(share, *self.line))
 
-    def judged(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        """(score, evidence, terms) of a text."""
-        key = xxhash.xxh3_128_digest(text or "")
-        found = self.memory.get(key)
-        if found is None:
-            if len(self.memory) >= TEXTS:
+    def judged(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        """(score, evidence, terms) of each text; equal texts are judged once while they are remembered."""
+        out = []
+        for at in range(0, len(texts), AT_ONCE):
+            few = texts[at : at + AT_ONCE]
+            keys = [xxhash.xxh3_128_digest(x or "") for x in few]
+            if len(self.memory) > TEXTS:
                 self.memory.clear()
-            found = self.memory[key] = self._judged(text)
-        return found
-
-    def _judged(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        counts = self.terms.count(text)
-        if not counts:
+            new = {k: x for k, x in zip(keys, few) if k not in self.memory}
+            self.memory.update(zip(new, map(self._judged, self.terms.count(list(new.values())))) if new else ())
+            out += [self.memory[k] for k in keys]
+        return out
+
+    def _judged(self, counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, list[int], list[str]]:
+        t, counts, words = counted
+        if not len(t):
             return self.blank[0], self.blank[1], []
-        t, w = self.vector(counts)
+        w = self.vector(t, counts)
         entries, cosines = self.neighbours(t, w, NEIGHBOURS)
         score = self.score(self.share(t, w, entries, cosines))
         # Evidence sides with the verdict: the nearest examples of its label.
         side = entries[(self.toxic[entries] >= 0.5) == (score >= 0.5)][:EVIDENCE]
-        shared: dict[int, float] = {}
-        asked = np.zeros(len(self.idf))
-        asked[t] = w * (self.telling[t] if score >= 0.5 else 1.0)
-        for own, x in (self.rows[e] for e in side.tolist()):
-            both = asked[own] * x
-            for i in np.argsort(-both, kind="stable")[:EVIDENCE].tolist():
-                if both[i] > 0:
-                    shared[int(own[i])] = shared.get(int(own[i]), 0.0) + float(both[i])
-        best = sorted(shared, key=lambda i: (-shared[i], i))[:EVIDENCE]
-        names = self._names(text, set(best))
-        return score, [self.evidence[e] for e in side.tolist()], [names[i] for i in best]
-
-    def _names(self, text: str | None, wanted: set[int]) -> dict[int, str]:
-        """The terms of these numbers as they stand in the text."""
-        names: dict[int, str] = {}
-        for word in plain_words(text):
-            own = self.terms.of(word)
-            if wanted.intersection(own):
-                for term in terms_of(word):
-                    at = int(np.searchsorted(self.terms.hashes, np.uint64(xxhash.xxh3_64_intdigest(term))))
-                    if at in wanted and at in own:
-                        names.setdefault(at, term.decode())
-        return names
+        if not len(side):
+            return score, [], []
+        terms, products, _ = self._products(t, w * self.telling[t] if score >= 0.5 else w, side)
+        # The shared terms that the cosines with them owe most to.
+        shared = products > 0
+        distinct, place = np.unique(terms[shared], return_inverse=True)
+        owed = np.bincount(place, products[shared])
+        names = []
+        for term in distinct[np.lexsort((distinct, -owed))[:EVIDENCE]].tolist():
+            row, column = np.argwhere(self.terms.of[words] == term)[0].tolist()
+            names.append(terms_of(self.terms.words[words[row]])[column].decode())
+        return score, [self.evidence[e] for e in side.tolist()], names
 
 
 def calibrate(model: Model, vectors: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, totals: dict[int, int], sampled: dict[int, int]):
@@ -318,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
     idf = np.log(1 + n_docs / (1 + df))
     parts = [hashes, idf, starts, terms, counts, toxic, evidence]
     model = Model(*parts, (0.0, []), (np.array([0.0]), np.array([0.0])))
-    vectors = [model.vector(dict(zip(terms[a:b].tolist(), counts[a:b].tolist()))) for a, b in zip(starts[:-1], starts[1:])]
+    vectors = [(terms[a:b], model.vector(terms[a:b], counts[a:b])) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
     line, base, error = calibrate(model, vectors, sizes, totals, sampled)
     # What texts without any known term get: the rate of the examples without any.
     rate = (sum(y for _, y in blank) + base) / (len(blank) + 1)
@@ -350,7 +387,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(*model)
         for batch in batches:
-            scored = [own.judged(x.as_py()) for x in batch.column("text")]
+            scored = own.judged(batch.column("text").to_pylist())
             scores, evidence, terms = zip(*scored) if scored else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())),
@@ -377,6 +414,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, examples:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(*model)
         for batch in batches:
-            yield batch.filter(pa.array([own.judged(x.as_py())[0] < least for x in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([x[0] < least for x in own.judged(batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -231,3 +231,62 @@ def test_pipeline_stages(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     bad |= {r.doc_id for r in decontaminate.find_contamination(docs, items).collect()}
     assert bad and not bad & set(last.doc_id)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_nearest_examples_against_all_cosines(seed):
+    """Entries, cosines, ties and shares as brute force has them, with copies among the examples."""
+    r = random.Random(seed)
+    texts = [prose(seed * 1000 + i, r.randint(1, 80), 60) for i in range(150)]
+    texts += [texts[3]] * 2 + [" ".join(reversed(texts[5].split(" ")))]
+    vectors = [toxicity.term_counts(t) for t in texts]
+    hashes, terms = np.unique(np.concatenate([t for t, _ in vectors]), return_inverse=True)
+    counts = np.concatenate([c for _, c in vectors])
+    starts = np.cumsum([0, *(len(t) for t, _ in vectors)])
+    idf = np.random.default_rng(seed).uniform(0.5, 6, len(hashes))
+    toxic = (np.arange(len(texts)) % 3 == 0).astype(float)
+    model = toxicity.Model(hashes, idf, starts, terms, counts, toxic, list(range(len(texts))), (0.1, []), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    dense = np.zeros((len(texts), len(hashes)))
+    for e, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+        dense[e, terms[a:b]] = (1 + np.log(counts[a:b])) * idf[terms[a:b]]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    asked = [prose(seed * 7000 + i, 30, 90) for i in range(10)] + [texts[3], texts[5]]
+    for text, (t, c, _) in zip(asked, model.terms.count(asked)):
+        w = model.vector(t, c)
+        query = np.zeros(len(hashes))
+        query[t] = w
+        cosines = dense @ query
+        for but in (-1, 3):
+            entries, found = model.neighbours(t, w, 12, but)
+            own = np.delete(np.arange(len(texts)), but) if but >= 0 else np.arange(len(texts))
+            last = np.sort(cosines[own])[-12]
+            want = sorted(e for e in own if cosines[e] >= last - 1e-9 and cosines[e] > 0)
+            assert sorted(entries.tolist()) == want
+            assert np.allclose(found, np.minimum(cosines[entries], 1)) and (np.diff(found) <= 0).all()
+            votes = (dense[entries] * query * model.telling).sum(axis=1) / (1 - found + toxicity.SOFT)
+            assert np.isclose(model.share(t, w, entries, found), (votes * toxic[entries]).sum() / votes.sum())
+    score, evidence, names = model.judged([texts[3]])[0]
+    assert evidence and all(n in {x.decode() for w in texts[3].encode().split() for x in toxicity.terms_of(w)} for n in names)
+
+
+def test_isotonic_line_rises_and_keeps_the_rate():
+    rng = np.random.default_rng(0)
+    x = rng.random(500)
+    y = (rng.random(500) < x**2).astype(float)
+    at, rate = toxicity.isotonic(x, y, np.ones(500), y.mean())
+    assert (np.diff(at) > 0).all() and (np.diff(rate) >= 0).all()
+    told = np.interp(x, at, rate)
+    assert abs(told.mean() - y.mean()) < 0.02 and np.abs(told - x**2).mean() < 0.08
+
+
+def test_scores_are_calibrated_on_the_held_out(spark):
+    importable(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    truth = labels.where("toxic IS NOT NULL").join(docs, "doc_id").where(toxicity.held_out(F.col("doc_id")))
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(truth.select("doc_id", "text"), model).join(labels, "doc_id").collect()
+    p, y = np.array([r.score for r in rows]), np.array([float(r.toxic > 0) for r in rows])
+    assert len(rows) > 600 and y.sum() > 50
+    assert ((p - y) ** 2).mean() < 0.02 and abs(p.mean() - y.mean()) < 0.03 and model[2] < 0.02
+    assert (p[y > 0] >= 0.5).mean() > 0.85 and (p[y == 0] >= 0.5).mean() < 0.01
