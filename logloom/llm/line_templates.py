@@ -1,112 +1,210 @@
 """Line dedup by a log-template tree: templates that recur across documents are dropped.
 
 The tree has a fixed depth: a line goes to a leaf by its number of tokens and its first
-tokens, with tokens that hold a digit masked. Within a leaf a token is part of the
-template where enough documents have it at that place, and a variable field, masked too,
-elsewhere. Lines of one template are one kind of line, whatever their fields hold.
+tokens, with tokens that hold a digit masked as fields. A leaf that too few lines reach is no
+leaf: its lines go to the best filled of the wildcard leaves that take any token in the place
+of one of the leading ones. Within a leaf a token is part of the template where enough lines
+have it at that place, and a field, masked too, elsewhere. Lines of one template are one kind
+of line, whatever their fields hold; a template without fields recurs as soon as two
+documents have it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.text import stored
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
-#: Documents in which a template must occur to be dropped, and a token to be part of one.
+#: Documents in which a template with fields must occur to be dropped. Lines (each counted once
+#: in a document) that a leaf has, and that a token has at its place to be part of a template.
 LEAST_DOCUMENTS = 20
+#: Documents in which a line without fields must occur, word for word, to be dropped.
+LEAST_COPIES = 2
 #: Least share of a line's tokens that must be fixed; vaguer lines have no template.
 LEAST_FIXED = 0.5
 FIELD = "<*>"
-_DIGITS = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
-_BLANKS = r"[\x20\x09-\x0D]+"
+_FIELD = FIELD.encode()
+_DIGIT = re.compile(rb"[0-9]")
+_LINES = "doc bigint, first boolean, fixed boolean, m1 bigint, m2 bigint, leaf bigint, wild array<bigint>, mask string"
+_SIGNED = 1 << 63
+
 
+def masked(line: bytes) -> bytes:
+    """Tokens with a digit as fields, single blanks, none at the ends."""
+    tokens = line.split()
+    if _DIGIT.search(line):
+        tokens = [_FIELD if _DIGIT.search(t) else t for t in tokens]
+    return b" ".join(tokens)
 
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= _SIGNED else x
 
-def masked(line: Column) -> Column:
-    """Tokens with a digit as fields, single blanks, none at the ends."""
-    # Most lines have neither digits nor other white space than single blanks.
-    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line)
-    odd = line.rlike(r"[\x09-\x0D]|\x20\x20")
-    return F.trim(F.when(odd, F.regexp_replace(fields, _BLANKS, " ")).otherwise(fields))
+
+def name_of(mask: bytes) -> tuple[int, int]:
+    """128 bits that stand for a masked line, as two longs."""
+    x = xxhash.xxh3_128_intdigest(mask)
+    return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
+
+
+def leaves_of(mask: bytes) -> tuple[int, list[int]]:
+    """Names of the line's leaf, and of the wildcard leaves that leave out one leading token."""
+    n = mask.count(b" ") + 1
+    head = mask.split(b" ", DEPTH)[:DEPTH]
+    own = xxhash.xxh3_64_intdigest(b"%d\0" % n + b"\0".join(head))
+    wild = [
+        _signed(xxhash.xxh3_64_intdigest(b"%d\1%d\0" % (n, i) + b"\0".join(head[:i] + head[i + 1 :])))
+        for i in range(len(head) if n > 1 else 0)
+    ]
+    return _signed(own), wild
 
 
-def _leaf(mask: Column) -> Column:
-    """A name of the line's leaf: how many tokens it has, and which come first."""
-    first = F.substring_index(mask, " ", DEPTH)
-    n = F.char_length(mask) - F.char_length(F.translate(mask, " ", "")) + 1
-    return F.xxhash64(n, first)
+def _masks(text: bytes | None) -> dict[bytes, None]:
+    """The distinct masked lines of a text that have any token."""
+    found = dict.fromkeys(map(masked, set((text or b"").split(b"\n"))))
+    found.pop(b"", None)
+    return found
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """`doc` names a document: rows of the same doc_id and text are one."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
+    return keyed.withColumn("text", F.col("text").cast("binary"))
 
 
-def _masks(keyed: DataFrame) -> DataFrame:
-    """(doc, mask, leaf): the distinct masked lines of each document that have any token."""
-    masks = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), masked), lambda m: m != ""))
-    lines = keyed.select("doc", F.explode(masks).alias("mask"))
-    return lines.select("doc", "mask", _leaf(F.col("mask")).alias("leaf"))
+def _lines(keyed: DataFrame) -> DataFrame:
+    """A row per document and distinct masked line; `first` marks one row of each document."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                few = batch.slice(at, 1000)
+                found = [list(_masks(x.as_py())) for x in few.column("text")]
+                masks = [m for own in found for m in own]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                docs = np.repeat(few.column("doc").to_numpy(), sizes)
+                first = np.zeros(len(masks), bool)
+                first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+                fixed = [_FIELD not in m or _FIELD not in m.split(b" ") for m in masks]
+                names = [name_of(m) for m in masks]
+                leaves = [leaves_of(m) for m in masks]
+                longs = [pa.array([x[k] for x in y], pa.int64()) for y, k in ((names, 0), (names, 1), (leaves, 0))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs), pa.array(first), pa.array(fixed, pa.bool_()), *longs,
+                     pa.array([x[1] for x in leaves], pa.list_(pa.int64())), pa.array(masks, pa.binary()).cast(pa.string())],
+                    names=["doc", "first", "fixed", "m1", "m2", "leaf", "wild", "mask"],
+                )
 
-def _templates(keyed: DataFrame, least_documents: int, least_fixed: float) -> tuple[DataFrame, DataFrame]:
-    lines = _masks(keyed)
-    # Leaves by documents, on hashes alone: partial counts first, so no leaf is gathered.
-    leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("__n"))
-    leaves = leaves.where(F.col("__n") >= least_documents).select("leaf")
-    own = stored(lines.join(leaves, "leaf", "left_semi").dropDuplicates(["leaf", "mask", "doc"]), "lines")
-    counted = own.groupBy("leaf", "mask").agg(F.count("*").alias("n"))
-    tokens = counted.select("leaf", "mask", "n", F.posexplode(F.split("mask", " ")).alias("place", "token"))
+    lines = stored(keyed.select("doc", "text").mapInArrow(rows, _LINES), "lines")
+    # Documents that are repeated as whole rows: rare, so only their lines are made distinct.
+    twice = lines.where("first").groupBy("doc").agg(F.count("*").alias("__n")).where("__n > 1").select("doc")
+    once = lines.join(twice, "doc", "left_anti")
+    return once.unionByName(lines.join(twice, "doc", "left_semi").dropDuplicates(["doc", "m1", "m2"]))
+
+
+_NAME = ["m1", "m2"]
+
+
+def _templates(docs: DataFrame, least_documents: int, least_copies: int, least_fixed: float) -> tuple[DataFrame, DataFrame]:
+    """(lines, (m1, m2, template, n_documents) of the masked lines to drop)."""
+    lines = _lines(_keyed(docs))
+    # On hashes alone, with partial counts first: no leaf is gathered.
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_documents).select("leaf")
+    leaves = stored(leaves, "leaves")
+    rare = lines.join(leaves, "leaf", "left_anti").select(*_NAME, F.posexplode("wild").alias("__i", "leaf"))
+    wild = rare.groupBy("leaf").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_documents)
+    best = F.max_by("leaf", F.struct("__n", -F.col("__i"))).alias("leaf")
+    chosen = rare.join(stored(wild, "wild-leaves"), "leaf").groupBy(*_NAME).agg(best)
+    wanted = ["doc", *_NAME, "mask", "leaf"]
+    own = lines.join(leaves, "leaf", "left_semi").select(*wanted).unionByName(
+        lines.drop("leaf").join(chosen, _NAME).select(*wanted)
+    )
+    counted = stored(own.groupBy("leaf", *_NAME).agg(F.count("*").alias("n"), F.first("mask").alias("mask")), "masks")
+    tokens = counted.select("leaf", *_NAME, "n", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     support = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("__s"))
     fixed = (F.col("__s") >= least_documents) & (F.col("token") != FIELD)
     marked = tokens.join(support, ["leaf", "place", "token"]).select(
-        "mask", "place", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token")
+        *_NAME, "n", "place", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token")
     )
-    shaped = marked.groupBy("mask").agg(
+    shaped = marked.groupBy(*_NAME).agg(
         F.array_sort(F.collect_list(F.struct("place", "token"))).alias("__t"),
         F.avg((F.col("token") != FIELD).cast("double")).alias("__fixed"),
+        F.first("n").alias("n"),
     ).where(F.col("__fixed") >= least_fixed)
-    shaped = shaped.select("mask", F.array_join(F.col("__t.token"), " ").alias("template"))
-    found = own.select("mask", "doc").join(shaped, "mask")
-    often = found.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n_documents"))
-    return found, often.where(F.col("n_documents") >= least_documents)
+    shaped = shaped.select(*_NAME, "n", F.array_join(F.col("__t.token"), " ").alias("template"))
+    # A document may have several lines of a template, so it is documents that are counted;
+    # as many lines are there at least.
+    likely = shaped.groupBy("template").agg(F.sum("n").alias("__n")).where(F.col("__n") >= least_documents).select("template")
+    shaped = stored(shaped.join(likely, "template"), "shaped")
+    found = lines.select("doc", *_NAME).join(shaped, _NAME).select("template", "doc").distinct()
+    often = found.groupBy("template").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") >= least_documents)
+    general = shaped.join(often, "template").select(*_NAME, "template", "n_documents")
+    copies = lines.where("fixed").groupBy(*_NAME).agg(F.count("*").alias("n_documents"), F.first("mask").alias("template"))
+    copies = copies.where(F.col("n_documents") >= least_copies).select(*_NAME, "template", "n_documents")
+    return lines, general.unionByName(copies)
 
 
-def templates(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_fixed: float = LEAST_FIXED) -> DataFrame:
-    """(template, n_documents): the templates with lines in at least so many documents.
+def templates(
+    docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_copies: int = LEAST_COPIES, least_fixed: float = LEAST_FIXED
+) -> DataFrame:
+    """(template, n_documents): the templates with lines in enough documents to be dropped.
 
-    Leaves with lines in fewer documents are left before any token is looked at, and equal
-    masked lines count once with the documents that have them, so the tokens of a line
-    that all documents share are split once.
+    Leaves with few lines are left before any token is looked at, and equal masked lines
+    count once with the documents that have them, so the tokens of a line that all
+    documents share are split once.
     """
-    return _templates(_keyed(docs), least_documents, least_fixed)[1]
+    _, found = _templates(docs, least_documents, least_copies, least_fixed)
+    return found.groupBy("template").agg(F.max("n_documents").alias("n_documents"))
 
 
-def drop_templates(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_fixed: float = LEAST_FIXED) -> DataFrame:
+def drop_templates(
+    docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_copies: int = LEAST_COPIES, least_fixed: float = LEAST_FIXED
+) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_text.
 
-    Lines of a recurring template are dropped, all of them; the others are kept as they
-    are, joined by line feeds. Blank lines have no template and stay. A null text is an
-    empty one: a single blank line. Rows of the same doc_id and text count as one document;
-    a null doc_id stays null. Other columns are ignored; empty in, empty out.
+    Lines of a recurring template are dropped, all of them, so documents that are copies of
+    one another lose all lines; the others are kept as they are, joined by line feeds. Blank
+    lines have no template and stay. A null text is an empty one: a single blank line. Rows of
+    the same doc_id and text count as one document; a null doc_id stays null. Other columns
+    are ignored; empty in, empty out. Lines are told apart by 128 bits of hash.
     """
-    keyed = _keyed(docs)
-    found, often = _templates(keyed, least_documents, least_fixed)
-    gone = found.join(often, "template").groupBy("doc").agg(F.collect_set(F.xxhash64("mask")).alias("__gone"))
-    rows = keyed.join(gone, "doc", "left")
-    lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(masked(x))))
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(kept)
-    rows = rows.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), kept.alias("__kept"))
-    return rows.select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size("__kept")).alias("n_dropped"),
-        F.array_join("__kept", "\n").alias("kept_text"),
+    lines, found = _templates(docs, least_documents, least_copies, least_fixed)
+    dropped = stored(found.select(*_NAME).distinct(), "dropped")
+    # At most as many as the document has lines.
+    gone = lines.join(dropped, _NAME, "left_semi").groupBy("doc").agg(F.collect_list(F.struct(*_NAME)).alias("gone"))
+    rows = _keyed(docs).join(gone, "doc", "left").select("doc_id", "text", F.col("gone.m1").alias("g1"), F.col("gone.m2").alias("g2"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, drops, texts = [], [], []
+            columns = [batch.column(c) for c in ("text", "g1", "g2")]
+            for text, g1, g2 in zip(*columns):
+                whole = text.as_py()
+                own = whole.split(b"\n")
+                rest = own
+                if g1.is_valid:
+                    names = set(zip(g1.as_py(), g2.as_py()))
+                    rest = [x for x in own if not (m := masked(x)) or name_of(m) not in names]
+                sizes.append(len(own))
+                drops.append(len(own) - len(rest))
+                texts.append(whole if rest is own else b"\n".join(rest))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(drops, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())],
+                names=["doc_id", "n_lines", "n_dropped", "kept_text"],
+            )
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return rows.mapInArrow(kept, f"doc_id {kind}, n_lines bigint, n_dropped int, kept_text string").withColumn(
+        "n_dropped", F.col("n_dropped").cast("bigint")
     )
 
 
@@ -122,21 +220,36 @@ masks AS (
 lines AS (
   SELECT DISTINCT doc, mask, len(string_split(mask, ' ')) AS n, string_split(mask, ' ')[1:{DEPTH}] AS head
   FROM masks WHERE mask <> ''),
-leaves AS (SELECT n, head FROM lines GROUP BY n, head HAVING count(DISTINCT doc) >= {LEAST_DOCUMENTS}),
-own AS (SELECT l.* FROM lines l SEMI JOIN leaves e ON l.n = e.n AND l.head = e.head),
-counted AS (SELECT n, head, mask, count(*) AS docs FROM own GROUP BY ALL),
+leaves AS (SELECT n, head FROM lines GROUP BY n, head HAVING count(*) >= {LEAST_DOCUMENTS}),
+rare AS (SELECT l.* FROM lines l ANTI JOIN leaves e ON l.n = e.n AND l.head = e.head),
+wild AS (
+  SELECT doc, mask, n, i, list_concat(head[1:i - 1], head[i + 1:]) AS rest
+  FROM (SELECT *, unnest(range(1, len(head) + 1)) AS i FROM rare WHERE n > 1)),
+wild_leaves AS (SELECT n, i, rest, count(*) AS s FROM wild GROUP BY n, i, rest HAVING count(*) >= {LEAST_DOCUMENTS}),
+chosen AS (
+  SELECT mask, n, i, rest FROM (
+    SELECT *, row_number() OVER (PARTITION BY mask ORDER BY s DESC, i) AS r
+    FROM (SELECT DISTINCT mask, n, i, rest FROM wild) JOIN wild_leaves USING (n, i, rest))
+  WHERE r = 1),
+own AS (
+  SELECT l.doc, l.mask, l.n, 0 AS i, l.head FROM lines l SEMI JOIN leaves e ON l.n = e.n AND l.head = e.head
+  UNION ALL SELECT l.doc, l.mask, c.n, c.i, c.rest FROM lines l JOIN chosen c USING (mask)),
+counted AS (SELECT n, i, head, mask, count(*) AS docs FROM own GROUP BY ALL),
 tokens AS (
-  SELECT n, head, mask, docs, unnest(string_split(mask, ' ')) AS token, generate_subscripts(string_split(mask, ' '), 1) AS place FROM counted),
-support AS (SELECT n, head, place, token, sum(docs) AS s FROM tokens GROUP BY ALL),
+  SELECT n, i, head, mask, docs, unnest(string_split(mask, ' ')) AS token, generate_subscripts(string_split(mask, ' '), 1) AS place FROM counted),
+support AS (SELECT n, i, head, place, token, sum(docs) AS s FROM tokens GROUP BY ALL),
 marked AS (
   SELECT mask, place, CASE WHEN s >= {LEAST_DOCUMENTS} THEN token ELSE '{FIELD}' END AS token
-  FROM tokens JOIN support USING (n, head, place, token)),
+  FROM tokens JOIN support USING (n, i, head, place, token)),
 shaped AS (
   SELECT mask, string_agg(token, ' ' ORDER BY place) AS template FROM marked GROUP BY mask
   HAVING avg(CASE WHEN token <> '{FIELD}' THEN 1.0 ELSE 0.0 END) >= {LEAST_FIXED}),
 often AS (
   SELECT template FROM own JOIN shaped USING (mask) GROUP BY template HAVING count(DISTINCT doc) >= {LEAST_DOCUMENTS}),
-gone AS (SELECT mask FROM shaped SEMI JOIN often USING (template)),
+gone AS (
+  SELECT mask FROM shaped SEMI JOIN often USING (template)
+  UNION SELECT mask FROM lines WHERE NOT list_contains(string_split(mask, ' '), '{FIELD}')
+  GROUP BY mask HAVING count(DISTINCT doc) >= {LEAST_COPIES}),
 dropped AS (SELECT DISTINCT line FROM masks SEMI JOIN gone USING (mask)),
 parts AS (
   SELECT n.doc, n.doc_id, u.line, u.place FROM numbered n,

@@ -1,8 +1,11 @@
 import random
+import re
 import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).parent))
 
 from llm_helpers import ODD_TEXTS, frame, prose, with_rows  # noqa: E402
@@ -128,6 +131,7 @@ def test_repeats_in_rows_of_one_id(spark):
 
 
 def test_line_templates(spark):
+    importable(spark)
     texts = [f"Posted by user{i} on day {i} of May\nbody {prose(i, 9)}\n\nSame closing line" for i in range(25)]
     df = with_rows(frame(spark, [*texts, None, "", "Posted by hand"]), (None, "Same closing line"))
     rows = defaultdict(list)
@@ -138,3 +142,72 @@ def test_line_templates(spark):
     found = {r.template: r.n_documents for r in line_templates.templates(df, 20).collect()}
     assert found == {"Posted by <*> on day <*> of May": 25, "Same closing line": 26}
     assert line_templates.drop_templates(df.where("doc_id < 0")).collect() == []
+
+
+def _drop_lines(rows, least, copies, share):
+    """Sorted (doc_id, n_lines, n_dropped, kept_text), by the rules and no tree."""
+    docs = list(dict.fromkeys((i, t or "") for i, t in rows))
+    mask = lambda line: " ".join("<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line))
+    lines = [(d, m) for d, (_, t) in enumerate(docs) for m in dict.fromkeys(map(mask, t.split("\n"))) if m]
+    tokens = {m: m.split(" ") for _, m in lines}
+    leaf = {m: (len(x), None, tuple(x[:3])) for m, x in tokens.items()}
+    filled = Counter(leaf[m] for _, m in lines)
+    wild = {m: [(len(x), i, (*x[:3][:i], *x[:3][i + 1 :])) for i in range(min(3, len(x))) if len(x) > 1] for m, x in tokens.items()}
+    rare = [m for _, m in lines if filled[leaf[m]] < least]
+    wilds = Counter(w for m in rare for w in wild[m])
+    place = {}
+    for m in tokens:
+        if filled[leaf[m]] >= least:
+            place[m] = leaf[m]
+        elif best := [w for w in wild[m] if wilds[w] >= least]:
+            place[m] = min(best, key=lambda w: (-wilds[w], w[1]))
+    support = Counter((place[m], i, x) for _, m in lines if m in place for i, x in enumerate(tokens[m]))
+    shape = {}
+    for m, own in place.items():
+        t = [x if support[own, i, x] >= least and x != "<*>" else "<*>" for i, x in enumerate(tokens[m])]
+        if sum(x != "<*>" for x in t) >= share * len(t):
+            shape[m] = " ".join(t)
+    of = defaultdict(set)
+    for d, m in lines:
+        if m in shape:
+            of[shape[m]].add(d)
+    seen = Counter(m for _, m in lines)
+    gone = {m for m in shape if len(of[shape[m]]) >= least} | {m for m, n in seen.items() if n >= copies and "<*>" not in tokens[m]}
+    out = []
+    for i, t in rows:
+        own = (t or "").split("\n")
+        kept = [x for x in own if mask(x) not in gone]
+        out.append((i, len(own), len(own) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_templates_against_the_rules(spark, seed):
+    importable(spark)
+    r = random.Random(seed)
+    heads = ["alpha", "beta", "gamma", "x1"]
+    lines = lambda: [" ".join([r.choice(heads), r.choice("abc"), r.choice(["of", f"n{r.randrange(30)}"]), *r.sample(["p", "q", "r", "s"], r.randrange(4))]) for _ in range(r.randrange(1, 8))]
+    texts = ["\n".join(lines()) for _ in range(120)] + ["a\n\n a \n\tb\x0bc", *ODD_TEXTS, prose(seed, 20000, 50), "<*> a b", "<*> a b"]
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[3]), (3, texts[3]), (4, texts[5])]
+    df = with_rows(frame(spark, texts), *rows[len(texts) :])
+    got = line_templates.drop_templates(df, least_documents=6, least_copies=2)
+    assert sorted((tuple(x) for x in got.collect()), key=repr) == _drop_lines(rows, 6, 2, 0.5)
+
+
+def test_lines_of_few_documents_and_of_names(spark):
+    importable(spark)
+    names = [f"{a}{b}{c}" for a in "klmn" for b in "aeiou" for c in "rst"]
+    texts = [f"Posted by {n.capitalize()} on the news page today\n{prose(i, 9)}" for i, n in enumerate(names)]
+    texts += [f"{prose(100 + i, 8)}\nThe same line, word for word, in each" for i in range(19)]
+    texts += [f"{n} said it all again here\n{prose(300 + i, 7)}" for i, n in enumerate(names)]
+    rows = {x.doc_id: (x.n_dropped, x.kept_text) for x in line_templates.drop_templates(frame(spark, texts)).collect()}
+    assert all(n == 1 for n, _ in rows.values())
+    assert rows[0][1] == prose(0, 9) and rows[len(names)][1] == prose(100, 8)
+    found = {x.template: x.n_documents for x in line_templates.templates(frame(spark, texts)).collect()}
+    assert found == {"Posted by <*> on the news page today": 60, "The same line, word for word, in each": 19, "<*> said it all again here": 60}
+
+
+def test_line_templates_of_no_documents(spark):
+    importable(spark)
+    df = frame(spark, ["a b c"])
+    assert line_templates.drop_templates(df.limit(0)).collect() == [] and line_templates.templates(df.limit(0)).collect() == []
