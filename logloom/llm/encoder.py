@@ -152,16 +152,17 @@ def _cuttable(text: str) -> bool:
 
 
 class _Numbers(dict):
-    """Numbers of pieces, given when first met; `met` gets the new ones."""
+    """Numbers of pieces, given when first met, from `known` on; `met` gets the new pieces."""
 
-    def __init__(self, met: list[tuple[int, str]], blank: int, count: list[int]):
+    known = 0
+
+    def __init__(self) -> None:
         super().__init__()
-        self.met, self.blank, self.count = met, blank, count
+        self.met: list[str] = []
 
     def __missing__(self, piece: str) -> int:
-        number = self[piece] = self.count[0]
-        self.count[0] += 1
-        self.met.append((self.blank, piece))
+        number = self[piece] = self.known + len(self.met)
+        self.met.append(piece)
         return number
 
 
@@ -170,9 +171,13 @@ class Numbered:
 
     A word is looked up once, which gives its number; pieces that are new to a batch of
     texts are learned together; and the ids of the whole batch are then taken from the pool.
-    At `memory` pieces all are forgotten, which costs the frequent ones to be learned again.
+    A piece is a word with the blank before it, which its name leaves out, or with the line
+    feed before it, or (marked by HEAD) the first word of a text. At `memory` pieces all are
+    forgotten, which costs the frequent ones to be learned again.
     """
 
+    HEAD = "\r"
+
     def __init__(self, path: str, memory: int = MEMORY):
         plain = Pieces(path, 0)
         self.tokenizer, self.cuts, self.memory = plain.tokenizer, plain.cuts, memory
@@ -183,14 +188,11 @@ class Numbered:
         self._forget()
 
     def _forget(self) -> None:
-        self.met: list[tuple[int, str]] = []
-        self.count = [0]
-        self.heads, self.words = (_Numbers(self.met, blank, self.count) for blank in (0, 1))
+        self.numbers = _Numbers()
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
-        self.known = 0
-        #: A line feed, a comma and a full stop, which have pieces of their own.
-        self.feed, *self.marks = (self.heads[x] for x in "\n,.")
+        #: A comma and a full stop after a letter have pieces of their own.
+        self.marks = {m: self.numbers[self.HEAD + m] for m in ",."}
         self._learn()
 
     def _plain(self, texts: list[str]) -> list:
@@ -214,44 +216,40 @@ class Numbered:
 
     def _learn(self) -> None:
         """Give ids to all pieces met since the last time."""
-        if not self.met:
+        met, known = self.numbers.met, self.numbers.known
+        if not met:
             return
-        # A comma or full stop after a letter is a pre-token of its own; the rest is a piece.
-        marked: list[tuple[int, int, int]] = []
-        whole: tuple[list, list] = ([], [])
-        at = 0
-        while at < len(self.met):
-            blank, piece = self.met[at]
-            number = self.known + at
-            if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
-                marked.append((number, (self.heads, self.words)[blank][piece[:-1]], self.marks[piece[-1] == "."]))
-            else:
-                whole[blank].append((number, piece))
-            at += 1
-        self.known += len(self.met)
-        self.met.clear()
-        if self.known > len(self.starts):
-            room = np.empty(self.known, np.int64)
+        # Where a comma or full stop follows a letter, the rest is a piece; some are new, too.
+        marked = [i for i, p in enumerate(met) if p[-1] in ",." and p[-2:-1].isalpha()]
+        bare = [self.numbers[met[i][:-1]] for i in marked]
+        mark = [self.marks[met[i][-1]] for i in marked]
+        skip = set(marked)
+        pieces = [(known + i, p) for i, p in enumerate(met) if i not in skip]
+        self.numbers.known += len(met)
+        self.numbers.met = []
+        if self.numbers.known > len(self.starts):
+            room = np.empty(self.numbers.known, np.int64)
             self.starts, self.sizes = (np.concatenate([x, room]) for x in (self.starts, self.sizes))
-        if whole[0]:
-            numbers, pieces = zip(*whole[0])
-            found = [np.array(e.ids, np.uint32) for e in self._plain(list(pieces))]
-            self._put(np.array(numbers), np.concatenate(found), np.array(list(map(len, found))))
-        for low in range(0, len(whole[1]), ROW):
-            self._learn_in_a_row(*zip(*whole[1][low : low + ROW]))
+        heads = [x for x in pieces if x[1][0] == self.HEAD]
+        if heads:
+            found = [np.array(e.ids, np.uint32) for e in self._plain([p[1:] for _, p in heads])]
+            self._put(np.array([n for n, _ in heads]), np.concatenate(found), np.array(list(map(len, found))))
+        others = [x for x in pieces if x[1][0] != self.HEAD]
+        for low in range(0, len(others), ROW):
+            numbers, names = zip(*others[low : low + ROW])
+            self._learn_in_a_row(numbers, [p if p[0] == "\n" else " " + p for p in names])
         if marked:
-            numbers, bare, mark = np.array(marked).T
-            pairs = np.stack([bare, mark], axis=1)
-            self._put(numbers, self.taken(pairs.ravel()), self.sizes[pairs].sum(axis=1))
+            pairs = np.array([bare, mark]).T
+            self._put(known + np.array(marked), self.taken(pairs.ravel()), self.sizes[pairs].sum(axis=1))
 
-    def _learn_in_a_row(self, numbers: tuple[int, ...], pieces: tuple[str, ...]) -> None:
-        """Pieces with a blank before each, encoded as one text.
+    def _learn_in_a_row(self, numbers: tuple[int, ...], pieces: list[str]) -> None:
+        """Pieces that begin with a blank or a line feed, encoded as one text.
 
         The blanks keep them apart, and the widths of the ids tell where each one ends.
         """
-        ids = np.array(self._plain([" " + " ".join(pieces)])[0].ids, np.uint32)
+        ids = np.array(self._plain(["".join(pieces)])[0].ids, np.uint32)
         ends = np.cumsum(self.widths[ids])
-        stops = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        stops = np.cumsum([len(p.encode()) for p in pieces])
         cuts = np.searchsorted(ends, stops) + 1
         if cuts[-1] != len(ids) or (ends[cuts - 1] != stops).any():
             raise ValueError("ids do not end where the pieces do")
@@ -259,34 +257,29 @@ class Numbered:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text a uint32 array of its ids."""
-        if self.known > self.memory:
+        if self.numbers.known > self.memory:
             self._forget()
         out: list = [None] * len(texts)
         cut = [self.cuts and _cuttable(t) for t in texts]
         rest = [i for i, c in enumerate(cut) if not c]
         for i, e in zip(rest, self._plain([texts[i] for i in rest]) if rest else []):
             out[i] = np.array(e.ids, np.uint32)
-        head, word, feed = self.heads.__getitem__, self.words.__getitem__, self.feed
-        numbers: list[int] = []
-        bounds = [0]
+        number = self.numbers.__getitem__
+        found = []
         for text, c in zip(texts, cut):
             if c:
-                for line in text.split("\n"):
-                    first, *others = line.split(" ")
-                    numbers.append(head(first))
-                    numbers += map(word, others)
-                    numbers.append(feed)
-                numbers.pop()
-                bounds.append(len(numbers))
+                words = (self.HEAD + text.replace("\n", " \n")).split(" ")
+                found.append(np.fromiter(map(number, words), np.int64, len(words)))
+        if not found:
+            return out
         self._learn()
-        places = np.array(numbers, np.int64)
+        places = np.concatenate(found)
         ids = self.taken(places)
-        ends = np.concatenate([[0], np.cumsum(self.sizes[places])])[bounds]
-        parts = iter(zip(ends[:-1].tolist(), ends[1:].tolist()))
+        ends = np.cumsum(self.sizes[places])[np.cumsum(list(map(len, found))) - 1]
+        parts = iter(np.split(ids, ends[:-1]))
         for i, c in enumerate(cut):
             if c:
-                a, b = next(parts)
-                out[i] = ids[a:b]
+                out[i] = next(parts)
         return out
 
 
