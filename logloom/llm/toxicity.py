@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from logloom.llm.decontaminate import plain_words
 from logloom.llm.lexical_search import cluster
 from logloom.llm.postings import HeadedPostings, _gather
+from logloom.llm.text import mix, powers
 
 #: Labelled rows that are learned from: half of them of either label at most, those of the
 #: smallest hashes, and as many as have so many bytes of text together. More are left out.
@@ -40,7 +41,8 @@ LEAST_CHI2 = 6.63
 #: Power of a term's toxic share in its weight for votes, so that words of a language or topic gain little.
 SHARE_POWER = 4
 #: Words and texts that a worker remembers; texts by a 128-bit hash.
-WORDS, TEXTS = 300_000, 20_000
+WORDS, TEXTS = 400_000, 20_000
+_BASE = 0x9E3779B97F4A7C15
 #: Texts that are counted at once.
 AT_ONCE = 512
 SCORE_SCHEMA = "doc_id bigint, score double, evidence array<bigint>, evidence_terms array<string>"
@@ -56,14 +58,30 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def term_hashes(words: list[bytes]) -> np.ndarray:
+    """Two hashes for each word: its own, and that of its beginning; 0 for one without."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(words), np.uint8)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    values = (data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, int(sizes.max(initial=0)) + 1)[place]
+    letters = np.cumsum((data & 0xC0) != 0x80)
+    letters = letters - np.repeat(letters[starts] - 1, sizes)
+    whole = mix(np.add.reduceat(values, starts))
+    begun = mix(np.add.reduceat(np.where(letters <= BEGINNING, values, 0), starts) + np.uint64(1))
+    begun[letters[starts + sizes - 1] <= BEGINNING] = 0
+    return np.stack([whole, begun], axis=1)
+
+
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's distinct terms, and how often each occurs."""
-    counts: dict[int, int] = {}
-    for word, n in Counter(plain_words(text)).items():
-        for t in terms_of(word):
-            h = xxhash.xxh3_64_intdigest(t)
-            counts[h] = counts.get(h, 0) + n
-    return np.fromiter(counts, np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    counts = Counter(plain_words(text))
+    if not counts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    found = term_hashes(list(counts)).ravel()
+    times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), 2)
+    hashes, place = np.unique(found[found > 0], return_inverse=True)
+    return hashes, np.bincount(place, times[found > 0], len(hashes)).astype(np.int64)
 
 
 class Terms:
@@ -80,12 +98,10 @@ class Terms:
         self.of = np.empty((0, 2), np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        own = [terms_of(w) for w in words]
-        pairs = np.array([[xxhash.xxh3_64_intdigest(t[0]), xxhash.xxh3_64_intdigest(t[-1])] for t in own], np.uint64)
+        pairs = term_hashes(words)
         at = np.minimum(np.searchsorted(self.hashes, pairs), max(0, len(self.hashes) - 1))
         found = self.hashes[at] == pairs if len(self.hashes) else np.zeros(pairs.shape, bool)
-        numbers = np.where(found, at, -1)
-        numbers[[len(t) == 1 for t in own], 1] = -1
+        numbers = np.where(found & (pairs > 0), at, -1)
         self.known.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         self.words += words
         self.of = np.concatenate([self.of, numbers])
@@ -96,7 +112,7 @@ class Terms:
             self._forget()
         lists = [plain_words(x) for x in texts]
         if new := set().union(*lists).difference(self.known):
-            self._learn(sorted(new))
+            self._learn(list(new))
         sizes = list(map(len, lists))
         words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, sum(sizes))
         docs = np.repeat(np.arange(len(texts)), sizes)
@@ -215,7 +231,7 @@ class Model:
         self.order = cluster(likeness / np.maximum(1e-30, np.linalg.norm(likeness, axis=1, keepdims=True)), 32) if n else np.arange(0)
         self.number = np.empty(n, np.int64)
         self.number[self.order] = np.arange(n)
-        self.index = HeadedPostings(terms, self.number[entries], weights, len(hashes), n, share=0.25)
+        self.index = HeadedPostings(terms, self.number[entries], weights, len(hashes), n, share=0.3)
         self.starts, self.entry_terms, self.weights = starts, terms, weights
         self.memory: dict[bytes, tuple[float, list[int], list[str]]] = {}
         #: Weights of the text at hand by term, zero between texts.
