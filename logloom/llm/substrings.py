@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +27,18 @@ from logloom.llm.text import Windows, hashes, stored, words_of
 WINDOW = 35
 _NO_ID = -(1 << 63)
 _STRETCH_FIELDS = [
-    ("anchor", pa.int64()), ("stretch", pa.int64()), ("doc", pa.int64()), ("version", pa.int32()),
+    ("anchor", pa.int64()), ("stretch", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()),
     ("a", pa.int32()), ("b", pa.int32()), ("p", pa.int32()), ("left", pa.int32()), ("right", pa.int32()),
 ]
-STRETCH_SCHEMA = "anchor bigint, stretch bigint, doc bigint, version int, a int, b int, p int, `left` int, `right` int"
+STRETCH_SCHEMA = "anchor bigint, stretch bigint, doc bigint, version bigint, a int, b int, p int, `left` int, `right` int"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc and version name a text: repeated ids with different texts are kept apart."""
+    """doc and version name a text: repeated ids, and rows without one, are told apart by the text's hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))
-    return docs.select(doc.alias("doc"), F.hash(text).alias("version"), text.alias("text"))
+    has_id = F.col("doc_id").isNotNull().alias("has_id")
+    return docs.select(doc.alias("doc"), F.xxhash64(text).alias("version"), has_id, text.alias("text"))
 
 
 def stretches_of(word_hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...] | None:
@@ -116,7 +118,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return whole.unionByName(parts)
 
 
-_WINDOW_SCHEMA = "anchor bigint, content bigint, doc bigint, version int, start int, weight int"
+_WINDOW_SCHEMA = "anchor bigint, content bigint, doc bigint, version bigint, start int, weight int"
 
 
 def _windows_of(window: int):
@@ -132,7 +134,7 @@ def _windows_of(window: int):
                     n = len(starts)
                     own = (
                         np.full(n, x["anchor"], np.int64), windows.of(starts, window).view(np.int64),
-                        np.full(n, doc, np.int64), np.full(n, version, np.int32), starts.astype(np.int32),
+                        np.full(n, doc, np.int64), np.full(n, version, np.int64), starts.astype(np.int32),
                         np.full(n, 1 if alone else 2, np.int32),
                     )
                     for p, v in zip(parts, own):
@@ -178,12 +180,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(w for w, c in zip(words, cover.tolist()) if not c).decode() if own else b" ".join(words).decode())
             span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
+                [pc.if_else(batch.column("has_id"), batch.column("doc"), pa.scalar(None, pa.int64())),
+                 pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
                  pa.array(spans, span)],
                 names=["doc_id", "n_words", "n_removed", "kept_text", "removed"],
             )
 
-    out = _keyed(docs).join(ranges, ["doc", "version"], "left").mapInArrow(
+    return _keyed(docs).join(ranges, ["doc", "version"], "left").mapInArrow(
         rows, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<first: int, last: int>>"
     )
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))

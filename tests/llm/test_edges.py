@@ -51,6 +51,8 @@ def test_substrings(spark, awkward):
     # The identical rows remove each other; the long text repeats no window of its own.
     assert got[9] == [(200, 200)] * 3 and got[8] == [(40_000, 0)] and got[None] == [(60, 0)] and got[1] == [(0, 0)]
     assert substrings.remove_repeats(awkward.limit(0)).collect() == []
+    least = with_rows(frame(spark, ["a"]), (-(2**63), prose(5, 40)), (None, prose(6, 40)))
+    assert {(r.doc_id, r.n_removed) for r in substrings.remove_repeats(least).collect()} == {(0, 0), (-(2**63), 0), (None, 0)}
 
 
 def test_near_duplicates(spark, awkward):
