@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.postings import SLACK, Postings
+from logloom.llm.text import keep_only
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own BM25 score for it to be retrieved.
@@ -184,6 +185,7 @@ _built: dict[str, Index] = {}
 
 def _index(key: str, broadcast) -> Index:
     """Built once per Python worker from the broadcast items; a few are kept."""
+    keep_only("decontamination", _built.clear)
     if key not in _built:
         if len(_built) >= 4:
             _built.pop(next(iter(_built)))

@@ -15,6 +15,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from logloom.llm.text import keep_only
+
 #: Pieces remembered by a Python worker, in two generations; the older one is forgotten.
 MEMORY = 1_000_000
 #: Pieces that are encoded as one text.
@@ -289,7 +291,12 @@ def pieces(path: str, offsets: bool = False) -> Pieces:
     return Pieces(path, offsets=offsets)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _numbered(path: str) -> Numbered:
+    return Numbered(path)
+
+
 def numbered(path: str) -> Numbered:
     """One per Python worker."""
-    return Numbered(path)
+    keep_only("tokens", _numbered.cache_clear)
+    return _numbered(path)

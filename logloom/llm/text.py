@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -28,6 +29,17 @@ def importable(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str, forget: Callable[[], None]) -> None:
+    """What operators remember in a Python worker, which serves one stage after the other:
+    when the operator `name` begins, that of all others is dropped. `forget` drops its own."""
+    for other in [x for x in _kept if x != name]:
+        _kept.pop(other)()
+    _kept[name] = forget
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from logloom.llm.decontaminate import plain_words
 from logloom.llm.lexical_search import cluster
-from logloom.llm.postings import HeadedPostings, _gather
-from logloom.llm.text import mix, powers
+from logloom.llm.postings import HeadedPostings
+from logloom.llm.text import keep_only, mix, powers
 
 #: Labelled rows that are learned from: half of them of either label at most, those of the
 #: smallest hashes, and as many as have so many bytes of text together. More are left out.
@@ -237,6 +237,11 @@ class Model:
         #: Weights of the text at hand by term, zero between texts.
         self.asked = np.zeros(len(hashes))
 
+    def forget(self) -> None:
+        """Drop the words and texts met, which are quickly learned again."""
+        self.terms._forget()
+        self.memory.clear()
+
     def vector(self, t: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[t]
         return w / (np.sqrt((w * w).sum()) or 1.0)
@@ -248,15 +253,6 @@ class Model:
         by = np.lexsort((entries, -cosines))
         return entries[by], cosines[by]
 
-    def _products(self, t: np.ndarray, w: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(terms, products, starts) of the entries' weights with those of a text, one entry after the other."""
-        starts, ends = self.starts[entries], self.starts[entries + 1]
-        at = _gather(starts, ends)
-        self.asked[t] = w
-        products = self.asked[self.entry_terms[at]] * self.weights[at]
-        self.asked[t] = 0
-        return self.entry_terms[at], products, np.cumsum(ends - starts) - (ends - starts)
-
     def share(self, t: np.ndarray, w: np.ndarray, entries: np.ndarray, cosines: np.ndarray) -> float:
         """Of the neighbours' votes, the toxic share; NaN without neighbours."""
         if not len(entries):
@@ -294,13 +290,15 @@ class Model:
         side = entries[(self.toxic[entries] >= 0.5) == (score >= 0.5)][:EVIDENCE]
         if not len(side):
             return score, [], []
-        terms, products, _ = self._products(t, w * self.telling[t] if score >= 0.5 else w, side)
-        # The shared terms that the cosines with them owe most to.
-        shared = products > 0
-        distinct, place = np.unique(terms[shared], return_inverse=True)
-        owed = np.bincount(place, products[shared])
+        # The terms that the cosine with the nearest of them owes most to.
+        own = slice(self.starts[side[0]], self.starts[side[0] + 1])
+        terms = self.entry_terms[own]
+        self.asked[t] = w * self.telling[t] if score >= 0.5 else w
+        owed = self.asked[terms] * self.weights[own]
+        self.asked[t] = 0
+        best = np.argsort(-owed, kind="stable")[:EVIDENCE]
         names = []
-        for term in distinct[np.lexsort((distinct, -owed))[:EVIDENCE]].tolist():
+        for term in terms[best[owed[best] > 0]].tolist():
             row, column = np.argwhere(self.terms.of[words] == term)[0].tolist()
             names.append(terms_of(self.terms.words[words[row]])[column].decode())
         return score, [self.evidence[e] for e in side.tolist()], names
@@ -384,6 +382,7 @@ _models: dict[str, Model] = {}
 
 def _model(key: str, broadcast, error: float) -> Model:
     """Built once per Python worker."""
+    keep_only("toxicity", _models.clear)
     if key not in _models:
         _models.clear()
         _models[key] = Model(*broadcast.value)
@@ -391,7 +390,7 @@ def _model(key: str, broadcast, error: float) -> Model:
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """Per row: doc_id, score, evidence (doc_ids of nearest examples), evidence_terms (shared with them).
+    """Per row: doc_id, score, evidence (doc_ids of nearest examples), evidence_terms (shared with the first).
 
     Null and empty texts, and texts without any term of the examples, get the rate of the
     examples without any, mixed with the base rate. Repeated rows are scored alike; a null
@@ -410,6 +409,7 @@ def score(docs: DataFrame, model) -> DataFrame:
                  pa.array(terms, pa.list_(pa.string()))],
                 names=["doc_id", "score", "evidence", "evidence_terms"],
             )
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, SCORE_SCHEMA)
 
@@ -431,5 +431,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, examples:
         own = _model(*model)
         for batch in batches:
             yield batch.filter(pa.array([x[0] < least for x in own.judged(batch.column("text").to_pylist())], pa.bool_()))
+        own.forget()
 
     return docs.mapInArrow(clean, docs.schema)
