@@ -180,7 +180,7 @@ class Numbered:
 
     HEAD = "\r"
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str, memory: int = MEMORY // 2):
         plain = Pieces(path, 0)
         self.tokenizer, self.cuts, self.memory = plain.tokenizer, plain.cuts, memory
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)

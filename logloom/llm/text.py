@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,12 @@ _kept: dict[str, Callable[[], None]] = {}
 def keep_only(name: str, forget: Callable[[], None]) -> None:
     """What operators remember in a Python worker, which serves one stage after the other:
     when the operator `name` begins, that of all others is dropped. `forget` drops its own."""
-    for other in [x for x in _kept if x != name]:
+    others = [x for x in _kept if x != name]
+    for other in others:
         _kept.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     _kept[name] = forget
 
 

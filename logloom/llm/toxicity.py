@@ -41,10 +41,10 @@ LEAST_CHI2 = 6.63
 #: Power of a term's toxic share in its weight for votes, so that words of a language or topic gain little.
 SHARE_POWER = 4
 #: Words and texts that a worker remembers; texts by a 128-bit hash.
-WORDS, TEXTS = 400_000, 20_000
+WORDS, TEXTS = 100_000, 10_000
 _BASE = 0x9E3779B97F4A7C15
 #: Texts that are counted at once.
-AT_ONCE = 512
+AT_ONCE = 128
 SCORE_SCHEMA = "doc_id bigint, score double, evidence array<bigint>, evidence_terms array<string>"
 
 
