@@ -107,6 +107,9 @@ def _lines(keyed: DataFrame) -> DataFrame:
     lines = stored(keyed.select("doc", "text").mapInArrow(rows, _LINES), "lines")
     # Documents that are repeated as whole rows: rare, so only their lines are made distinct.
     twice = lines.where("first").groupBy("doc").agg(F.count("*").alias("__n")).where("__n > 1").select("doc")
+    twice = stored(twice, "repeated")
+    if twice.isEmpty():
+        return lines
     once = lines.join(twice, "doc", "left_anti")
     return once.unionByName(lines.join(twice, "doc", "left_semi").dropDuplicates(["doc", "m1", "m2"]))
 
@@ -123,7 +126,7 @@ def _templates(docs: DataFrame, least_documents: int, least_copies: int, least_f
     rare = lines.join(leaves, "leaf", "left_anti").select(*_NAME, F.posexplode("wild").alias("__i", "leaf"))
     wild = rare.groupBy("leaf").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_documents)
     best = F.max_by("leaf", F.struct("__n", -F.col("__i"))).alias("leaf")
-    chosen = rare.join(stored(wild, "wild-leaves"), "leaf").groupBy(*_NAME).agg(best)
+    chosen = stored(rare.join(stored(wild, "wild-leaves"), "leaf").groupBy(*_NAME).agg(best), "chosen")
     wanted = ["doc", *_NAME, "mask", "leaf"]
     own = lines.join(leaves, "leaf", "left_semi").select(*wanted).unionByName(
         lines.drop("leaf").join(chosen, _NAME).select(*wanted)
