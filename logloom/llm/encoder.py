@@ -154,7 +154,7 @@ def _cuttable(text: str) -> bool:
 
 
 class _Numbers(dict):
-    """Numbers of pieces, given when first met, from `known` on; `met` gets the new pieces."""
+    """Numbers of pieces, given in the order in which they come; `met` gets those from `known` on."""
 
     known = 0
 
@@ -163,7 +163,7 @@ class _Numbers(dict):
         self.met: list[str] = []
 
     def __missing__(self, piece: str) -> int:
-        number = self[piece] = self.known + len(self.met)
+        number = self[piece] = len(self)
         self.met.append(piece)
         return number
 
@@ -174,8 +174,8 @@ class Numbered:
     A word is looked up once, which gives its number; pieces that are new to a batch of
     texts are learned together; and the ids of the whole batch are then taken from the pool.
     A piece is a word with the blank before it, which its name leaves out, or with the line
-    feed before it, or (marked by HEAD) the first word of a text. At `memory` pieces all are
-    forgotten, which costs the frequent ones to be learned again.
+    feed before it, or (marked by HEAD) the first word of a text. At `memory` pieces the
+    rarest are forgotten, and learned again if they are met again.
     """
 
     HEAD = "\r"
@@ -187,16 +187,36 @@ class Numbered:
         #: Bytes of each id's token: a byte-level token has a character for each byte.
         self.widths = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
         self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
-        self._forget()
-
-    def _forget(self) -> None:
         self.numbers = _Numbers()
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        #: How often each piece was met, halved whenever some are forgotten.
+        self.uses = np.zeros(1 << 12, np.int64)
         #: A comma and a full stop after a letter have pieces of their own.
         self.marks = {m: self.numbers[self.HEAD + m] for m in ",."}
         self._learn()
 
+    def _forget(self) -> None:
+        """Forget the rarest pieces, half of `memory` at least; those kept get new numbers."""
+        known, least = self.numbers.known, 2
+        while np.count_nonzero(self.uses[:known] >= least) > self.memory // 2:
+            least *= 2
+        marks = len(self.marks)
+        kept = marks + np.flatnonzero(self.uses[marks:known] >= least)
+        # Those met most come first and get new names side by side, which the processor's caches hold.
+        kept = np.concatenate([np.arange(marks), kept[np.argsort(-self.uses[kept], kind="stable")]])
+        ids, sizes, uses = self.taken(kept), self.sizes[kept], self.uses[kept] // 2
+        # A number is the place at which its piece was put in; no piece has a blank.
+        names = list(self.numbers)
+        names = " ".join(map(names.__getitem__, kept.tolist())).split(" ")
+        self.numbers = _Numbers()
+        self.numbers.update(zip(names, range(len(kept))))
+        self.numbers.known = len(kept)
+        self.pool, self.used = np.empty(max(1 << 16, len(ids)), np.uint32), 0
+        self.uses[:] = 0
+        self.uses[: len(kept)] = uses
+        self._put(np.arange(len(kept)), ids, sizes)
+
     def _plain(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
@@ -222,40 +242,45 @@ class Numbered:
         if not met:
             return
         # Where a comma or full stop follows a letter, the rest is a piece; some are new, too.
-        marked = [i for i, p in enumerate(met) if p[-1] in ",." and p[-2:-1].isalpha()]
+        marked = [i for i, p in enumerate(met) if p.endswith((",", ".")) and p[-2:-1].isalpha()]
         bare = [self.numbers[met[i][:-1]] for i in marked]
         mark = [self.marks[met[i][-1]] for i in marked]
-        skip = set(marked)
-        pieces = [(known + i, p) for i, p in enumerate(met) if i not in skip]
         self.numbers.known += len(met)
         self.numbers.met = []
         if self.numbers.known > len(self.starts):
             room = np.empty(self.numbers.known, np.int64)
             self.starts, self.sizes = (np.concatenate([x, room]) for x in (self.starts, self.sizes))
-        heads = [x for x in pieces if x[1][0] == self.HEAD]
+            self.uses = np.concatenate([self.uses, np.zeros(self.numbers.known, np.int64)])
+        plain = np.ones(len(met), bool)
+        plain[marked] = False
+        heads = [i for i in np.flatnonzero(plain).tolist() if met[i][0] == self.HEAD]
         if heads:
-            found = [np.array(e.ids, np.uint32) for e in self._plain([p[1:] for _, p in heads])]
-            self._put(np.array([n for n, _ in heads]), np.concatenate(found), np.array(list(map(len, found))))
-        others = [x for x in pieces if x[1][0] != self.HEAD]
+            found = [np.array(e.ids, np.uint32) for e in self._plain([met[i][1:] for i in heads])]
+            self._put(known + np.array(heads), np.concatenate(found), np.array(list(map(len, found))))
+            plain[heads] = False
+        others = np.flatnonzero(plain)
         for low in range(0, len(others), ROW):
-            numbers, names = zip(*others[low : low + ROW])
-            self._learn_in_a_row(numbers, [p if p[0] == "\n" else " " + p for p in names])
+            at = others[low : low + ROW]
+            names = map(met.__getitem__, at.tolist())
+            self._learn_in_a_row(known + at, [p if p[0] == "\n" else " " + p for p in names])
         if marked:
             pairs = np.array([bare, mark]).T
             self._put(known + np.array(marked), self.taken(pairs.ravel()), self.sizes[pairs].sum(axis=1))
 
-    def _learn_in_a_row(self, numbers: tuple[int, ...], pieces: list[str]) -> None:
+    def _learn_in_a_row(self, numbers: np.ndarray, pieces: list[str]) -> None:
         """Pieces that begin with a blank or a line feed, encoded as one text.
 
         The blanks keep them apart, and the widths of the ids tell where each one ends.
         """
-        ids = np.array(self._plain(["".join(pieces)])[0].ids, np.uint32)
+        row = "".join(pieces)
+        ids = np.array(self._plain([row])[0].ids, np.uint32)
         ends = np.cumsum(self.widths[ids])
-        stops = np.cumsum([len(p.encode()) for p in pieces])
+        sizes = map(len, pieces if row.isascii() else map(str.encode, pieces))
+        stops = np.cumsum(np.fromiter(sizes, np.int64, len(pieces)))
         cuts = np.searchsorted(ends, stops) + 1
         if cuts[-1] != len(ids) or (ends[cuts - 1] != stops).any():
             raise ValueError("ids do not end where the pieces do")
-        self._put(np.array(numbers), ids, np.diff(cuts, prepend=0))
+        self._put(numbers, ids, np.diff(cuts, prepend=0))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text a uint32 array of its ids."""
@@ -276,6 +301,7 @@ class Numbered:
             return out
         self._learn()
         places = np.concatenate(found)
+        self.uses[: self.numbers.known] += np.bincount(places, minlength=self.numbers.known)
         ids = self.taken(places)
         ends = np.cumsum(self.sizes[places])[np.cumsum(list(map(len, found))) - 1]
         parts = iter(np.split(ids, ends[:-1]))

@@ -51,6 +51,19 @@ def test_numbered_pieces_give_the_librarys_ids_of_prose():
         assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_numbered_pieces_that_are_frequent_are_kept():
+    own = Numbered(PATH, memory=100)
+    common = [" ".join(f"w{i}" for i in range(20))] * 3
+    rare = " ".join(f"x1y{i}" for i in range(90))
+    own.encode([*common, rare])
+    own.encode(["z"])  # over 100 pieces are known: the rare ones go
+    assert "w7" in own.numbers and "x1y7" not in own.numbers
+    texts = [*common, "w3 x1y8, x1y1", rare]
+    for _ in range(4):
+        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
+        assert own.numbers.known == len(own.numbers) <= 50 + 120
+
+
 def test_damaged_segment_is_refused():
     with pytest.raises(ValueError):
         blocks.decode(blocks.encode(np.arange(100, dtype=np.uint32))[:-1])
