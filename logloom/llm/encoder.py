@@ -310,11 +310,33 @@ class Numbered:
                 out[i] = next(parts)
         return out
 
+    def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text the first characters of its tokens, and the characters after their last ones.
 
-@lru_cache(maxsize=2)
-def pieces(path: str, offsets: bool = False) -> Pieces:
-    """One per Python worker."""
-    return Pieces(path, offsets=offsets)
+        The tokens' bytes tile the text, and a token that begins or ends within a character
+        covers all of it. Where this need not hold, the tokenizer is asked.
+        """
+        own = [self.cuts and "<|" not in t for t in texts]
+        found = iter(self.encode([t for t, o in zip(texts, own) if o]))
+        rest = [t for t, o in zip(texts, own) if not o]
+        asked = iter(self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [])
+        return [
+            self._spans(t, next(found)) if o else tuple(np.array(next(asked).offsets, np.int64).reshape(-1, 2).T)
+            for t, o in zip(texts, own)
+        ]
+
+    def _spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.widths[ids]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        data = np.frombuffer(text.encode(), np.uint8)
+        if len(data) != sizes.sum():
+            raise ValueError("the bytes of the ids are not those of the text")
+        if len(data) == len(text):
+            return starts, ends
+        # Up to each byte, the characters that have begun.
+        begun = np.cumsum((data & 0xC0) != 0x80)
+        return begun[starts] - 1, begun[ends - 1]
 
 
 @lru_cache(maxsize=1)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.encoder import pieces
+from logloom.llm.encoder import numbered
 from logloom.llm.text import whole_text
 
 RULES = ("majority", "first", "last")
@@ -67,17 +67,15 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority", spli
         raise ValueError(f"rule is one of {RULES}")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces(tokenizer, offsets=True)
+        encoder = numbered(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 few = batch.slice(at, BATCH)
                 texts = few.column("text").to_pylist()
                 counts, sections = [], []
-                for text, tokens in zip(texts, encoder.encode(texts)):
+                for text, (first, after) in zip(texts, encoder.spans(texts)):
                     ends = split(text)
-                    to, crossing = allocate(
-                        tokens[:, 1].astype(np.int64), tokens[:, 2].astype(np.int64), ends, rule
-                    )
+                    to, crossing = allocate(first, after, ends, rule)
                     m = len(ends)
                     n = np.bincount(to, minlength=m)
                     c = np.bincount(to[crossing], minlength=m)

@@ -64,6 +64,15 @@ def test_numbered_pieces_that_are_frequent_are_kept():
         assert own.numbers.known == len(own.numbers) <= 50 + 120
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\tab'sé日🙂\u0301,.1<|>  ", max_size=40), max_size=6))
+def test_spans_are_the_librarys_offsets(texts):
+    texts = [*texts, *ODD_TEXTS, "a <|endoftext|> b"]
+    texts = [t for t in texts if t is not None]
+    for (first, after), e in zip(NUMBERED.spans(texts), PLAIN.encode_batch(texts, add_special_tokens=False)):
+        assert list(zip(first.tolist(), after.tolist())) == e.offsets
+
+
 def test_damaged_segment_is_refused():
     with pytest.raises(ValueError):
         blocks.decode(blocks.encode(np.arange(100, dtype=np.uint32))[:-1])
