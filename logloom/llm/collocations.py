@@ -228,7 +228,7 @@ class PhraseCounter:
             yield from trie.rest(self.ids)
 
 
-def _bitmap(phrases: DataFrame):
+def bitmap(phrases: DataFrame):
     """A broadcast bitmap of the rows of `phrases`, at most MOST_BITS / 8 bytes."""
     n = phrases.count()
     bits = 1 << max(10, min(MOST_BITS.bit_length() - 1, (n * BITS).bit_length()))
@@ -326,12 +326,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     total = words.agg(F.sum("f")).first()[0] or 0
     parts = 1 << max(0, (total // PART).bit_length())
     single = words.where(F.col("f") >= least).select(F.array("id").alias("words"), "f")
-    known = _bitmap(single)
+    known = bitmap(single)
     pairs = stored(count_phrases(docs, [2], seed, known, None, parts, least, limit), "collocation-pairs")
     found = single.unionByName(pairs)
     if longest > 2:
         lengths = list(range(3, longest + 1))
-        longer = count_phrases(docs, lengths, seed, known, _bitmap(pairs), parts, least, limit)
+        longer = count_phrases(docs, lengths, seed, known, bitmap(pairs), parts, least, limit)
         found = found.unionByName(stored(longer, "collocation-longer"))
     return words, found
 

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.collocations import Bitmap, bitmap
 from logloom.llm.text import stored
 
 #: Leading tokens that lead to a leaf.
@@ -110,28 +111,62 @@ def _lines(keyed: DataFrame) -> DataFrame:
     twice = stored(twice, "repeated")
     if twice.isEmpty():
         return lines
-    once = lines.join(twice, "doc", "left_anti")
-    return once.unionByName(lines.join(twice, "doc", "left_semi").dropDuplicates(["doc", "m1", "m2"]))
+    again = _with(lines, twice, ["doc"]).dropDuplicates(["doc", "m1", "m2"])
+    return _without(lines, twice, ["doc"]).unionByName(stored(again, "distinct"))
+
+
+def _by_bitmap(rows: DataFrame, known, columns: list[str], within: bool) -> DataFrame:
+    """The rows whose `columns` have their bit in the broadcast bitmap, or those that don't."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Bitmap(known.value)
+        for batch in batches:
+            found = near(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns], axis=1))
+            yield batch.filter(pa.array(found if within else ~found))
+
+    return rows.mapInArrow(kept, rows.schema)
+
+
+def _with(rows: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
+    """rows.join(names, columns, "left_semi"), for which only rows are shuffled that a bitmap lets through."""
+    known = bitmap(names.select(F.array(*columns).alias("words")))
+    return _by_bitmap(rows, known, columns, True).join(names, columns, "left_semi").select(*rows.columns)
+
+
+def _without(rows: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
+    """The same with "left_anti"."""
+    known = bitmap(names.select(F.array(*columns).alias("words")))
+    near = _by_bitmap(rows, known, columns, True).join(names, columns, "left_anti").select(*rows.columns)
+    return _by_bitmap(rows, known, columns, False).unionByName(near)
 
 
 _NAME = ["m1", "m2"]
 
 
+def _counted(lines: DataFrame, least_documents: int) -> DataFrame:
+    """(leaf, m1, m2, n, mask): the masked lines of the leaves, with their documents."""
+    # On hashes alone, with partial counts first: no leaf is gathered. Texts are not shuffled but
+    # for those of the leaves, which are few.
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_documents).select("leaf")
+    leaves = stored(leaves, "leaves")
+    own = _with(lines.select("leaf", *_NAME), leaves, ["leaf"]).groupBy("leaf", *_NAME).agg(F.count("*").alias("n"))
+    rare = _without(lines.select("leaf", *_NAME, "wild"), leaves, ["leaf"])
+    rare = rare.select(*_NAME, F.posexplode("wild").alias("__i", "leaf"))
+    wild = rare.groupBy("leaf").agg(F.count("*").alias("__s")).where(F.col("__s") >= least_documents)
+    wild = stored(wild, "wild-leaves")
+    # A line is in one of its wildcard leaves as often as in the others.
+    reached = _with(rare, wild.select("leaf"), ["leaf"]).groupBy("leaf", "__i", *_NAME).agg(F.count("*").alias("n"))
+    best = F.max_by(F.struct("leaf", "n"), F.struct("__s", -F.col("__i"))).alias("__b")
+    chosen = reached.join(wild, "leaf").groupBy(*_NAME).agg(best).select("__b.leaf", *_NAME, "__b.n")
+    counted = stored(own.unionByName(chosen), "counted")
+    masks = _with(lines.select(*_NAME, "mask"), counted.select(*_NAME), _NAME).groupBy(*_NAME).agg(F.first("mask").alias("mask"))
+    return stored(counted.join(masks, _NAME).select("leaf", *_NAME, "n", "mask"), "masks")
+
+
 def _templates(docs: DataFrame, least_documents: int, least_copies: int, least_fixed: float) -> tuple[DataFrame, DataFrame]:
     """(lines, (m1, m2, template, n_documents) of the masked lines to drop)."""
     lines = _lines(_keyed(docs))
-    # On hashes alone, with partial counts first: no leaf is gathered.
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_documents).select("leaf")
-    leaves = stored(leaves, "leaves")
-    rare = lines.join(leaves, "leaf", "left_anti").select(*_NAME, F.posexplode("wild").alias("__i", "leaf"))
-    wild = rare.groupBy("leaf").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_documents)
-    best = F.max_by("leaf", F.struct("__n", -F.col("__i"))).alias("leaf")
-    chosen = stored(rare.join(stored(wild, "wild-leaves"), "leaf").groupBy(*_NAME).agg(best), "chosen")
-    wanted = ["doc", *_NAME, "mask", "leaf"]
-    own = lines.join(leaves, "leaf", "left_semi").select(*wanted).unionByName(
-        lines.drop("leaf").join(chosen, _NAME).select(*wanted)
-    )
-    counted = stored(own.groupBy("leaf", *_NAME).agg(F.count("*").alias("n"), F.first("mask").alias("mask")), "masks")
+    counted = _counted(lines, least_documents)
     tokens = counted.select("leaf", *_NAME, "n", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     support = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("__s"))
     fixed = (F.col("__s") >= least_documents) & (F.col("token") != FIELD)
@@ -148,7 +183,8 @@ def _templates(docs: DataFrame, least_documents: int, least_copies: int, least_f
     # as many lines are there at least.
     likely = shaped.groupBy("template").agg(F.sum("n").alias("__n")).where(F.col("__n") >= least_documents).select("template")
     shaped = stored(shaped.join(likely, "template"), "shaped")
-    found = lines.select("doc", *_NAME).join(shaped, _NAME).select("template", "doc").distinct()
+    found = _with(lines.select("doc", *_NAME), shaped.select(*_NAME), _NAME)
+    found = found.join(shaped, _NAME).select("template", "doc").distinct()
     often = found.groupBy("template").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") >= least_documents)
     general = shaped.join(often, "template").select(*_NAME, "template", "n_documents")
     copies = lines.where("fixed").groupBy(*_NAME).agg(F.count("*").alias("n_documents"), F.first("mask").alias("template"))
@@ -183,7 +219,7 @@ def drop_templates(
     lines, found = _templates(docs, least_documents, least_copies, least_fixed)
     dropped = stored(found.select(*_NAME).distinct(), "dropped")
     # At most as many as the document has lines.
-    gone = lines.join(dropped, _NAME, "left_semi").groupBy("doc").agg(F.collect_list(F.struct(*_NAME)).alias("gone"))
+    gone = _with(lines.select("doc", *_NAME), dropped, _NAME).groupBy("doc").agg(F.collect_list(F.struct(*_NAME)).alias("gone"))
     rows = _keyed(docs).join(gone, "doc", "left").select("doc_id", "text", F.col("gone.m1").alias("g1"), F.col("gone.m2").alias("g2"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

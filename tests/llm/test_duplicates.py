@@ -207,6 +207,18 @@ def test_lines_of_few_documents_and_of_names(spark):
     assert found == {"Posted by <*> on the news page today": 60, "The same line, word for word, in each": 19, "<*> said it all again here": 60}
 
 
+def test_rows_are_filtered_by_bitmap_and_joined_exactly(spark):
+    rows = spark.range(5000).selectExpr("id", "xxhash64(id % 1000) AS a", "id % 7 AS b", "concat('line ', id) AS mask")
+    names = rows.where("id < 40").select("a", "b").distinct()
+    known = line_templates.bitmap(names.selectExpr("array(a, b) AS words"))
+    assert 40 <= line_templates._by_bitmap(rows, known, ["a", "b"], True).count() < 1000
+    for got, how in ((line_templates._with, "left_semi"), (line_templates._without, "left_anti")):
+        want = rows.join(names, ["a", "b"], how).select(*rows.columns)
+        assert sorted(got(rows, names, ["a", "b"]).collect()) == sorted(want.collect())
+        none = names.where("false")
+        assert got(rows, none, ["a", "b"]).count() == rows.join(none, ["a", "b"], how).count()
+
+
 def test_line_templates_of_no_documents(spark):
     importable(spark)
     df = frame(spark, ["a b c"])
