@@ -77,12 +77,16 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_logs(_lines(spark, sf_dir))
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lines from before noon (and those without a time), lines from noon on."""
+def _halves(spark: SparkSession, sf_dir: str, root: str) -> tuple[DataFrame, DataFrame]:
+    """Lines from before noon (and those without a time), lines from noon on.
+
+    Told apart in one pass over the lines, which writes them below `root`.
+    """
     parsed = with_hour(parse_lines(_lines(spark, sf_dir)))
-    late = F.coalesce(F.col("hour") >= 12, F.lit(False))
-    value = F.col("line").alias("value")
-    return parsed.where(~late).select(value), parsed.where(late).select(value)
+    late = F.coalesce(F.col("hour") >= 12, F.lit(False)).cast("int").alias("late")
+    parsed.select(F.col("line").alias("value"), late).write.partitionBy("late").text(root)
+    both = spark.read.schema("value string, late int").text(root)
+    return both.where("late = 0").select("value"), both.where("late = 1").select("value")
 
 
 def _write_text(spark: SparkSession, sf_dir: str, root: str) -> None:
@@ -104,7 +108,7 @@ def _write_store(spark: SparkSession, sf_dir: str, root: str) -> None:
 
 def _write_deltas(spark: SparkSession, sf_dir: str, root: str) -> None:
     """The lines as a stream: half a day's worth lands, is folded, then the other half."""
-    for half in _halves(spark, sf_dir):
+    for half in _halves(spark, sf_dir, f"{root}/halves"):
         half.write.mode("append").text(f"{root}/drop")
         lines = watch_directories(spark, [f"{root}/drop"])
         deltas.report_stream(
@@ -178,7 +182,7 @@ def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "ingest")
-    early, late = _halves(spark, sf_dir)
+    early, late = _halves(spark, sf_dir, f"{root}/halves")
     early.write.text(f"{root}/a")
     late.write.text(f"{root}/b")
     both = watch_directories(spark, [f"{root}/a", f"{root}/b"])

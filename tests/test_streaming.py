@@ -396,3 +396,18 @@ def test_realtime_tables_without_rows_have_their_cells(spark, tmp_path):
     values = {(c["qualifier"], c["part"]): c["value"] for c in cells}
     assert values[("bad_unique_endpoints", 0)] == "[]"
     assert len(values) == len(REALTIME_SCALARS) + len(REALTIME_TABLES) + 1
+
+
+def test_lines_are_told_apart_by_half_day_in_one_pass(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [f"({i}L, timestamp_ntz'1995-07-01 {i % 24:02d}:00:00', {i}L, 'click', 1.0D, '{{\"k\": {i}}}')" for i in range(200)]
+    events = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(event_id, ts, user_id, event_type, value, props)")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    halves = __spark_entry__._halves(spark, str(tmp_path), f"{tmp_path}/halves")
+    lines = [sorted(r.value for r in half.collect()) for half in halves]
+    # Event 97 is malformed and has no time.
+    assert [len(x) for x in lines] == [sum(i % 24 < 12 or i % 97 == 0 for i in range(200)), sum(i % 24 >= 12 and i % 97 > 0 for i in range(200))]
+    assert sorted(lines[0] + lines[1]) == sorted(r.value for r in __spark_entry__._lines(spark, str(tmp_path)).collect())
+    for half in halves:  # neither parses all lines anew
+        assert "regexp_replace" not in half._jdf.queryExecution().toString()
