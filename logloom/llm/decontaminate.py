@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.postings import SLACK, Postings
-from logloom.llm.text import keep_only
+from logloom.llm.text import keep_only, release, slices
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own BM25 score for it to be retrieved.
@@ -236,9 +236,10 @@ def drop_contaminated(
 
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = _index(*held)
-            for batch in batches:
+            for batch in slices(batches):
                 keep = [not index.matches(t.as_py(), least_overlap) for t in batch.column("text")]
                 yield batch.filter(pa.array(keep, pa.bool_()))
+            release()
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from logloom.llm.text import keep_only
+from logloom.llm.text import keep_only, release
 
 #: Pieces remembered by a Python worker, in two generations; the older one is forgotten.
 MEMORY = 1_000_000
@@ -195,6 +195,9 @@ class Numbered:
         #: A comma and a full stop after a letter have pieces of their own.
         self.marks = {m: self.numbers[self.HEAD + m] for m in ",."}
         self._learn()
+        # What reading the tokenizer's file took is several times what it is.
+        del plain, vocabulary
+        release()
 
     def _forget(self) -> None:
         """Forget the rarest pieces, half of `memory` at least; those kept get new numbers."""

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.llm.text import lower_words_of, mix, shingle_set, stored
+from logloom.llm.text import keep_only, lower_words_of, mix, release, shingle_set, slices, stored
 
 SHINGLE = 5
 #: Link: 100 * intersection >= PERCENT * union.
@@ -84,7 +84,8 @@ def document_sets(docs: DataFrame) -> DataFrame:
     none = np.empty(0, np.int32)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        keep_only("near_dedup", release)
+        for batch in slices(batches):
             sizes, high, low, signatures = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(lower_words_of(text.as_py()), SHINGLE)
@@ -110,8 +111,9 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup", release)
         last, centre = None, None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for b, text_a, text_b in zip(*(batch.column(c) for c in ("b", "text_a", "text_b"))):
                 if b.as_py() != last:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from logloom.session import scratch_path
 
+#: Rows of texts that a task hands on at a time.
+ROWS = 1024
 _STEP = 0x9E3779B97F4A7C15
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -31,6 +34,14 @@ def importable(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+def release() -> None:
+    """Give back what this process has freed and still holds, as far as the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 _kept: dict[str, Callable[[], None]] = {}
 
 
@@ -41,11 +52,17 @@ def keep_only(name: str, forget: Callable[[], None]) -> None:
     for other in others:
         _kept.pop(other)()
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        release()
     _kept[name] = forget
 
 
+def slices(batches: Iterator[pa.RecordBatch], n: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, `n` at a time, so that few texts are held as Python's and in results."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
