@@ -13,6 +13,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from logloom.llm.text import keep_only, release
@@ -21,6 +23,8 @@ from logloom.llm.text import keep_only, release
 MEMORY = 1_000_000
 #: Pieces that are encoded as one text.
 ROW = 1000
+#: Characters of the texts that are numbered together.
+AT_ONCE = 1 << 21
 
 
 class Pieces:
@@ -153,6 +157,25 @@ def _cuttable(text: str) -> bool:
     )
 
 
+#: Letters below this one are letters in every version of Unicode.
+_NEWER = "\u0250"
+#: A byte-level token's characters for the bytes of letters beyond ASCII; the others stand for themselves.
+_BYTES = {**{b: 0xA2 + b for b in range(0x80, 0xA1)}, 0xAD: 0x143}
+
+
+def _letters(piece: str) -> bool:
+    """Nothing but letters, so that it is one pre-token with the blank before it."""
+    return piece.isalpha() and (piece.isascii() or max(piece) < _NEWER)
+
+
+def _ranges(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """What `pool` holds of the ranges of these numbers, one after the other."""
+    own = sizes[which]
+    at = np.repeat(starts[which] - np.cumsum(own) + own, own)
+    at += np.arange(len(at))
+    return pool[at]
+
+
 class _Numbers(dict):
     """Numbers of pieces, given in the order in which they come; `met` gets those from `known` on."""
 
@@ -171,8 +194,9 @@ class _Numbers(dict):
 class Numbered:
     """Token ids of texts from numbered pieces: every piece has its ids in one pool of all.
 
-    A word is looked up once, which gives its number; pieces that are new to a batch of
-    texts are learned together; and the ids of the whole batch are then taken from the pool.
+    Arrow finds the distinct words of a batch of texts, and each of them is looked up once,
+    which gives its number; pieces that are new are learned together; and the ids of the whole
+    batch are then taken from the pool.
     A piece is a word with the blank before it, which its name leaves out, or with the line
     feed before it, or (marked by HEAD) the first word of a text. At `memory` pieces the
     rarest are forgotten, and learned again if they are met again.
@@ -183,6 +207,7 @@ class Numbered:
     def __init__(self, path: str, memory: int = MEMORY // 2):
         plain = Pieces(path, 0)
         self.tokenizer, self.cuts, self.memory = plain.tokenizer, plain.cuts, memory
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         #: Bytes of each id's token: a byte-level token has a character for each byte.
         self.widths = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
@@ -234,10 +259,7 @@ class Numbered:
 
     def taken(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of these pieces, one after the other."""
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[numbers] - ends + sizes, sizes)
-        return self.pool[at + np.arange(len(at))]
+        return _ranges(self.pool, self.starts, self.sizes, numbers)
 
     def _learn(self) -> None:
         """Give ids to all pieces met since the last time."""
@@ -261,20 +283,34 @@ class Numbered:
             found = [np.array(e.ids, np.uint32) for e in self._plain([met[i][1:] for i in heads])]
             self._put(known + np.array(heads), np.concatenate(found), np.array(list(map(len, found))))
             plain[heads] = False
-        others = np.flatnonzero(plain)
-        for low in range(0, len(others), ROW):
-            at = others[low : low + ROW]
-            names = map(met.__getitem__, at.tolist())
-            self._learn_in_a_row(known + at, [p if p[0] == "\n" else " " + p for p in names])
+        letters = np.fromiter(map(_letters, met), bool, len(met)) & plain
+        for own, learn in ((letters, self._learn_letters), (plain & ~letters, self._learn_in_a_row)):
+            at = np.flatnonzero(own)
+            for low in range(0, len(at), ROW):
+                few = at[low : low + ROW]
+                learn(known + few, [met[i] for i in few.tolist()])
         if marked:
             pairs = np.array([bare, mark]).T
             self._put(known + np.array(marked), self.taken(pairs.ravel()), self.sizes[pairs].sum(axis=1))
 
+    def _learn_letters(self, numbers: np.ndarray, pieces: list[str]) -> None:
+        """Words of letters alone: with their blanks they are pre-tokens, which the model takes one by one."""
+        row = " ".join(pieces)
+        if not row.isascii():
+            row = row.encode().decode("latin-1").translate(_BYTES)
+        found = [self.model.tokenize("\u0120" + word) for word in row.split(" ")]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((token.id for tokens in found for token in tokens), np.uint32, int(sizes.sum()))
+        if self.widths[ids].sum() != len(row) + 1:
+            raise ValueError("the bytes of the ids are not those of the pieces")
+        self._put(numbers, ids, sizes)
+
     def _learn_in_a_row(self, numbers: np.ndarray, pieces: list[str]) -> None:
-        """Pieces that begin with a blank or a line feed, encoded as one text.
+        """Pieces with the blank before them, or that begin with a line feed, encoded as one text.
 
         The blanks keep them apart, and the widths of the ids tell where each one ends.
         """
+        pieces = [p if p[0] == "\n" else " " + p for p in pieces]
         row = "".join(pieces)
         ids = np.array(self._plain([row])[0].ids, np.uint32)
         ends = np.cumsum(self.widths[ids])
@@ -287,6 +323,15 @@ class Numbered:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text a uint32 array of its ids."""
+        out, low, held = [], 0, 0
+        for high, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= AT_ONCE or high == len(texts):
+                out += self._encode(texts[low:high])
+                low, held = high, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.numbers.known > self.memory:
             self._forget()
         out: list = [None] * len(texts)
@@ -294,20 +339,25 @@ class Numbered:
         rest = [i for i, c in enumerate(cut) if not c]
         for i, e in zip(rest, self._plain([texts[i] for i in rest]) if rest else []):
             out[i] = np.array(e.ids, np.uint32)
-        number = self.numbers.__getitem__
-        found = []
-        for text, c in zip(texts, cut):
-            if c:
-                words = (self.HEAD + text.replace("\n", " \n")).split(" ")
-                found.append(np.fromiter(map(number, words), np.int64, len(words)))
-        if not found:
+        lines = [self.HEAD + t.replace("\n", " \n") for t, c in zip(texts, cut) if c]
+        if not lines:
             return out
+        words = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        # As one text, cut here: no piece has a blank.
+        blank = pa.scalar(" ", pa.large_string())
+        names = pc.binary_join_element_wise(coded.dictionary, pa.scalar("", pa.large_string()), blank)
+        _, bounds, data = names.buffers()
+        names = str(data[: np.frombuffer(bounds, np.int64)[len(names)]], "utf-8").split(" ")[:-1]
+        met = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
         self._learn()
-        places = np.concatenate(found)
-        self.uses[: self.numbers.known] += np.bincount(places, minlength=self.numbers.known)
-        ids = self.taken(places)
-        ends = np.cumsum(self.sizes[places])[np.cumsum(list(map(len, found))) - 1]
-        parts = iter(np.split(ids, ends[:-1]))
+        at = coded.indices.to_numpy()
+        self.uses[met] += np.bincount(at, minlength=len(met))
+        # The distinct pieces' ids side by side, and from these the texts'.
+        pool, sizes = self.taken(met), self.sizes[met]
+        ids = _ranges(pool, np.cumsum(sizes) - sizes, sizes, at)
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[words.offsets.to_numpy()]
+        parts = iter(np.split(ids, ends[1:-1]))
         for i, c in enumerate(cut):
             if c:
                 out[i] = next(parts)

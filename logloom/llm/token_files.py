@@ -20,7 +20,7 @@ END_ID = 2
 #: A segment is closed once it has so many ids; a document is never split.
 SEGMENT_IDS = 1 << 20
 #: Texts encoded at a time.
-BATCH = 256
+BATCH = 1024
 SEGMENT_SCHEMA = (
     "part int, segment int, n_docs bigint, n_ids bigint,"
     " doc_ids array<bigint>, doc_sizes array<bigint>, payload binary"

@@ -129,3 +129,26 @@ def test_lines_as_sections(spark):
     importable(spark)
     rows = token_counts.section_tokens(frame(spark, ["a b\nc", None, "x\n"]), PATH).orderBy("doc_id", "section").collect()
     assert [(r.doc_id, r.section, r.char_start, r.char_end) for r in rows] == [(0, 0, 0, 4), (0, 1, 4, 5), (1, 0, 0, 0), (2, 0, 0, 2)]
+
+
+def test_words_are_looked_up_once_in_a_batch():
+    own = Numbered(PATH)
+    own.numbers.met.clear()
+    asked = []
+
+    class Asked(type(own.numbers)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    own.numbers.__class__ = Asked
+    texts = [prose(i, 300, 50) for i in range(30)]
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) <= 50 + 30
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(categories=["L"]), min_size=1, max_size=12), min_size=1, max_size=40))
+def test_pieces_of_letters_have_the_librarys_ids(words):
+    text = " ".join([*words, *(w + "." for w in words), *(c + chr(b) for c, b in zip("abc", (0xAA, 0xB5, 0x24F)))])
+    assert NUMBERED.encode([text])[0].tolist() == PLAIN.encode(text, add_special_tokens=False).ids
