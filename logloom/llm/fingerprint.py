@@ -104,14 +104,23 @@ def _cuts(docs: DataFrame, run_bytes: int) -> list[int]:
 
 
 def _with_run(docs: DataFrame, cuts: list[int]) -> DataFrame:
-    """`docs` with __run: how many cuts lie above the row's place in the order, by bisection."""
+    """`docs` with __run: how many cuts lie above the row's place in the order, by bisection.
+
+    In one expression of a fixed size. Were each step a column, the optimizer would put the
+    columns into one another, and each step would make the plan four times as large.
+    """
+    if not cuts:
+        return docs.withColumn("__run", F.when(F.col("__order") >= _LEAST, 0).otherwise(1))  # 0, but no constant
     values = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    out = docs.withColumn("__run", F.when(F.col("__order") >= _LEAST, 0).otherwise(1))  # 0, but no constant
-    for step in [1 << i for i in reversed(range(len(cuts).bit_length()))]:
-        at = F.col("__run") + step
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+
+    def further(run: Column, step: Column) -> Column:
+        at = run + step
         above = (at <= len(cuts)) & (F.coalesce(F.get(values, at - 1), F.lit(_LEAST)) > F.col("__order"))
-        out = out.withColumn("__run", F.when(above, at).otherwise(F.col("__run")))
-    return out
+        return F.when(above, at).otherwise(run)
+
+    # Never null; known to be so, it need not be computed a second time to filter the join by it.
+    return docs.withColumn("__run", F.coalesce(F.aggregate(steps, F.lit(0), further), F.lit(0)))
 
 
 def with_next(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:

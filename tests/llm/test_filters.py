@@ -176,6 +176,16 @@ def test_fingerprints(spark):
     assert fingerprint.edit_fingerprints(df.where("doc_id < 0")).collect() == []
 
 
+def test_runs_by_cuts_are_one_expression_of_a_fixed_size(spark):
+    """A filter takes the run's expression in: with 63 cuts some thousand times itself when each step was a column."""
+    docs = spark.range(-3, 131).select(F.col("id").alias("__order"))
+    for cuts in ([], [7], [9, 7], [64, 9, -2], list(range(126, 0, -2)), list(range(128, 0, -2))):
+        runs = fingerprint._with_run(docs, cuts)
+        assert {r["__order"]: r["__run"] for r in runs.collect()} == {i: sum(c > i for c in cuts) for i in range(-3, 131)}
+        plan = runs.where("__run > 3")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 4000
+
+
 def test_fingerprints_add_and_subtract(spark):
     pairs = spark.createDataFrame([(0, "a. b", "c\na."), (1, "", "z")], "k int, x string, y string")
     sums = {}
